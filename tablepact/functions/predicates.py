@@ -56,9 +56,9 @@ DATE_SHAPES = (
     (r"\A[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\z", "d-M-yyyy"),
     (r"\A[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\z", "M.d.yyyy"),
     (r"\A[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\z", "d.M.yyyy"),
-    (r"\A[A-Za-z]{3} [0-9]{1,2},? [0-9]{4}\z", "MMM d[,] yyyy"),
-    (r"\A[0-9]{1,2} [A-Za-z]{3} [0-9]{4}\z", "d MMM yyyy"),
+    (r"\A[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}\z", "MMM d[,] yyyy"),
     (r"\A[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}\z", "MMMM d[,] yyyy"),
+    (r"\A[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}\z", "d MMM yyyy"),
     (r"\A[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}\z", "d MMMM yyyy"),
 )
 DATETIME_TEXT_PATTERN = (
@@ -86,18 +86,23 @@ def is_float_text(c: Column) -> Column:
 
 
 def is_date_text(c: Column) -> Column:
-    """True when the text is a valid date in one of the documented shapes."""
+    """True when the text is a valid date in one of the documented shapes.
+
+    One CASE, so a value is parsed only by the formats of the first shape it has;
+    the common ISO form and text of no shape at all need one or two tests.
+    """
     text = F.trim(c)
-    stamp = F.when(text.rlike(DATETIME_TEXT_PATTERN),
-                   F.try_to_timestamp(text).isNotNull())
-    tests = [
-        F.when(text.rlike(shape), F.try_to_date(text, fmt).isNotNull())
-        for shape, fmt in DATE_SHAPES
-    ]
-    hit = F.coalesce(stamp, F.lit(False))
-    for t in tests:
-        hit = hit | F.coalesce(t, F.lit(False))
-    return hit
+    by_shape: dict[str, list[str]] = {}
+    for shape, fmt in DATE_SHAPES:
+        by_shape.setdefault(shape, []).append(fmt)
+    any_shape = "|".join([DATETIME_TEXT_PATTERN, *by_shape])
+    out = (F.when(text.rlike(ISO_DATE_PATTERN), text.try_cast("date").isNotNull())
+           .when(~text.rlike(any_shape), F.lit(False))
+           .when(text.rlike(DATETIME_TEXT_PATTERN), F.try_to_timestamp(text).isNotNull()))
+    for shape, formats in by_shape.items():
+        parsed = F.coalesce(*[F.try_to_date(text, fmt) for fmt in formats])
+        out = out.when(text.rlike(shape), parsed.isNotNull())
+    return out.otherwise(F.lit(False))
 
 
 def is_bracketed(c: Column) -> Column:

@@ -23,7 +23,7 @@ from tablepact.functions.types import (
     DATE_LIKE_TYPE_NAMES,
     accepted_type_names,
 )
-from tablepact.plans.shapes import Label, measure_rows, null_label
+from tablepact.plans.shapes import NULL_COUNT, NULL_TEXT, measure_rows
 
 CHECK_SCHEMA = T.StructType([
     T.StructField("check_id", T.StringType()),
@@ -131,7 +131,7 @@ def _analysis_errors(df: DataFrame, checks: Sequence[Check]) -> dict[str, str]:
 
     def attempt(some: Sequence[Check]) -> str | None:
         try:
-            df.select(*[F.count_if(F.expr(c.condition)) for c in some])
+            df.selectExpr(*[f"count_if({c.condition})" for c in some])
             return None
         except (AnalysisException, ParseException) as exc:
             return (exc.getMessage() or str(exc)).splitlines()[0]
@@ -146,11 +146,10 @@ def _analysis_errors(df: DataFrame, checks: Sequence[Check]) -> dict[str, str]:
 
 def _measures(df: DataFrame, check: Check, error: str | None):
     """(count, count of rows that make the check undecidable, error text)."""
-    none = Label(F.lit(0).cast("bigint"))
     if error is not None:
-        return null_label("bigint"), none, error
+        return NULL_COUNT, NULL_COUNT, error
     if check.condition is None:
-        return F.count(F.lit(1)), none, None
+        return F.count(F.lit(1)), NULL_COUNT, None
     if check.kind in ("min", "max") and isinstance(df.schema[check.column].dataType, T.StringType):
         # Bounds on a text column: compare what parses, report the rest as an error
         # of this check alone instead of failing the whole aggregation.
@@ -159,7 +158,7 @@ def _measures(df: DataFrame, check: Check, error: str | None):
         sign, bound = check.condition.rsplit(" ", 2)[-2:]
         outside = number < float(bound) if sign == "<" else number > float(bound)
         return F.count_if(outside), F.count_if(c.isNotNull() & number.isNull()), None
-    return F.count_if(F.expr(check.condition)), none, None
+    return F.expr(f"count_if({check.condition})"), NULL_COUNT, None
 
 
 def verdict(expected: Column, actual: Column, error: Column | None = None,
@@ -194,7 +193,7 @@ def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
         if check.check_type == "row_count":
             expected = "> 0"
         if check.check_type not in ("sql", "row_count"):
-            count, undecided, error = null_label("bigint"), null_label("bigint"), None
+            count, undecided, error = NULL_COUNT, NULL_COUNT, None
             details = f"Unknown check type: {check.check_type}"
         else:
             count, undecided, error = _measures(df, check, errors.get(check.check_id))
@@ -202,22 +201,21 @@ def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
         rows.append({
             "check_id": check.check_id, "description": check.description,
             "check_type": check.check_type, "severity": check.severity,
-            "column": check.column if check.column is not None else null_label(),
-            "expected": expected if expected is not None else null_label(),
+            "column": check.column or NULL_TEXT,
+            "expected": expected if expected is not None else NULL_TEXT,
             "details": details,
             "_count": count, "_undecided": undecided,
-            "_error": error if error is not None else null_label(),
+            "_error": error or NULL_TEXT,
         })
-    folded = measure_rows(df, rows)
     error = (F.when(F.col("_error").isNotNull(), F.col("_error"))
              .when(F.col("_undecided") > 0,
                    F.format_string("%d values are not numeric", F.col("_undecided"))))
-    out = folded.withColumn("error", error).withColumn(
-        "actual", F.when(F.col("error").isNull(), F.col("_count")))
-    return out.withColumn(
-        "status", verdict(F.col("expected"), F.col("actual"), F.col("error"), F.col("check_type"))
-    ).select("check_id", "description", "check_type", "severity", "column", "expected",
-             "actual", "status", "details", "error")
+    actual = F.when(error.isNull(), F.col("_count"))
+    return measure_rows(df, rows).select(
+        "check_id", "description", "check_type", "severity", "column", "expected",
+        actual.alias("actual"),
+        verdict(F.col("expected"), actual, error, F.col("check_type")).alias("status"),
+        "details", error.alias("error"))
 
 
 def summary(results: DataFrame) -> DataFrame:

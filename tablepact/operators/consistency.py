@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepact.functions import predicates as P
-from tablepact.functions.text import quoted
+from tablepact.functions.text import quoted, sql_literal
 from tablepact.plans.shapes import Label, measure_rows, multiset_difference, status_when
 
 # Acceptance thresholds of a run.
@@ -46,7 +46,7 @@ def type_matrix(df: DataFrame, expected: Mapping[str, Sequence[str]]) -> DataFra
     """Type of the stored values of each column against the accepted type names."""
     found = measure_rows(df, [
         {"column_name": n, "actual_type": F.max(F.typeof(F.col(quoted(n)))),
-         "expected_type": accepted[0], "_accepted": Label(F.array(*[F.lit(a) for a in accepted]))}
+         "expected_type": accepted[0], "_accepted": Label(f"array({', '.join(map(sql_literal, accepted))})")}
         for n, accepted in expected.items()])
     ok = F.array_contains("_accepted", F.col("actual_type"))
     return found.withColumn("status", status_when(~F.coalesce(ok, F.lit(False)))).drop("_accepted")

@@ -12,23 +12,23 @@ from tablepact.contract import TableContract
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted
 from tablepact.functions.types import contract_type_of
-from tablepact.plans.shapes import Label, measure_rows, null_label, smallest_values
+from tablepact.plans.shapes import NULL_COUNT, NULL_TEXT, Label, measure_rows, smallest_values
 
 
 def _row(column, issue, hits, message, *, count=None, expected=None, actual=None, severity="high"):
     def text(v):
         if v is None:
-            return null_label()
+            return NULL_TEXT
         return v if not isinstance(v, (int, float)) else str(v)
 
     return {"column": column, "issue": issue,
-            "count": count if count is not None else null_label("bigint"),
+            "count": count if count is not None else NULL_COUNT,
             "expected": text(expected), "actual": text(actual), "severity": severity,
             "message": message, "_hits": hits}
 
 
 def _rules(df: DataFrame, contract: TableContract) -> list[dict]:
-    one = Label(F.lit(1).cast("bigint"))
+    one = Label("1L")
     rows = []
     for rule in contract.columns:
         if rule.name not in df.columns:

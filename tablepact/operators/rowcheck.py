@@ -12,65 +12,83 @@ from tablepact.functions.text import quoted
 from tablepact.plans.shapes import smallest_values
 
 NUMERIC_TYPES = ("integer", "float")
+ERROR_ARRAY = "array<struct<column:string,error:string,value:string,severity:string>>"
 
 
-def _type_ok(c: Column, type_name: str) -> Column:
-    if type_name == "integer":
-        return P.is_int_parsable(c)
-    if type_name == "float":
-        return P.is_float_text(c)
-    if type_name == "date":
-        return P.is_date_text(c)
-    return F.lit(True)
+def _number_name(rule: ColumnRule) -> str:
+    return f"_number_{rule.name}"
 
 
 def _number(c: Column) -> Column:
-    text = F.regexp_replace(F.trim(c), "_", "")
-    value = F.when(P.is_float_text(c), text.try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    """The value as Python's float() reads it; null when it does not."""
+    return F.when(P.is_float_text(c), F.replace(F.trim(c), F.lit("_"), F.lit("")).try_cast("double"))
 
 
-def _column_errors(c: Column, rule: ColumnRule) -> list[Column]:
-    blank = P.is_blank(c)
+def _text_column(df: DataFrame, rule: ColumnRule) -> Column:
+    if rule.name not in df.columns:
+        return F.lit(None).cast("string")
+    c = F.col(quoted(rule.name))
+    return c if isinstance(df.schema[rule.name].dataType, T.StringType) else c.cast("string")
 
-    def error(condition: Column, message: str, severity: str) -> Column:
-        return F.when(condition, F.struct(
+
+def _prepare(df: DataFrame, contract: TableContract) -> DataFrame:
+    """Add the parsed value of every numeric column, so that it is parsed once
+    however many rules use it."""
+    numeric = [r for r in contract.columns if r.type in NUMERIC_TYPES]
+    return df.select("*", *[_number(_text_column(df, r)).alias(_number_name(r)) for r in numeric])
+
+
+def _column_errors(c: Column, rule: ColumnRule) -> Column:
+    """Errors of one cell as an array; a blank cell has at most the null error."""
+    none = F.array().cast(ERROR_ARRAY)
+
+    def found(message: str, severity: str) -> Column:
+        return F.array(F.struct(
             F.lit(rule.name).alias("column"), F.lit(message).alias("error"),
             c.alias("value"), F.lit(severity).alias("severity")))
 
-    out = []
-    if not rule.nullable_in_checks:
-        out.append(error(blank, "NULL value not allowed", "high"))
-    if rule.type in NUMERIC_TYPES + ("date",):
-        out.append(error(~blank & ~_type_ok(c, rule.type),
-                         f"Type mismatch: expected {rule.type}, got str", "high"))
-    if rule.type == "string" and rule.format == "email":
-        out.append(error(~blank & ~P.is_email_basic(c), "Invalid email format", "medium"))
+    def error(condition: Column, message: str, severity: str) -> Column:
+        return F.when(condition, found(message, severity)).otherwise(none)
+
+    rules = []
+    mismatch = f"Type mismatch: expected {rule.type}, got str"
+    number = F.col(quoted(_number_name(rule)))
+    if rule.type == "integer":
+        rules.append(error(~P.is_int_parsable(c), mismatch, "high"))
+    elif rule.type == "float":
+        rules.append(error(number.isNull(), mismatch, "high"))
+    elif rule.type == "date":
+        rules.append(error(~P.is_date_text(c), mismatch, "high"))
+    elif rule.type == "string" and rule.format == "email":
+        rules.append(error(~P.is_email_basic(c), "Invalid email format", "medium"))
     if rule.enum is not None:
-        out.append(error(~blank & ~c.isin(*rule.enum),
-                         f"Value not in allowed enum: {list(rule.enum)}", "medium"))
+        rules.append(error(~c.isin(*rule.enum),
+                           f"Value not in allowed enum: {list(rule.enum)}", "medium"))
     if rule.type in NUMERIC_TYPES:
-        if rule.bound("min") is not None:
-            out.append(error(~blank & (_number(c) < rule.bound("min")),
-                             f"Value below minimum: {rule.bound('min')}", "medium"))
-        if rule.bound("max") is not None:
-            out.append(error(~blank & (_number(c) > rule.bound("max")),
-                             f"Value above maximum: {rule.bound('max')}", "medium"))
-    return out
-
-
-def error_array(df: DataFrame, contract: TableContract) -> Column:
-    """All errors of one row as an array; empty when the row is fine."""
-    candidates = []
-    for rule in contract.columns:
-        if rule.name in df.columns:
-            c = F.col(quoted(rule.name))
-            if not isinstance(df.schema[rule.name].dataType, T.StringType):
-                c = c.cast("string")
-        else:
-            c = F.lit(None).cast("string")
-        candidates += _column_errors(c, rule)
-    return F.filter(F.array(*candidates), lambda e: e.isNotNull())
+        low, high = rule.bound("min"), rule.bound("max")
+        if low is not None:
+            rules.append(error(number < low, f"Value below minimum: {low}", "medium"))
+        if high is not None:
+            # Spark orders NaN above every number; as text it breaks no bound.
+            rules.append(error((number > high) & ~F.isnan(number),
+                               f"Value above maximum: {high}", "medium"))
+    blank = none if rule.nullable_in_checks else found("NULL value not allowed", "high")
+    if not rules:
+        return F.when(P.is_blank(c), blank).otherwise(none)
+    filled = rules[0] if len(rules) == 1 else F.concat(*rules)
+    return F.when(P.is_blank(c), blank).otherwise(filled)
+
+
+def _errors(df: DataFrame, contract: TableContract) -> Column:
+    """All errors of a prepared row.  Concatenation compiles, unlike a
+    higher-order filter over an array of candidates."""
+    return F.concat(*[_column_errors(_text_column(df, r), r) for r in contract.columns])
+
+
+def with_errors(df: DataFrame, contract: TableContract, name: str = "_errors") -> DataFrame:
+    """Add all errors of a row as an array; empty when the row is fine."""
+    prepared = _prepare(df, contract)
+    return prepared.select(*[F.col(quoted(c)) for c in df.columns], _errors(df, contract).alias(name))
 
 
 def check_rows(df: DataFrame, contract: TableContract, row_id: str) -> DataFrame:
@@ -78,13 +96,13 @@ def check_rows(df: DataFrame, contract: TableContract, row_id: str) -> DataFrame
 
     ``row_id`` is a key column, or the line number of ``files.with_line_numbers``.
     """
-    return df.select(F.col(quoted(row_id)).alias("row"),
-                     F.inline(error_array(df, contract)))
+    return _prepare(df, contract).select(
+        F.col(quoted(row_id)).alias("row"), F.inline(_errors(df, contract)))
 
 
 def check_summary(df: DataFrame, contract: TableContract) -> DataFrame:
     """Total rows, total errors and errors per row (which can exceed one)."""
-    counted = df.select(F.size(error_array(df, contract)).alias("n"))
+    counted = with_errors(df, contract).select(F.size("_errors").alias("n"))
     totals = counted.agg(F.count(F.lit(1)).alias("total_rows"),
                          F.coalesce(F.sum("n"), F.lit(0)).alias("total_errors"))
     return totals.withColumn(
@@ -113,6 +131,6 @@ def root_causes(errors: DataFrame, samples: int = 5) -> DataFrame:
 
 def split_by_errors(df: DataFrame, contract: TableContract) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected rows with their errors)."""
-    marked = df.withColumn("_errors", error_array(df, contract))
+    marked = with_errors(df, contract)
     good = marked.filter(F.size("_errors") == 0).drop("_errors")
     return good, marked.filter(F.size("_errors") > 0)

@@ -13,16 +13,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablepact.functions.text import sql_literal
+
 
 @dataclass(frozen=True)
 class Label:
-    """A constant of a measured row."""
+    """A constant of a measured row, as SQL text."""
 
-    column: Column
+    sql: str
 
 
-def null_label(type_name: str = "string") -> Label:
-    return Label(F.lit(None).cast(type_name))
+NULL_TEXT = Label("CAST(NULL AS STRING)")
+NULL_COUNT = Label("CAST(NULL AS BIGINT)")
 
 
 def measure_rows(df: DataFrame, rows: Sequence[dict[str, Column | object]],
@@ -30,29 +32,30 @@ def measure_rows(df: DataFrame, rows: Sequence[dict[str, Column | object]],
     """Evaluate many measures in one pass and return one row per entry.
 
     Every entry maps output names to an aggregate ``Column`` (evaluated over
-    ``df``), a plain value or a ``Label`` (a column without aggregation).  The whole list becomes a single
+    ``df``), a plain value or a ``Label``.  The whole list becomes a single
     partial/final aggregation, unpivoted by ``inline``; the table is read once
     however many measures there are.
     """
     aggregates, structs = [], []
-    for i, row in enumerate(rows):
-        parts = []
+    for row in rows:
+        fields = []
         for name, value in row.items():
             if isinstance(value, Column):
-                slot = f"_m{i}_{len(aggregates)}"
+                slot = f"_m{len(aggregates)}"
                 aggregates.append(value.alias(slot))
-                parts.append(F.col(slot).alias(name))
+                text = slot
             else:
-                constant = value.column if isinstance(value, Label) else F.lit(value)
-                parts.append(constant.alias(name))
-        structs.append(F.struct(*parts))
+                text = value.sql if isinstance(value, Label) else sql_literal(value)
+            fields.append(f"{sql_literal(name)}, {text}")
+        structs.append(f"named_struct({', '.join(fields)})")
     if not aggregates and not group_by:
         folded = df.sparkSession.range(1)
     elif group_by:
         folded = df.groupBy(*group_by).agg(*aggregates)
     else:
         folded = df.agg(*aggregates)
-    return folded.select(*group_by, F.inline(F.array(*structs)))
+    # One expression text: a contract of n columns costs one call, not dozens per row.
+    return folded.select(*group_by, F.expr(f"inline(array({', '.join(structs)}))"))
 
 
 def smallest_values(df: DataFrame, keys: Sequence[str], value: str, k: int,
