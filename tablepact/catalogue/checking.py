@@ -227,11 +227,13 @@ def frame_issues_staged_orders(spark, sf_dir):
         "examples", F.concat_ws("|", "examples"))
 
 
-@query("frame_issues_cleaned", "V10", "SELECT '' AS \"column\", '' AS issue, CAST(0 AS BIGINT) AS count FROM orders WHERE false")
-def frame_issues_cleaned(spark, sf_dir):
+@query("frame_summary_cleaned", "V10", " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS row_count, CAST(0 AS BIGINT) AS issue_count, true AS is_valid FROM {base}"
+    for name, base in (("orders", "orders"), ("users", "customer"), ("transactions", "events"))))
+def frame_summary_cleaned(spark, sf_dir):
     """No issue is left after cleaning."""
-    found = [framecheck.frame_issues(cleaned(spark, sf_dir, n), c).select("column", "issue", "count")
-             for n, c in (("dirty_orders", ORDERS), ("dirty_users", USERS), ("dirty_transactions", TRANSACTIONS))]
+    found = [framecheck.frame_summary(cleaned(spark, sf_dir, f"dirty_{c.name}"), c).select(
+        F.lit(c.name).alias("name"), "row_count", "issue_count", "is_valid") for c in (ORDERS, USERS, TRANSACTIONS)]
     return found[0].unionAll(found[1]).unionAll(found[2])
 
 

@@ -193,7 +193,7 @@ def saved_row_count(spark, sf_dir):
     """The count comes from the write itself."""
     cleaned = clean(faults.table(spark, sf_dir, "dirty_orders"), ORDERS)
     rows = sinks.counted_write(cleaned, scratch(spark, "counted"))
-    return spark.range(1).select(F.lit(rows).cast("bigint").alias("rows_saved"))
+    return spark.range(0, 1, 1, 1).select(F.lit(rows).cast("bigint").alias("rows_saved"))
 
 
 def _order_results(spark, sf_dir):

@@ -149,7 +149,7 @@ class TableContract:
             )
             for i, c in enumerate(self.columns)
         ]
-        return spark.range(1).select(F.inline(F.array(*rows)))
+        return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
     def spark_types(self) -> dict:
         return {c.name: spark_type(c.type) for c in self.columns}

@@ -48,7 +48,7 @@ def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
         {"_reg": F.count_if(regeneration), "_exe": F.count_if(execution),
          "_err": F.max_by(error, F.when(has_error, F.struct(*order))), "_n": F.count(F.lit(1))},
         {"_reg_before": F.sum("_reg"), "_exe_before": F.sum("_exe"),
-         "_err_before": F.last("_err", ignorenulls=True), "_n_before": F.sum("_n")})
+         "_err_before": F.last("_err", ignorenulls=True), "_n_before": F.sum("_n")}).checkpoint()
     # Ranges are few, so accumulating over them fits one task.
     whole_log = with_earlier(
         per_pipeline, [], {"_rows": F.sum("_n"), "_new": F.count_if(F.col("_n_before").isNull())},
@@ -60,8 +60,11 @@ def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
     up_to_here = local.rowsBetween(Window.unboundedPreceding, 0)
     before_here = local.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
+    earlier = per_pipeline.select(
+        F.col("_range").alias("_r"), F.col("pipeline").alias("_p"), "_reg_before", "_exe_before",
+        "_err_before", "_n_before")
     counted = (ranged.repartition("_range")
-               .join(per_pipeline.drop("_reg", "_exe", "_err", "_n"), ["_range", "pipeline"])
+               .join(earlier, (F.col("_range") == F.col("_r")) & F.col("pipeline").eqNullSafe(F.col("_p")))
                .select(
         *log.columns, "_range",
         (F.coalesce("_reg_before", zero) + F.count_if(regeneration).over(up_to_here))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted
@@ -89,16 +90,38 @@ def _percentage(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole * 100, 2)).otherwise(F.lit(0.0))
 
 
+def _value_statistics(df: DataFrame, position: int, name: str, digest: bool) -> DataFrame:
+    """Total, distinct and null count of one column from its value frequencies.
+
+    Reads one column; repeated values combine before the shuffle.  With
+    ``digest`` 32 bytes per distinct value are shuffled instead of the value.
+    """
+    c = F.col(quoted(name))
+    value = F.unhex(F.sha2(c.cast("binary"), 256)) if digest else c
+    frequency = df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    measures = [
+        F.lit(position).alias("position"), F.lit(name).alias("column"),
+        F.lit(df.schema[name].dataType.simpleString()).alias("type"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("v").alias("distinct_count"),
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count")]
+    if not digest:
+        measures += [F.min("v").cast("string").alias("min_value"), F.max("v").cast("string").alias("max_value")]
+    return frequency.agg(*measures)
+
+
 def quality_report(df: DataFrame, columns: Sequence[str] | None = None,
                    distinct: str = "exact") -> DataFrame:
     """Per column: type, total, distinct values, nulls and their share, min, max.
 
     ``exact``: each column is aggregated to its value frequencies on its own, so
-    a columnar scan reads every column once, repeated values combine before the
-    shuffle, and no row is expanded by the number of columns.  ``approx``: one
-    aggregation without a shuffle of values.
+    a columnar scan reads every column once and no row is expanded by the number
+    of columns.  ``digest``: the same, but text is told apart by its SHA-256
+    digest, so that long text does not go through the shuffle; min and max of the
+    text columns cost one more scan of them.  ``approx``: one aggregation over
+    all columns without a shuffle of values.
     """
     chosen = list(columns or df.columns)
+    text = [n for n in chosen if isinstance(df.schema[n].dataType, (T.StringType, T.BinaryType))]
     if distinct == "approx":
         rows = []
         for i, n in enumerate(chosen):
@@ -109,21 +132,23 @@ def quality_report(df: DataFrame, columns: Sequence[str] | None = None,
                 "null_count": F.count_if(c.isNull()),
                 "min_value": F.min(c).cast("string"), "max_value": F.max(c).cast("string")})
         report = measure_rows(df, rows)
-    elif distinct == "exact":
-        parts = []
+    elif distinct == "exact" or (distinct == "digest" and not text):
+        report = reduce(DataFrame.unionAll, [
+            _value_statistics(df, i, n, False) for i, n in enumerate(chosen)])
+    elif distinct == "digest":
+        bounds = measure_rows(df, [
+            {"column": n, "min_value": F.min(F.col(quoted(n))).cast("string"),
+             "max_value": F.max(F.col(quoted(n))).cast("string")} for n in text])
+        # One row per text column on either side.
+        digested = reduce(DataFrame.unionAll, [
+            _value_statistics(df, i, n, True) for i, n in enumerate(chosen) if n in text])
+        report = digested.join(F.broadcast(bounds), "column").select(
+            "position", "column", "type", "total", "distinct_count", "null_count", "min_value", "max_value")
         for i, n in enumerate(chosen):
-            frequency = df.groupBy(F.col(quoted(n)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            parts.append(frequency.agg(
-                F.lit(i).alias("position"), F.lit(n).alias("column"),
-                F.lit(df.schema[n].dataType.simpleString()).alias("type"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-                F.count("v").alias("distinct_count"),
-                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-                F.min("v").cast("string").alias("min_value"),
-                F.max("v").cast("string").alias("max_value")))
-        report = reduce(DataFrame.unionAll, parts)
+            if n not in text:
+                report = report.unionAll(_value_statistics(df, i, n, False))
     else:
-        raise ValueError(f"distinct must be 'exact' or 'approx', not {distinct!r}")
+        raise ValueError(f"distinct must be 'exact', 'digest' or 'approx', not {distinct!r}")
     return report.withColumn("null_percentage", _percentage(F.col("null_count"), F.col("total")))
 
 

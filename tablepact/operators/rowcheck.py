@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tablepact.contract import ColumnRule, TableContract
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted
-from tablepact.plans.shapes import smallest_values
+from tablepact.plans.shapes import count_with_samples
 
 NUMERIC_TYPES = ("integer", "float")
 ERROR_ARRAY = "array<struct<column:string,error:string,value:string,severity:string>>"
@@ -116,17 +116,9 @@ def first_errors(errors: DataFrame, n: int = 50) -> DataFrame:
 
 
 def root_causes(errors: DataFrame, samples: int = 5) -> DataFrame:
-    """Column, issue, rows affected and sample values.
-
-    Counts combine before the shuffle; samples are the smallest distinct values
-    and never gather a whole group.
-    """
-    affected = errors.groupBy("column", "error", "severity").agg(
-        F.count(F.lit(1)).alias("rows_affected"))
-    examples = smallest_values(errors, ["column", "error"], "value", samples)
-    return affected.join(examples, ["column", "error"], "left").select(
-        "column", "error", "severity", "rows_affected",
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"))
+    """Column, issue, rows affected and sample values (the smallest distinct ones)."""
+    return count_with_samples(errors, ["column", "error", "severity"], "value", samples,
+                              count="rows_affected")
 
 
 def split_by_errors(df: DataFrame, contract: TableContract) -> tuple[DataFrame, DataFrame]:

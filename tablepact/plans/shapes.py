@@ -49,7 +49,7 @@ def measure_rows(df: DataFrame, rows: Sequence[dict[str, Column | object]],
             fields.append(f"{sql_literal(name)}, {text}")
         structs.append(f"named_struct({', '.join(fields)})")
     if not aggregates and not group_by:
-        folded = df.sparkSession.range(1)
+        folded = df.sparkSession.range(0, 1, 1, 1)
     elif group_by:
         folded = df.groupBy(*group_by).agg(*aggregates)
     else:
@@ -65,10 +65,29 @@ def smallest_values(df: DataFrame, keys: Sequence[str], value: str, k: int,
     Duplicates collapse map-side, the rank filter is pushed below the shuffle
     as a per-task limit, and only ``k`` values per group reach the collect.
     """
-    distinct = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    top = distinct.withColumn("_rank", rank).filter(F.col("_rank") <= k)
-    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))
+    return _smallest(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("_n")), keys, value, k, out)
+
+
+def _smallest(frequencies: DataFrame, keys, value, k, out) -> DataFrame:
+    order = F.col(value).asc_nulls_last()
+    top = frequencies.withColumn("_rank", F.row_number().over(
+        Window.partitionBy(*keys).orderBy(order))).filter(F.col("_rank") <= k)
+    held = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(value, "_n")))
+    return top.groupBy(*keys).agg(
+        F.transform(F.array_sort(held), lambda x: x[value]).alias(out))
+
+
+def count_with_samples(df: DataFrame, keys: Sequence[str], value: str, k: int,
+                       count: str = "row_count", out: str = "sample_values") -> DataFrame:
+    """Row count and ``k`` smallest distinct values per group.
+
+    Both come from the same value frequencies, whose shuffle Spark runs once, so
+    ``df`` is evaluated once.  Groups are few; their values may be many.
+    """
+    frequencies = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = frequencies.groupBy(*keys).agg(F.sum("_n").alias(count))
+    return counts.join(_smallest(frequencies, keys, value, k, out), list(keys))
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:

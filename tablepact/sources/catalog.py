@@ -26,7 +26,7 @@ def count_tables(tables: Mapping[str, DataFrame | None]) -> DataFrame:
     bad = [n for n, df in tables.items() if df is None]
     if bad:
         spark = SparkSession.getActiveSession()
-        parts += [spark.range(1).select(
+        parts += [spark.range(0, 1, 1, 1).select(
             F.lit(n).alias("table"), F.lit(None).cast("bigint").alias("row_count"),
             F.lit("error").alias("status")) for n in bad]
     return reduce(DataFrame.unionAll, parts)

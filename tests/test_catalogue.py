@@ -25,3 +25,13 @@ def test_query(spark, duck, name):
         assert df.count() > 0
     else:
         assert oracle.difference(df, duck, sql) is None
+
+
+# Rows of the operator inventory, by group.
+INVENTORY = dict(S=16, P=17, C=7, R=7, K=25, V=11, G=17, H=15, L=3, A=6, X=3)
+
+
+def test_every_inventory_row_has_a_query():
+    wanted = {f"{group}{i}" for group, n in INVENTORY.items() for i in range(1, n + 1)}
+    covered = {c for entry in catalogue.ENTRIES.values() for c in entry.covers}
+    assert covered == wanted
