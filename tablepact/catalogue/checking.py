@@ -549,7 +549,7 @@ def duplicate_keys_lineitem(spark, sf_dir):
 @query("duplicate_texts", "H9", """
 SELECT text, count(*) AS row_count FROM documents GROUP BY text HAVING count(*) > 1""")
 def duplicate_texts(spark, sf_dir):
-    return H.duplicate_keys(dirty(spark, sf_dir, "documents"), ["text"])
+    return H.duplicate_keys(dirty(spark, sf_dir, "documents"), ["text"], wide=True)
 
 
 @query("throughput_by_order", "H12", """

@@ -86,10 +86,21 @@ def bad_email(c: Column, form: str = "like") -> Column:
     return ~F.coalesce(P.is_email_strict(c), F.lit(False))
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once, with their row count."""
-    return (df.groupBy(*[F.col(quoted(k)) for k in keys])
-            .agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1))
+def duplicate_keys(df: DataFrame, keys: Sequence[str], wide: bool = False) -> DataFrame:
+    """Keys that occur more than once, with their row count.
+
+    ``wide=True`` is for long keys such as whole texts: rows are first counted by
+    a 64-bit hash, and only those whose hash repeats take part in the exact
+    grouping, so unique texts never go through the shuffle.  The result is the
+    same, because equal keys have equal hashes and the grouping is on the keys.
+    """
+    columns = [F.col(quoted(k)) for k in keys]
+    rows = df
+    if wide:
+        hashed = df.select(*columns, F.xxhash64(*columns).alias("_hash"))
+        repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        rows = hashed.join(repeated.select("_hash"), "_hash", "left_semi")
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)
 
 
 def conditional_rule(when: Column, require: Column) -> Column:
