@@ -41,32 +41,39 @@ INT_PARSE_PATTERN = r"\A\s*[+-]?" + _DIGITS_LOOSE + r"\s*\z"
 
 ISO_DATE_PATTERN = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
+COMPACT_DATE = "yyyyMMdd"
+
 # Shape -> datetime pattern.  This is the documented subset of free-form dates
 # that type inference recognises; the shape test keeps the formatter (whose
 # failures are costly) away from text that cannot match.
 DATE_SHAPES = (
-    (r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z", "yyyy-M-d"),
-    (r"\A[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z", "yyyy/M/d"),
-    (r"\A[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}\z", "yyyy.M.d"),
-    (r"\A[0-9]{8}\z", "yyyyMMdd"),
-    (r"\A[0-9]{4}-[0-9]{1,2}\z", "yyyy-M"),
-    (r"\A[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z", "M/d/yyyy"),
-    (r"\A[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z", "d/M/yyyy"),
-    (r"\A[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\z", "M-d-yyyy"),
-    (r"\A[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\z", "d-M-yyyy"),
-    (r"\A[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\z", "M.d.yyyy"),
-    (r"\A[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\z", "d.M.yyyy"),
-    (r"\A[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}\z", "MMM d[,] yyyy"),
-    (r"\A[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}\z", "MMMM d[,] yyyy"),
-    (r"\A[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}\z", "d MMM yyyy"),
-    (r"\A[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}\z", "d MMMM yyyy"),
+    (r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "yyyy-M-d"),
+    (r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}", "yyyy/M/d"),
+    (r"[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}", "yyyy.M.d"),
+    (r"[0-9]{8}", COMPACT_DATE),
+    (r"[0-9]{4}-[0-9]{1,2}", "yyyy-M"),
+    (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "M/d/yyyy"),
+    (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "d/M/yyyy"),
+    (r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", "M-d-yyyy"),
+    (r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", "d-M-yyyy"),
+    (r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", "M.d.yyyy"),
+    (r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", "d.M.yyyy"),
+    (r"[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}", "MMM d[,] yyyy"),
+    (r"[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}", "MMMM d[,] yyyy"),
+    (r"[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}", "d MMM yyyy"),
+    (r"[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}", "d MMMM yyyy"),
 )
-DATETIME_TEXT_PATTERN = (
-    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?"
-    r"(?:Z|[+-][0-9]{2}:?[0-9]{2})?\z"
+DATETIME_SHAPE = (
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?"
+    r"(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
 )
 
 
+def _whole(pattern: str) -> str:
+    """Anchored once in front, so that the matcher tries the first position only."""
+    return r"\A(?:" + pattern + r")\z"
+
+
 def is_blank(c: Column) -> Column:
     """Null or empty text; CSV readers differ on which of the two they give."""
     return c.isNull() | (c == F.lit(""))
@@ -95,13 +102,13 @@ def is_date_text(c: Column) -> Column:
     by_shape: dict[str, list[str]] = {}
     for shape, fmt in DATE_SHAPES:
         by_shape.setdefault(shape, []).append(fmt)
-    any_shape = "|".join([DATETIME_TEXT_PATTERN, *by_shape])
+    any_shape = _whole("|".join([DATETIME_SHAPE, *by_shape]))
     out = (F.when(text.rlike(ISO_DATE_PATTERN), text.try_cast("date").isNotNull())
            .when(~text.rlike(any_shape), F.lit(False))
-           .when(text.rlike(DATETIME_TEXT_PATTERN), F.try_to_timestamp(text).isNotNull()))
+           .when(text.rlike(_whole(DATETIME_SHAPE)), F.try_to_timestamp(text).isNotNull()))
     for shape, formats in by_shape.items():
         parsed = F.coalesce(*[F.try_to_date(text, fmt) for fmt in formats])
-        out = out.when(text.rlike(shape), parsed.isNotNull())
+        out = out.when(text.rlike(_whole(shape)), parsed.isNotNull())
     return out.otherwise(F.lit(False))
 
 
@@ -116,14 +123,16 @@ def is_valid_json(c: Column) -> Column:
     Spark's JSON functions stop at the end of the first value, so trailing text
     would pass.  Read as the only element of an array the rest of the text must
     be empty or start with ``]``; read as the only member of an object it must
-    be empty or start with ``}``; both together leave only the empty rest.
-    Single-quoted strings, which those functions also tolerate, are sent
-    through the strict variant parser.
+    be empty or start with ``}``; both together leave only the empty rest.  The
+    second reading is skipped for text without any ``]``.  Single-quoted strings,
+    which those functions also tolerate, are sent through the strict variant
+    parser.
     """
     one_element = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
     one_member = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), c, F.lit("}")))) == 1
+    no_rest = ~c.contains("]") | one_member
     strict_quotes = ~c.contains("'") | F.try_parse_json(c).isNotNull()
-    return F.coalesce(one_element & one_member & strict_quotes, F.lit(False))
+    return F.coalesce(one_element & no_rest & strict_quotes, F.lit(False))
 
 
 def is_json_text(c: Column) -> Column:
@@ -131,6 +140,30 @@ def is_json_text(c: Column) -> Column:
     return is_bracketed(c) & is_valid_json(c)
 
 
+# Bits of ``type_flags``.
+INTEGER_FLAG, FLOAT_FLAG, DATE_FLAG, JSON_FLAG = 1, 2, 4, 8
+ALL_FLAGS = 15
+
+
+def type_flags(c: Column, with_json: bool = True) -> Column:
+    """Which of integer, float, date and JSON the text can be, as bits.
+
+    Empty text can be anything, null has no flags.  The tests run in order and
+    stop at the first that holds; what an integer or float can be besides is
+    decided by cheaper means than the full tests (of the date shapes only the
+    compact one is an integer and none is a float; only a doubled sign keeps an
+    integer from being a float).
+    """
+    as_float = F.when(c.startswith("--"), 0).otherwise(FLOAT_FLAG)
+    as_date = F.when((F.length(c) == 8) & F.try_to_date(c, COMPACT_DATE).isNotNull(), DATE_FLAG).otherwise(0)
+    out = (F.when(c.isNull(), F.lit(None).cast("int")).when(c == "", ALL_FLAGS)
+           .when(is_integer_text(c), F.lit(INTEGER_FLAG) + as_float + as_date)
+           .when(is_float_text(c), FLOAT_FLAG).when(is_date_text(c), DATE_FLAG))
+    if with_json:
+        out = out.when(is_json_text(c), JSON_FLAG)
+    return out.otherwise(0)
+
+
 def is_email_strict(c: Column) -> Column:
     return c.rlike(EMAIL_STRICT_PATTERN)
 

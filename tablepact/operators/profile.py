@@ -14,31 +14,38 @@ from tablepact.functions.text import quoted
 from tablepact.plans.shapes import measure_rows
 
 
-def _all_values(c: Column, test: Column) -> Column:
-    """True when every non-empty value passes; vacuously true without any."""
-    return F.coalesce(F.bool_and(F.when(c != "", test)), F.lit(True))
-
-
-def inferred_type(c: Column, with_json: bool = True) -> Column:
-    """Aggregate: the first of integer, float, date, json that fits all values.
+def flags_type(flags: Column) -> Column:
+    """Aggregate over ``predicates.type_flags``: the first of integer, float,
+    date, json that fits all values.
 
     No values at all give ``unknown``; only empty text gives ``integer``,
     because every test holds vacuously.
     """
-    out = (F.when(F.count(c) == 0, F.lit("unknown"))
-           .when(_all_values(c, P.is_integer_text(c)), F.lit("integer"))
-           .when(_all_values(c, P.is_float_text(c)), F.lit("float"))
-           .when(_all_values(c, P.is_date_text(c)), F.lit("date")))
-    if with_json:
-        out = out.when(_all_values(c, P.is_json_text(c)), F.lit("json"))
+    common = F.bit_and(flags)
+    out = F.when(common.isNull(), F.lit("unknown"))
+    for flag, name in ((P.INTEGER_FLAG, "integer"), (P.FLOAT_FLAG, "float"), (P.DATE_FLAG, "date"),
+                       (P.JSON_FLAG, "json")):
+        out = out.when(common.bitwiseAND(F.lit(flag)) != 0, F.lit(name))
     return out.otherwise(F.lit("string"))
 
 
+def inferred_type(c: Column, with_json: bool = True) -> Column:
+    """Aggregate: the type of one text column."""
+    return flags_type(P.type_flags(c, with_json))
+
+
+def _text(name: str) -> Column:
+    return F.col(quoted(name)).cast("string")
+
+
 def infer_types(df: DataFrame, with_json: bool = True) -> DataFrame:
     """Type of every column over all rows of ``df``, in one aggregation."""
-    return measure_rows(df, [
-        {"position": i, "column": n,
-         "type": inferred_type(F.col(quoted(n)).cast("string"), with_json)}
+    # The flags are a projection of their own: it compiles, and the aggregate
+    # above it stays a row of small integers.
+    flagged = df.select(*[P.type_flags(_text(n), with_json).alias(f"_f{i}")
+                          for i, n in enumerate(df.columns)])
+    return measure_rows(flagged, [
+        {"position": i, "column": n, "type": flags_type(F.col(f"_f{i}"))}
         for i, n in enumerate(df.columns)])
 
 
@@ -52,30 +59,32 @@ def infer_schema(df: DataFrame, sample_size: int | None = 100,
     whole table.  ``sample_size=None`` infers types from every row, in the same
     pass as the null counts.
     """
-    names = df.columns
-    text = {n: F.col(quoted(n)).cast("string") for n in names}
-    counts = []
-    for i, n in enumerate(names):
-        row = {"position": i, "column": n, "row_count": F.count(F.lit(1)),
-               "null_count": F.count_if(P.is_blank(text[n]))}
-        if sample_size is None:
-            row["type"] = inferred_type(text[n], with_json)
-        counts.append(row)
-    whole = measure_rows(df, counts)
+    names = list(enumerate(df.columns))
+    blanks = [P.is_blank(_text(n)).alias(f"_b{i}") for i, n in names]
+    flags = [P.type_flags(_text(n), with_json).alias(f"_f{i}") for i, n in names]
+    from_all_rows = sample_size is None
+    marked = df.select(*blanks, *(flags if from_all_rows else []))
+    whole = measure_rows(marked, [
+        {"position": i, "column": n, "row_count": F.count(F.lit(1)),
+         "null_count": F.count_if(F.col(f"_b{i}")),
+         **({"type": flags_type(F.col(f"_f{i}"))} if from_all_rows else {})}
+        for i, n in names])
 
     head = df.orderBy(*order_by) if order_by else df
     # After the limit the rows are few and in order; the id keeps that order.
-    head = head.limit(sample_size or 100).withColumn("_i", F.monotonically_increasing_id())
-    head_rows = []
-    for n in names:
-        ordered = F.array_sort(F.collect_list(
-            F.when(text[n].isNotNull(), F.struct("_i", text[n].alias("v")))))
-        row = {"column": n, "sample_values": F.slice(F.transform(ordered, lambda x: x["v"]),
-                                                     1, sample_values)}
-        if sample_size is not None:
-            row["type"] = inferred_type(text[n], with_json)
-        head_rows.append(row)
-    sampled = measure_rows(head, head_rows)
+    head = head.limit(sample_size or 100).select(
+        F.monotonically_increasing_id().alias("_i"),
+        *[_text(n).alias(f"_v{i}") for i, n in names], *([] if from_all_rows else flags))
+
+    def first_values(i: int) -> Column:
+        value = F.col(f"_v{i}")
+        held = F.collect_list(F.when(value.isNotNull(), F.struct("_i", value.alias("v"))))
+        return F.slice(F.transform(F.array_sort(held), lambda x: x["v"]), 1, sample_values)
+
+    sampled = measure_rows(head, [
+        {"column": n, "sample_values": first_values(i),
+         **({} if from_all_rows else {"type": flags_type(F.col(f"_f{i}"))})}
+        for i, n in names])
 
     # Both sides have one row per column of the table.
     joined = whole.join(F.broadcast(sampled), "column")
