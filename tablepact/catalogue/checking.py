@@ -146,14 +146,29 @@ def rows_split_by_errors(spark, sf_dir):
 
 # --- frame validation -------------------------------------------------------
 
+ISSUE_TEXT = {
+    "missing_column": "'Column ''{column}'' missing from cleaned data'",
+    "extra_column": "'Extra column ''{column}'' not in ideal schema'",
+    "null_values": "concat('Column has ', {count}, ' null values but is defined as NOT NULL')",
+    "type_mismatch": "concat('Expected type ''', {expected}, ''', got ''', {actual}, '''')",
+    "below_min": "concat({count}, ' values below minimum ', {expected})",
+    "above_max": "concat({count}, ' values above maximum ', {expected})",
+    "invalid_enum": "concat({count}, ' values not in allowed enum: ', {expected})",
+    "too_short": "concat({count}, ' values shorter than minimum length ', {expected})",
+    "too_long": "concat({count}, ' values longer than maximum length ', {expected})",
+    "invalid_email": "concat({count}, ' values have invalid email format')",
+}
+
+
 def issue(column, name, count, *, expected=None, actual=None, severity="high", hits=None, source="t",
           examples="''"):
     def lit(v):
         return "CAST(NULL AS VARCHAR)" if v is None else v
 
+    text = ISSUE_TEXT[name].format(column=column, count=count, expected=expected, actual=actual)
     return (f"SELECT '{column}' AS \"column\", '{name}' AS issue, {count} AS count, "
             f"{lit(expected)} AS expected, {lit(actual)} AS actual, '{severity}' AS severity, "
-            f"{examples} AS examples, {hits or count} AS hits FROM {source}")
+            f"{text} AS message, {examples} AS examples, {hits or count} AS hits FROM {source}")
 
 
 def count_where(condition: str) -> str:
@@ -189,7 +204,7 @@ FRAME_PARTS = [
     issue("score", "below_min", count_where("score < 0"), expected="'0.0'", actual=double_text("min(score)")),
     issue("score", "above_max", count_where("score > 100"), expected="'100.0'", actual=double_text("max(score)")),
     issue("status", "invalid_enum", count_where(f"status NOT IN ({STATUS_LIST})"),
-          expected="'active, inactive, pending, suspended'", examples=BAD_STATUS),
+          expected="'[''active'', ''inactive'', ''pending'', ''suspended'']'", examples=BAD_STATUS),
     issue("email", "invalid_email", count_where(f"NOT regexp_matches(email, '{STRICT}')")),
     issue("metadata", "type_mismatch", NO_COUNT, expected="'json'", actual="'string'",
           hits=count_where("NOT json_valid(metadata)")),
@@ -207,7 +222,7 @@ def typed_users(spark, sf_dir):
 @query("frame_issues_users", "V2 V4 V5 V6 V8 V9 V10", issues_sql(BASIC_USERS, FRAME_PARTS))
 def frame_issues_users(spark, sf_dir):
     found = framecheck.frame_issues(typed_users(spark, sf_dir), USERS)
-    return found.drop("message").withColumn("examples", F.concat_ws("|", "examples"))
+    return found.withColumn("examples", F.concat_ws("|", "examples"))
 
 
 @query("frame_issues_staged_orders", "V1 V3 V7 V9 V10", issues_sql(
@@ -223,8 +238,7 @@ def frame_issues_users(spark, sf_dir):
                       ("item_count", "integer"))]))
 def frame_issues_staged_orders(spark, sf_dir):
     staged = dirty(spark, sf_dir, "dirty_orders").drop("customer_id").withColumn("batch", F.lit(1))
-    return framecheck.frame_issues(staged, ORDERS).drop("message").withColumn(
-        "examples", F.concat_ws("|", "examples"))
+    return framecheck.frame_issues(staged, ORDERS).withColumn("examples", F.concat_ws("|", "examples"))
 
 
 @query("frame_summary_cleaned", "V10", " UNION ALL ".join(

@@ -8,6 +8,7 @@ evaluates them all.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 
@@ -150,12 +151,13 @@ def _measures(df: DataFrame, check: Check, error: str | None):
         return NULL_COUNT, NULL_COUNT, error
     if check.condition is None:
         return F.count(F.lit(1)), NULL_COUNT, None
-    if check.kind in ("min", "max") and isinstance(df.schema[check.column].dataType, T.StringType):
+    bounded = re.fullmatch(r".+ ([<>]) (-?[0-9.]+(?:[eE][+-]?[0-9]+)?)", check.condition)
+    if check.kind in ("min", "max") and bounded and isinstance(df.schema[check.column].dataType, T.StringType):
         # Bounds on a text column: compare what parses, report the rest as an error
         # of this check alone instead of failing the whole aggregation.
         c = F.col(quoted(check.column))
         number = F.when(P.is_number_text(c), F.trim(c).try_cast("double"))
-        sign, bound = check.condition.rsplit(" ", 2)[-2:]
+        sign, bound = bounded.groups()
         outside = number < float(bound) if sign == "<" else number > float(bound)
         return F.count_if(outside), F.count_if(c.isNotNull() & number.isNull()), None
     return F.expr(f"count_if({check.condition})"), NULL_COUNT, None

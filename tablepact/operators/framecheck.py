@@ -15,16 +15,29 @@ from tablepact.functions.types import contract_type_of
 from tablepact.plans.shapes import NULL_COUNT, NULL_TEXT, Label, measure_rows, smallest_values
 
 
-def _row(column, issue, hits, message, *, count=None, expected=None, actual=None, severity="high"):
-    def text(v):
-        if v is None:
-            return NULL_TEXT
-        return v if not isinstance(v, (int, float)) else str(v)
-
+# Issue messages; {n} stands for the number of values.
+MESSAGES = {
+    "missing_column": "Column '{column}' missing from cleaned data",
+    "extra_column": "Extra column '{column}' not in ideal schema",
+    "null_values": "Column has {n} null values but is defined as NOT NULL",
+    "type_mismatch": "Expected type '{expected}', got '{actual}'",
+    "below_min": "{n} values below minimum {expected}",
+    "above_max": "{n} values above maximum {expected}",
+    "invalid_enum": "{n} values not in allowed enum: {expected}",
+    "too_short": "{n} values shorter than minimum length {expected}",
+    "too_long": "{n} values longer than maximum length {expected}",
+    "invalid_email": "{n} values have invalid email format",
+}
+
+
+def _row(column, issue, hits, *, count=None, expected=None, actual=None, severity="high"):
+    """One possible issue; ``hits`` above zero makes it an actual one."""
+    message = MESSAGES[issue].format(n="{n}", column=column, expected=expected, actual=actual)
     return {"column": column, "issue": issue,
-            "count": count if count is not None else NULL_COUNT,
-            "expected": text(expected), "actual": text(actual), "severity": severity,
-            "message": message, "_hits": hits}
+            "count": NULL_COUNT if count is None else count,
+            "expected": NULL_TEXT if expected is None else str(expected),
+            "actual": NULL_TEXT if actual is None else actual,
+            "severity": severity, "message": message, "_hits": hits}
 
 
 def _rules(df: DataFrame, contract: TableContract) -> list[dict]:
@@ -32,51 +45,42 @@ def _rules(df: DataFrame, contract: TableContract) -> list[dict]:
     rows = []
     for rule in contract.columns:
         if rule.name not in df.columns:
-            rows.append(_row(rule.name, "missing_column", one, "Column missing from cleaned data"))
+            rows.append(_row(rule.name, "missing_column", one))
             continue
         c = F.col(quoted(rule.name))
         dtype = df.schema[rule.name].dataType
         is_text = isinstance(dtype, T.StringType)
 
-        def counted(issue, condition, message, rule=rule, **extra):
+        def counted(issue, condition, rule=rule, **extra):
             n = F.count_if(condition)
-            rows.append(_row(rule.name, issue, n, message, count=n, **extra))
+            rows.append(_row(rule.name, issue, n, count=n, **extra))
 
         if not rule.nullable_in_checks:
-            counted("null_values", c.isNull(), "Null values in a NOT NULL column")
+            counted("null_values", c.isNull())
         actual = contract_type_of(dtype)
         if rule.type == "json" and is_text:
-            rows.append(_row(rule.name, "type_mismatch",
-                             F.count_if(c.isNotNull() & ~P.is_valid_json(c)),
-                             "Column type differs", expected="json", actual="string"))
+            rows.append(_row(rule.name, "type_mismatch", F.count_if(c.isNotNull() & ~P.is_valid_json(c)),
+                             expected="json", actual="string"))
         elif actual != rule.type:
-            rows.append(_row(rule.name, "type_mismatch", one, "Column type differs",
-                             expected=rule.type, actual=actual))
+            rows.append(_row(rule.name, "type_mismatch", one, expected=rule.type, actual=actual))
         if rule.type in ("integer", "float") and isinstance(dtype, T.NumericType):
             low, high = rule.bound("min"), rule.bound("max")
             if low is not None:
-                counted("below_min", c < low, "Values below the minimum",
-                        expected=low, actual=F.min(c).cast("double").cast("string"))
+                counted("below_min", c < low, expected=low, actual=F.min(c).cast("double").cast("string"))
             if high is not None:
-                counted("above_max", c > high, "Values above the maximum",
-                        expected=high, actual=F.max(c).cast("double").cast("string"))
+                counted("above_max", c > high, expected=high, actual=F.max(c).cast("double").cast("string"))
         if rule.enum is not None:
-            counted("invalid_enum", ~c.isin(*rule.enum), "Values outside the allowed list",
-                    expected=", ".join(map(str, rule.enum)))
+            counted("invalid_enum", ~c.isin(*rule.enum), expected=list(rule.enum))
         if rule.type == "string" and is_text:
             low, high = rule.bound("min_length"), rule.bound("max_length")
             if low is not None:
-                counted("too_short", F.length(c) < low, "Values shorter than the minimum length",
-                        expected=low, severity="medium")
+                counted("too_short", F.length(c) < low, expected=low, severity="medium")
             if high is not None:
-                counted("too_long", F.length(c) > high, "Values longer than the maximum length",
-                        expected=high, severity="medium")
+                counted("too_long", F.length(c) > high, expected=high, severity="medium")
         if rule.format == "email":
-            counted("invalid_email", ~P.is_email_strict(c.cast("string")), "Invalid e-mail addresses")
+            counted("invalid_email", ~P.is_email_strict(c.cast("string")))
     named = set(contract.names)
-    rows += [_row(n, "extra_column", one, "Column not in the contract")
-             for n in df.columns if n not in named]
-    return rows
+    return rows + [_row(n, "extra_column", one) for n in df.columns if n not in named]
 
 
 def frame_issues(df: DataFrame, contract: TableContract, examples: int = 5) -> DataFrame:
@@ -85,7 +89,9 @@ def frame_issues(df: DataFrame, contract: TableContract, examples: int = 5) -> D
     For value lists the smallest distinct bad values are added as examples.
     """
     rules = _rules(df, contract)
-    found = measure_rows(df, rules).filter(F.col("_hits") > 0).drop("_hits")
+    number = F.coalesce(F.col("count").cast("string"), F.lit(""))
+    found = measure_rows(df, rules).filter(F.col("_hits") > 0).drop("_hits").withColumn(
+        "message", F.replace("message", F.lit("{n}"), number))
     listed = [r for r in contract.columns if r.enum is not None and r.name in df.columns]
     if not listed:
         return found.withColumn("examples", F.array().cast("array<string>"))
@@ -102,8 +108,8 @@ def frame_issues(df: DataFrame, contract: TableContract, examples: int = 5) -> D
 
 def frame_summary(df: DataFrame, contract: TableContract) -> DataFrame:
     """Row count, number of issues and validity in one row."""
-    rows = _rules(df, contract) + [_row("", "row_count", F.count(F.lit(1)), "")]
-    measured = measure_rows(df, rows)
+    rows = [{"issue": r["issue"], "_hits": r["_hits"]} for r in _rules(df, contract)]
+    measured = measure_rows(df, [*rows, {"issue": "row_count", "_hits": F.count(F.lit(1))}])
     is_total = F.col("issue") == "row_count"
     return measured.agg(
         F.max(F.when(is_total, F.col("_hits"))).alias("row_count"),
