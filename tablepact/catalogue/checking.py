@@ -424,7 +424,7 @@ FROM ({results_sql(f"({CLEAN_USERS_SQL})", user_checks("users_clean"))})""")
 def check_report_users(spark, sf_dir):
     raw, out = dirty(spark, sf_dir, "dirty_users"), cleaned(spark, sf_dir, "dirty_users")
     results = check_results(out, USERS, "users_clean")
-    return K.report(results, out, raw, "users", "users_clean").drop("check_results")
+    return K.report(results, out, raw, "users", "users_clean").drop("check_results", "executed_at")
 
 
 @query("failed_checks_unrepaired", "G16", f"SELECT check_id, actual FROM ({UNREPAIRED_SQL}) WHERE status = 'FAIL'")
@@ -448,7 +448,8 @@ def validate_output_transactions(spark, sf_dir):
     folder = scratch(spark, "checks")
     sinks.cached_checks(spark, TRANSACTIONS, folder)
     raw = dirty(spark, sf_dir, "dirty_transactions")
-    return flows.validate_output(spark, TRANSACTIONS, clean(raw, TRANSACTIONS), folder, raw).drop("check_results")
+    return flows.validate_output(spark, TRANSACTIONS, clean(raw, TRANSACTIONS), folder, raw).drop(
+        "check_results", "executed_at")
 
 
 @query("clean_check_and_write_orders", "K18 G13 S12 H12", results_sql(f"({CLEAN_ORDERS_SQL})", ORDER_CHECKS))

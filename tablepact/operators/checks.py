@@ -264,6 +264,7 @@ def report(results: DataFrame, output: DataFrame, source: DataFrame | None = Non
     """One-row report: totals, source and output row counts, results as an array.
 
     The array holds one entry per check, so its size is that of the contract.
+    Checks have no duration of their own, because one aggregation runs them all.
     """
     if source_rows is not None:
         source_count = F.lit(source_rows).cast("bigint")
@@ -280,7 +281,7 @@ def report(results: DataFrame, output: DataFrame, source: DataFrame | None = Non
     )
     return body.select(
         F.lit(name).alias("name"), F.lit(output_table).alias("output_table"),
-        "total_checks", "checks_passed", "checks_failed", "checks_errored",
+        F.current_timestamp().alias("executed_at"), "total_checks", "checks_passed", "checks_failed", "checks_errored",
         F.when(F.col("checks_failed") > 0, "FAIL").when(F.col("checks_errored") > 0, "WARN")
         .otherwise("PASS").alias("overall_status"),
         source_count.alias("source_row_count"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,17 @@ def clean_check_and_write(raw: DataFrame, contract: TableContract, path: str) ->
     return results, seen["c0"]
 
 
+def measured_write(df: DataFrame, path: str, query_count: int = 1) -> DataFrame:
+    """Write and return one row of run metrics for ``consistency.throughput_status``.
+
+    The rows are counted by the write itself.
+    """
+    start = time.perf_counter()
+    rows = sinks.counted_write(df, path)
+    return df.sparkSession.createDataFrame(
+        [(rows, time.perf_counter() - start, query_count)], "rows long, seconds double, query_count int")
+
+
 def validate_output(spark: SparkSession, contract: TableContract, output: DataFrame,
                     checks_folder: str, source: DataFrame | None = None,
                     output_table: str | None = None, name: str = "") -> DataFrame:

@@ -10,7 +10,7 @@ from tablepact.contracts import ORDERS, ROW_CHECK_USERS, TRANSACTIONS, USERS
 from tablepact.functions import predicates as P
 from tablepact.operators import checks as K
 from tablepact.operators import clean as CL
-from tablepact.operators import compare, framecheck, profile, rowcheck
+from tablepact.operators import compare, consistency, framecheck, profile, rowcheck
 from tablepact.plans import flows
 from tablepact.sources import files, strict
 
@@ -235,3 +235,9 @@ def test_clean_check_and_write(spark, raw, tmp_path):
     results, rows = flows.clean_check_and_write(raw["users"], USERS, path)
     assert rows == 13 and spark.read.parquet(path).count() == 13
     assert results.filter("status = 'PASS'").count() == 26
+
+
+def test_measured_write(spark, raw, tmp_path):
+    metrics = flows.measured_write(CL.clean(raw["orders"], ORDERS), str(tmp_path / "m"))
+    verdict = consistency.throughput_status(metrics).first()
+    assert verdict.rows == 13 and verdict.seconds > 0 and verdict.performance_status in ("PASS", "WARN")

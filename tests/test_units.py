@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablepact.contract import ColumnRule, TableContract
-from tablepact.contracts import ORDERS, ORDERS_DOCUMENT, USERS_DOCUMENT
+from tablepact.contracts import ORDERS, ORDERS_DOCUMENT, USERS, USERS_DOCUMENT
 from tablepact.functions import coerce as C
 from tablepact.functions import predicates as P
 from tablepact.functions import text, types
@@ -253,3 +253,58 @@ def test_date_formats(spark):
     df = CL.clean(texts(spark, ["05/02/2024", "2024-02-05", "x"]).select("v"), contract,
                   date_formats=("yyyy-MM-dd", "dd/MM/yyyy"))
     assert [r.v for r in df.collect()] == [datetime.date(2024, 2, 5)] * 2 + [datetime.date(1970, 1, 1)]
+
+
+def test_columns_without_default_are_named():
+    assert CL.null_coercion_report(ORDERS) == ["order_id", "customer_id"]
+
+
+def test_result_filters(spark):
+    results = spark.createDataFrame(
+        [("a", "FAIL", "critical"), ("b", "FAIL", "high"), ("c", "ERROR", "critical"), ("d", "PASS", "critical")],
+        "check_id string, status string, severity string")
+    ids = lambda df: [r.check_id for r in df.orderBy("check_id").collect()]
+    assert (ids(K.failed(results)), ids(K.errored(results)), ids(K.critical_failures(results))) == (
+        ["a", "b"], ["c"], ["a"])
+
+
+def test_frame_messages(spark):
+    contract = TableContract.from_dict("t", {"columns": [
+        {"name": "n", "type": "integer", "nullable": False, "constraints": {"min": 0, "max": 9}},
+        {"name": "s", "type": "string", "enum": ["x", "y"], "constraints": {"max_length": 2}},
+        {"name": "e", "type": "string", "format": "email"}, {"name": "gone", "type": "string"}]})
+    df = spark.createDataFrame([(None, "zzz", "a@b"), (-1, "x", "a@b.cd"), (12, "w", None)],
+                               "n int, s string, e string").withColumn("extra", F.lit(1.5))
+    found = {(r.column, r.issue): r for r in framecheck.frame_issues(df, contract).collect()}
+    assert {k: r.message for k, r in found.items()} == {
+        ("n", "null_values"): "Column has 1 null values but is defined as NOT NULL",
+        ("n", "below_min"): "1 values below minimum 0", ("n", "above_max"): "1 values above maximum 9",
+        ("s", "invalid_enum"): "2 values not in allowed enum: ['x', 'y']",
+        ("s", "too_long"): "1 values longer than maximum length 2",
+        ("e", "invalid_email"): "1 values have invalid email format",
+        ("gone", "missing_column"): "Column 'gone' missing from cleaned data",
+        ("extra", "extra_column"): "Extra column 'extra' not in ideal schema"}
+    assert found["s", "invalid_enum"].examples == ["w", "zzz"]
+    assert (found["n", "below_min"].actual, found["n", "above_max"].actual) == ("-1.0", "12.0")
+    summary = framecheck.frame_summary(df, contract).first()
+    assert (summary.row_count, summary.issue_count, summary.is_valid) == (3, 8, False)
+
+
+MESSY = st.one_of(
+    st.none(), st.text(max_size=12), st.sampled_from(["", "N/A", "nan", "inf", "-inf", "1e400", "5d", "--5", "1_0", " 7 "]),
+    st.integers(-10**12, 10**12).map(str), st.floats(allow_nan=False).map(str),
+    st.dates(datetime.date(1, 1, 1)).map(str), st.emails(), st.sampled_from(["active", "closed", "pending"]),
+    st.sampled_from(['{"a": [1, "]"]}', "{'a': 1}", '{"a"', "[]", "null", "{}x"]))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(*[MESSY] * 8), min_size=25, max_size=50))
+def test_cleaning_properties(spark, rows):
+    """Whatever comes in: rows are kept, all checks pass, cleaning again changes nothing."""
+    usable = [(str(i), *row[1:]) for i, row in enumerate(rows)]
+    raw = spark.createDataFrame(usable, ", ".join(f"{n} string" for n in USERS.names))
+    cleaned = CL.clean(raw, USERS)
+    assert cleaned.count() == len(rows)
+    failures = K.run_checks(cleaned, K.generate_checks(USERS)).filter("status <> 'PASS'").collect()
+    assert failures == []
+    assert shapes.multiset_difference(CL.clean(cleaned, USERS), cleaned).count() == 0
