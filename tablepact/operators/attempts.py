@@ -35,6 +35,7 @@ def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
     of its pipeline, ``attempt_num`` (the one of its type), ``total_attempts`` and
     ``total_pipelines`` over the whole log, and ``last_error``, the latest
     non-empty error of the pipeline before it.  Successes do not reset it.
+    The ranges of the log are written to the checkpoint folder when this is called.
     """
     order = list(order_by)
     has_error = F.col("error").isNotNull() & (F.col("error") != "")

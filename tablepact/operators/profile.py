@@ -127,7 +127,8 @@ def quality_report(df: DataFrame, columns: Sequence[str] | None = None,
     of columns.  ``digest``: the same, but text is told apart by its SHA-256
     digest, so that long text does not go through the shuffle; min and max of the
     text columns cost one more scan of them.  ``approx``: one aggregation over
-    all columns without a shuffle of values.
+    all columns without a shuffle of values; also the choice for row-oriented
+    sources such as CSV, where reading one column means parsing all of them.
     """
     chosen = list(columns or df.columns)
     text = [n for n in chosen if isinstance(df.schema[n].dataType, (T.StringType, T.BinaryType))]

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.functions.text import sql_literal
+from tablepact.functions.text import quoted, sql_literal
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
     One shuffle with map-side combine instead of two ``exceptAll`` passes.
     """
-    columns = left.columns
+    columns = [F.col(quoted(c)) for c in left.columns]
     tagged = (left.select(*columns, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
               .unionAll(right.select(*columns, F.lit(0).alias("_l"), F.lit(1).alias("_r"))))
     return (tagged.groupBy(*columns)

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.contract import TableContract
-from tablepact.functions.text import human_size
-from tablepact.operators.clean import basic_column
 from tablepact.functions.coerce import na_to_null
-from tablepact.functions.text import quoted
+from tablepact.functions.text import human_size, quoted
+from tablepact.operators.clean import basic_column
 
 
 def all_text(names: Sequence[str]) -> T.StructType:
@@ -86,7 +85,8 @@ def with_line_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
                             F.coalesce(before, F.lit(0)).alias("_before"))
     numbered = placed.join(offsets, ["_file", "_block"])
     return numbered.select(
-        (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(name), *df.columns)
+        (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(name),
+        *[F.col(quoted(c)) for c in df.columns])
 
 
 def read_log(spark: SparkSession, path: str, tail_n: int = 100) -> DataFrame:

@@ -15,24 +15,33 @@ from tablepact.functions.types import spark_type
 from tablepact.operators.consistency import duplicate_keys
 
 
+def _converts(c: Column, rule) -> Column:
+    """The text is missing or fits the column's type."""
+    return P.is_blank(c.cast("string")) | c.try_cast(spark_type(rule.type)).isNotNull()
+
+
 def typed_projection(raw: DataFrame, contract: TableContract, created_at: Column | None = None) -> DataFrame:
-    """Hard casts and NOT NULL assertions; running it fails on the first bad row.
+    """Typed rows; running it fails on the first value that does not convert and
+    on the first missing value of a NOT NULL column.
 
     Empty text is missing, as in the staging table.  The assertions sit in a
-    filter, so they hold whichever columns are read later.
+    filter over the raw rows, so they hold for every column whichever are read
+    later, and whether or not the session uses ANSI casts.
     """
-    out, holds = [], []
+    checked = raw
     for rule in contract.columns:
         c = F.col(quoted(rule.name))
-        out.append(F.when(~P.is_blank(c.cast("string")), c).cast(spark_type(rule.type)).alias(rule.name))
+        name = f"{contract.name}.{rule.name}"
+        checked = checked.filter(F.assert_true(
+            _converts(c, rule), f"Conversion failed: {name} to {rule.type}").isNull())
         if not rule.nullable_in_checks:
-            holds.append(F.assert_true(c.isNotNull(), (
-                f"NOT NULL constraint failed: {contract.name}.{rule.name}")).isNull())
+            checked = checked.filter(F.assert_true(
+                ~P.is_blank(c.cast("string")), f"NOT NULL constraint failed: {name}").isNull())
+    typed = [
+        F.when(~P.is_blank(F.col(quoted(r.name)).cast("string")), F.col(quoted(r.name)))
+        .try_cast(spark_type(r.type)).alias(r.name) for r in contract.columns]
     stamp = F.current_timestamp() if created_at is None else created_at
-    typed = raw.select(*out, stamp.alias("created_at"))
-    for condition in holds:
-        typed = typed.filter(condition)
-    return typed
+    return checked.select(*typed, stamp.alias("created_at"))
 
 
 def strict_load(raw: DataFrame, contract: TableContract, created_at: Column | None = None) -> DataFrame:
@@ -70,11 +79,10 @@ def breaks_load(raw: DataFrame, contract: TableContract) -> Column:
     """True for rows a strict load would refuse (key uniqueness aside)."""
     bad = F.lit(False)
     for rule in contract.columns:
-        c = F.col(quoted(rule.name)).cast("string")
-        typed = c.try_cast(spark_type(rule.type))
+        c = F.col(quoted(rule.name))
+        bad = bad | ~_converts(c, rule)
         if not rule.nullable_in_checks:
-            bad = bad | P.is_blank(c)
-        bad = bad | (~P.is_blank(c) & typed.isNull())
+            bad = bad | P.is_blank(c.cast("string"))
     return bad
 
 

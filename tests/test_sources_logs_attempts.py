@@ -70,13 +70,17 @@ def test_strict_load(spark, tmp_path):
         return spark.createDataFrame(list(values), "id string, v string")
     loaded = strict.strict_load(rows(("1", "2.5"), ("2", "")), KEYED)
     assert [(r.id, r.v) for r in loaded.orderBy("id").collect()] == [(1, 2.5), (2, None)]
-    for bad, message in ((rows(("1", "x")), "CAST_INVALID_INPUT"), (rows(("", "1")), "NOT NULL"),
+    for bad, message in ((rows(("1", "x")), "Conversion failed: t.v to float"), (rows(("", "1")), "NOT NULL"),
                          (rows(("1", "1"), ("1", "2")), "PRIMARY KEY")):
         with pytest.raises(Exception, match=message):
             strict.strict_load(bad, KEYED).collect()
     # the assertions hold even when only some columns are read
     with pytest.raises(Exception, match="NOT NULL"):
         strict.strict_load(rows(("", "1")), KEYED).select("v").collect()
+    with pytest.raises(Exception, match="Conversion"):
+        strict.strict_load(rows(("1", "x")), KEYED).select("id").collect()
+    with pytest.raises(Exception, match="PRIMARY KEY"):
+        strict.strict_load(rows(("1", "1"), ("1", "2")), KEYED).count()
 
 
 def test_failed_load_leaves_the_target(spark, tmp_path):
