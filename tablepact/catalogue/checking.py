@@ -452,7 +452,7 @@ def validate_output_transactions(spark, sf_dir):
         "check_results", "executed_at")
 
 
-@query("clean_check_and_write_orders", "K18 G13 S12 H12", results_sql(f"({CLEAN_ORDERS_SQL})", ORDER_CHECKS))
+@query("clean_check_and_write_orders", "K18 G13 S12", results_sql(f"({CLEAN_ORDERS_SQL})", ORDER_CHECKS))
 def clean_check_and_write_orders(spark, sf_dir):
     """Cleaning, checks and the write in one pass over the raw table."""
     raw = dirty(spark, sf_dir, "dirty_orders")

@@ -201,7 +201,7 @@ def clean_document_lengths(spark, sf_dir):
     return clean(documents, contract, extra="drop", na_tokens=False)
 
 
-@query("clean_lineitem", "K3 K5 K6 K8 K18 K24", """
+@query("clean_lineitem", "K3 K5 K6 K8 K18", """
 SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey,
   CAST(trunc(least(greatest(coalesce(l_quantity, 1), 5), 45)) AS INTEGER) AS l_quantity,
   least(greatest(l_extendedprice, CAST(1000 AS DOUBLE)), CAST(90000 AS DOUBLE)) AS l_extendedprice,

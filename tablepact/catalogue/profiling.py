@@ -245,10 +245,10 @@ def bad_value_histogram(spark, sf_dir):
     return profile.value_histogram(raw, "age", P.lacks_digit(F.col("age"), literal_brackets=True))
 
 
-@query("order_amount_histogram", "P16", """
+@query("order_priority_histogram", "P16", """
 SELECT o_orderpriority AS value, 'string' AS value_type, count(*) AS value_count
 FROM orders GROUP BY o_orderpriority ORDER BY value_count DESC, value""")
-def order_amount_histogram(spark, sf_dir):
+def order_priority_histogram(spark, sf_dir):
     return profile.value_histogram(faults.table(spark, sf_dir, "orders"), "o_orderpriority")
 
 
@@ -298,7 +298,7 @@ ISSUES_TAIL = """ SELECT name AS "column", 'type_mismatch' AS type, ctype AS exp
 
 def _compared(spark, sf_dir, name, contract, merged=False):
     raw = faults.table(spark, sf_dir, name)
-    return compare.compare_profile(profile.infer_schema(raw, sample_size=None), contract, merged)
+    return compare.compare_schema(raw, contract, sample_size=None, merged=merged)
 
 
 # A contract that names a column the source lacks and omits one it has.

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepact.contract import TableContract
+from tablepact.operators.profile import infer_schema
 
 
 def _issue(kind: str, expected: Column | None = None, actual: Column | None = None,
@@ -61,6 +63,12 @@ def compare_profile(profile: DataFrame, contract: TableContract, merged: bool =
         _recommendations(contract, merged).alias("recommendations"), "sample_values")
 
 
+def compare_schema(df: DataFrame, contract: TableContract, sample_size: int | None = 100,
+                   order_by: Sequence[str | Column] = (), merged: bool = False) -> DataFrame:
+    """Profile a raw table and compare it with the contract."""
+    return compare_profile(infer_schema(df, sample_size, order_by), contract, merged)
+
+
 def _recommendations(contract: TableContract, merged: bool) -> Column:
     defaults = {c.name: json.dumps(c.default) for c in contract.columns if c.default is not None}
     pairs = [F.lit(x) for kv in defaults.items() for x in kv]
