@@ -64,12 +64,17 @@ def numbered_rows(spark, sf_dir):
         F.min("row_number").alias("first_number"), F.max("row_number").alias("last_number"))
 
 
-@query("valid_source_files", "S4")
+FILE_NAME = r"([a-z]+)\.parquet$"
+
+
+@query("valid_source_files", "S4", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) > 0 AS is_valid FROM {t}" for t in TABLES))
 def valid_source_files(spark, sf_dir):
     for name in TABLES:
         files.validate_source(spark, f"{sf_dir}/{name}.parquet")
     found = files.file_metadata(spark, f"{sf_dir}/*.parquet")
-    return found.select("path", "size_bytes", (F.col("size_bytes") > 0).alias("is_valid"))
+    return found.select(F.regexp_extract("path", FILE_NAME, 1).alias("name"),
+                        (F.col("size_bytes") > 0).alias("is_valid"))
 
 
 @query("file_metadata", "S5 X1")
@@ -77,10 +82,20 @@ def file_metadata(spark, sf_dir):
     return files.file_metadata(spark, f"{sf_dir}/*.parquet")
 
 
-@query("inspect_file", "S6")
+@query("file_flags", "S5", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, true AS exists, true AS is_file, false AS is_directory, true AS has_readable_size" for t in TABLES))
+def file_flags(spark, sf_dir):
+    return files.file_metadata(spark, f"{sf_dir}/*.parquet").select(
+        F.regexp_extract("path", FILE_NAME, 1).alias("name"), "exists", "is_file", "is_directory",
+        F.col("size_human").rlike(r"^[0-9]+\.[0-9] [KMGTP]?B$").alias("has_readable_size"))
+
+
+@query("inspect_file", "S6", f"""
+SELECT least(count(*), 10) AS rows, '{"|".join(USERS.names)}' AS columns FROM customer""")
 def inspect_file(spark, sf_dir):
+    """What an inspection says of a folder of files with the same columns."""
     described, _ = files.inspect_file(spark, as_csv(spark, sf_dir, "dirty_users"))
-    return described
+    return described.select(F.col("rows"), F.concat_ws("|", "columns").alias("columns")).distinct()
 
 
 @query("log_tail", "S7", f"SELECT line FROM {faults.sql('log_lines')} ORDER BY event_id DESC LIMIT 100")
