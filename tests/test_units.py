@@ -15,7 +15,7 @@ from tablepact.functions import text, types
 from tablepact.operators import checks as K
 from tablepact.operators import clean as CL
 from tablepact.operators import consistency as H
-from tablepact.operators import framecheck, profile, rowcheck
+from tablepact.operators import compare, framecheck, profile, rowcheck
 from tablepact.plans import shapes
 
 
@@ -308,3 +308,33 @@ def test_cleaning_properties(spark, rows):
     failures = K.run_checks(cleaned, K.generate_checks(USERS)).filter("status <> 'PASS'").collect()
     assert failures == []
     assert shapes.multiset_difference(CL.clean(cleaned, USERS), cleaned).count() == 0
+
+
+def test_recommendation_without_default(spark):
+    contract = TableContract.from_dict("t", {"columns": [
+        {"name": "v", "type": "integer"}, {"name": "w", "type": "string", "default": "it's"}]})
+    df = spark.createDataFrame([("x", ""), ("", "b")], "v string, w string")
+    rows = {(r.column, r.action): r for r in compare.explode_recommendations(
+        compare.compare_schema(df, contract)).collect()}
+    assert rows["v", "cast"].code == "COALESCE(CAST(v AS INTEGER), NULL)" and rows["v", "cast"].default is None
+    assert set(rows) == {("v", "cast"), ("w", "coalesce"), ("w", "fill_nulls")}
+    assert rows["w", "fill_nulls"].code == 'COALESCE(w, "it\'s")'
+    bare = TableContract.from_dict("t", {"columns": [{"name": "v", "type": "integer"}]})
+    assert compare.explode_recommendations(compare.compare_schema(df, bare)).count() == 1
+
+
+def test_long_keys_give_the_same_duplicates(spark):
+    df = spark.range(3000).select(F.concat(F.lit("t"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000)).alias("k"))
+    narrow, wide = H.duplicate_keys(df, ["k"]), H.duplicate_keys(df, ["k"], wide=True)
+    assert narrow.count() > 0 and shapes.multiset_difference(narrow, wide).count() == 0
+    with_null = spark.createDataFrame([(None,), (None,), ("a",)], "k string")
+    for flag in (False, True):
+        assert [tuple(r) for r in H.duplicate_keys(with_null, ["k"], wide=flag).collect()] == [(None, 2)]
+
+
+def test_digest_report_is_the_exact_report(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 'a', 'x'), (1, 'a', NULL), (2, 'b', NULL) AS t(n, s, u)")
+    exact, digest = profile.quality_report(df), profile.quality_report(df, distinct="digest")
+    assert shapes.multiset_difference(exact, digest.select(*exact.columns)).count() == 0
+    with pytest.raises(ValueError):
+        profile.quality_report(df, distinct="some")
