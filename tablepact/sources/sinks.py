@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -57,14 +58,24 @@ def save_clean(df: DataFrame, table: str, file_format: str = "parquet") -> int:
 
 
 def replace_folder(spark: SparkSession, source: str, target: str) -> None:
-    """Move a finished folder into place."""
+    """Move a finished folder into place; the old one is kept until that worked.
+
+    On file systems a move is a rename.  Object stores copy instead, so there a
+    table format with its own commits is the better target.
+    """
     path_class = spark._jvm.org.apache.hadoop.fs.Path
     src, dst = path_class(source), path_class(target)
+    old = path_class(f"{target.rstrip('/')}__old_{uuid.uuid4().hex}")
     fs = dst.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(dst):
-        fs.delete(dst, True)
+    replaced = fs.exists(dst)
+    if replaced and not fs.rename(dst, old):
+        raise OSError(f"Could not move {target} aside")
     if not fs.rename(src, dst):
+        if replaced:
+            fs.rename(old, dst)
         raise OSError(f"Could not move {source} to {target}")
+    if replaced:
+        fs.delete(old, True)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
