@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablepact.llm.grammar import op1_grammar
 from tablepact.llm.packing import op8_packing
+from tablepact.llm.quality_rules import op10_quality_rules
 from tablepact.llm.sharding import op7_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_grammar": op1_grammar,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {}
