@@ -23,8 +23,9 @@ from tablepact.llm.common import columns, table
 
 #: Buckets of the multinomials; also the most values ever sent to the driver.
 BUCKETS = 1 << 16
-#: Pseudo-count of each bucket.
-SMOOTHING = 0.5
+#: Occurrences added to each bucket, shared between target and rest like the whole
+#: corpus, so that n-grams too rare to tell say nothing.
+SMOOTHING = 25.0
 #: Ratios are kept as whole millionths: sums do not depend on their order.
 UNIT = 1_000_000
 #: Mean log ratio below which a document is rejected.
@@ -110,8 +111,8 @@ def log_ratios(counts: DataFrame) -> list[int]:
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
     if not sum(target):
         return [0] * BUCKETS
-    shift = math.log(sum(raw) + SMOOTHING * BUCKETS) - math.log(sum(target) + SMOOTHING * BUCKETS)
-    return [round(UNIT * (math.log(t + SMOOTHING) - math.log(r + SMOOTHING) + shift))
+    share = sum(target) / sum(raw)
+    return [round(UNIT * math.log((t + SMOOTHING * share) / (r + SMOOTHING) / share))
             for r, t in zip(raw, target, strict=True)]
 
 
@@ -168,9 +169,15 @@ def judged(docs: DataFrame, ratios: list[int], threshold: float = THRESHOLD) ->
 
 
 def passed(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    names = docs.columns
-    return judged(docs, fit(docs, labels), threshold).where("kept").select(*[F.col(f"`{n}`") for n in names])
+    """The documents that are kept, with their own columns.
+
+    The same verdict as in :func:`judged`, as one condition that splits each text
+    once and leaves off at the first rule that fails.
+    """
+    ratios = fit(docs, labels)
+    verdict = bound(word_array(F.col("text")), lambda w: F.when(F.size(w) < 50, False).when(
+        100 * repeat_words(w) > 50 * F.size(w), False).otherwise(mean_ratio(w, ratios) >= threshold))
+    return docs.where(verdict)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

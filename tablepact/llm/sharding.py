@@ -84,7 +84,7 @@ def with_shard(df: DataFrame, key: Sequence[str], tree: Node, name: str = "shard
     Nulls are keys like any other value (all rows with a null key share a
     shard), equal keys share a shard, and an empty table stays empty.
     """
-    packed = F.to_json(F.struct(*[F.col(f"`{k}`").cast("string") for k in key]),
+    packed = F.to_json(F.struct(*[F.col(f"`{k}`").cast("string").alias(k) for k in key]),
                        {"ignoreNullFields": "false"})
     return df.withColumn(name, shard_of(packed, tree).cast("int"))
 

@@ -8,17 +8,19 @@ every distinct piece once, as long as it stays in a cache of bounded size.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
-#: Pieces kept by one worker before the cache starts anew.
-CACHE_PIECES = 600_000
+#: Pieces of one of the two generations one worker keeps (about 200 bytes each).
+CACHE_PIECES = 700_000
 #: Longer pieces are encoded each time.
 LONG_PIECE = 64
 
 _BESIDE_SPACE = re.compile(r" (?:(?<=\s )|(?=\s))")
+_WHITE = re.compile(r"\s")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _WORKER: dict[str, "WordTokenizer"] = {}
 
@@ -38,7 +40,9 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # What was met since the cache was full last, and what was met before that.
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # A tokenizer that normalises, adds a blank, or joins words is not cut.
         import json
         with open(path, encoding="utf-8") as f:
@@ -47,6 +51,9 @@ class WordTokenizer:
         self.cuts = (spec.get("normalizer") is None and before.get("type") == "ByteLevel"
                      and before.get("use_regex", True) and not before.get("add_prefix_space", True))
 
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.cuts and len(line) == 1 else None
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,40 +71,73 @@ class WordTokenizer:
     def encode_pieces(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
         """Pieces of every text and the packed ids of each."""
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        get = self.cache.get
+            self.cache, self.before = {}, self.cache
+        cache, before = self.cache, self.before
         out, gaps, new = [], [], set()
         for text in texts:
             first, words = self.pieces(text)
-            ids = [*map(get, words)]
+            ids = [*map(cache.get, words)]
             if None in ids:
-                holes = [i for i, v in enumerate(ids) if v is None]
-                new.update([words[i] for i in holes])
-                gaps.append((words, ids, holes))
+                holes = []
+                for i, value in enumerate(ids):
+                    if value is None:
+                        word = words[i]
+                        value = before.get(word)
+                        if value is None:
+                            holes.append(i)
+                            new.add(word)
+                        else:
+                            ids[i] = cache[word] = value
+                if holes:
+                    gaps.append((words, ids, holes))
             out.append((first, words, ids))
-        found = {}
-        for group in _groups(new):
-            found.update(zip(group, self.whole([" " + w for w in group]), strict=True))
+        found = self.follow(list(new))
         for words, ids, holes in gaps:
             for i in holes:
                 ids[i] = found[words[i]]
-        self.cache.update((w, v) for w, v in found.items() if len(w) <= LONG_PIECE)
+        cache.update((w, v) for w, v in found.items() if len(w) <= LONG_PIECE)
         heads = self.whole([first for first, _, _ in out])
         return [([first, *words], [head, *ids]) for (first, words, ids), head in zip(out, heads, strict=True)]
 
+    def follow(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of pieces that follow a blank.
+
+        Several are encoded as one text with a line end after each: before the
+        blank of the next piece that is a word, and so a token, of its own.
+        Pieces with white space are encoded one by one.
+        """
+        plain = [w for w in words if w and not _WHITE.search(w)] if self.line is not None else []
+        odd = [*set(words).difference(plain)]
+        found = dict(zip(odd, self.whole([" " + w for w in odd]), strict=True))
+        for group in _groups(plain):
+            ids = np.asarray(self.tokenizer.encode_batch_fast(
+                [" " + "\n ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.line) * 4).tolist(), 4 * len(ids)]
+            if len(ends) != len(group):  # the line end's token is part of a word after all
+                found.update(zip(group, self.whole([" " + w for w in group]), strict=True))
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(group, ends, strict=True):
+                found[word] = raw[at:end]
+                at = end + 4
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of every text, in order."""
         return [b"".join(ids) for _, ids in self.encode_pieces(texts)]
 
 
-def _groups(pieces, size: int = 4096):
-    pieces = list(pieces)
+def _groups(pieces: list[str], size: int = 2048):
     for start in range(0, len(pieces), size):
         yield pieces[start:start + size]
 
 
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of this worker process, with its cache."""
+    """The tokenizer of this worker process, with its cache.
+
+    Nothing here makes cycles, so the collector need not walk the cache often.
+    """
     if path not in _WORKER:
+        gc.set_threshold(200_000, 50, 50)
         _WORKER[path] = WordTokenizer(path)
     return _WORKER[path]
