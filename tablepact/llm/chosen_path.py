@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, partitions, slices, table, written
+from tablepact.llm.common import columns, partitions, slices, table, written, written_to
+from tablepact.sources.sinks import drop_folder
 
 #: Words of an n-gram and the least similarity of a link.
 WORDS = 5
@@ -168,19 +169,20 @@ def _sketches(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint32).reshape(len(values), COORDINATES)
 
 
-def first_level(texts: DataFrame, number: int) -> DataFrame:
-    """``path`` and ``digest`` of the children of all roots."""
-    start = roots(number)
+def first_level(texts: DataFrame, start: np.ndarray) -> DataFrame:
+    """``path``, ``digest`` and a ``mark`` of the tag, for the children of the given roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
             held = _sketches(part["sketch"])
+            marks = np.frombuffer(b"".join(t[:8] for t in part["tag"]), np.int64)
             for root in start:
                 row, path = children(np.full(len(held), root), held)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(path.view(np.int64)), pa.array(part["digest"], pa.binary()).take(pa.array(row))],
-                    names=["path", "digest"])
-    return texts.select("digest", "sketch").mapInArrow(run, "path long, digest binary")
+                    [pa.array(path.view(np.int64)), pa.array(part["digest"], pa.binary()).take(pa.array(row)),
+                     pa.array(marks[row])],
+                    names=["path", "digest", "mark"])
+    return texts.select("digest", "tag", "sketch").mapInArrow(run, "path long, digest binary, mark long")
 
 
 def next_level(rows: DataFrame) -> DataFrame:
@@ -311,18 +313,33 @@ def near_leader(rows: DataFrame) -> DataFrame:
 def candidates(texts: DataFrame, number: int | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` that connect all texts whose embeddings met and were alike.
 
-    ``texts`` has ``digest`` and ``sketch``, one row each.
+    ``texts`` has ``digest`` and ``sketch``, one row each.  The first runs find most
+    of what there is; in the others, nodes whose texts are all connected by then
+    are done with.
     """
-    paths = first_level(texts, number or runs())
+    start = roots(number or runs())
+    few = max(1, len(start) // 6)
+    found = follow(texts.withColumn("tag", F.col("digest")), start[:few])
+    if len(start) > few:
+        known = components(found).select(F.col("node").alias("digest"), F.col("least").alias("tag"))
+        tagged = texts.select("digest", "sketch").join(known, "digest", "left").withColumn(
+            "tag", F.coalesce("tag", "digest"))
+        found = written(found.union(follow(written(tagged, "tagged"), start[few:])).distinct(), "pairs")
+    return found
+
+
+def follow(texts: DataFrame, start: np.ndarray) -> DataFrame:
+    """Pairs met on the paths from the given roots by texts of different ``tag``."""
+    paths = first_level(texts, start)
     found = None
     for level in range(1, DEPTH + 1):
-        tag = F.col("digest") if level == 1 else F.col("tag")
+        tag = F.col("mark") if level == 1 else F.col("tag")
         nodes = (paths.groupBy("path").agg(F.count("*").alias("n"), F.min(tag).alias("_low"), F.max(tag).alias("_high"),
                                            F.min("digest").alias("leader"))
                  .where("n > 1 and _low < _high").select("path", "n", "leader"))
         rows = paths.join(nodes, "path")
         if level == 1:
-            rows = rows.join(texts.select("digest", "sketch"), "digest").withColumn("tag", F.col("digest"))
+            rows = rows.join(texts.select("digest", "tag", "sketch"), "digest")
         rows = written(rows.select("path", "n", "leader", "digest", "tag", "sketch"), f"paths{level}")
         large = F.col("n") > LIMIT if level < DEPTH else F.lit(False)
         pairs = similar_pairs(rows.where(~large))
@@ -351,8 +368,8 @@ def components(pairs: DataFrame) -> DataFrame:
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
-    edges = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
-                    "edges")
+    edges, folder = written_to(pairs.select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = mark(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -361,8 +378,10 @@ def components(pairs: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.union(least.select("a", "m")).select(
+        old = folder
+        edges, folder = written_to(small.union(least.select("a", "m")).select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        drop_folder(pairs.sparkSession, old)
         now = mark(edges)
         if now == before:
             break

@@ -24,11 +24,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tablepact-{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
+def written_to(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write to a new folder of the shared area; the table read back, and the folder."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back."""
+    return written_to(df, label)[0]
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
