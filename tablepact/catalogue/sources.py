@@ -245,8 +245,8 @@ def attempt_log_append(spark, sf_dir):
         F.when(F.col("event_type") == "error", F.repeat("props", 200)).alias("error"),
         F.col("event_id").alias("total_attempts"))
     path = scratch(spark, "attempts")
-    sinks.append_attempts(log.filter("success"), path)
-    sinks.append_attempts(log.filter("not success"), path)
+    sinks.append_attempts(log.filter("success"), path, 1000)
+    sinks.append_attempts(log.filter("not success"), path, 1000)
     return sinks.read_attempts(spark, path)
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tablepact.functions.types import spark_type
 
+# Names of the bounds.
+BOUNDS = ("min", "max", "min_length", "max_length")
+
 
 @dataclass(frozen=True)
 class ColumnRule:
@@ -36,10 +39,13 @@ class ColumnRule:
     primary_key: bool = False
     constraints: Mapping = field(default_factory=dict)
     description: str = ""
+    day_first: bool = False
 
     @classmethod
     def from_dict(cls, spec: Mapping) -> ColumnRule:
+        """Bounds may stand beside the type or under ``constraints``, which win."""
         enum = spec.get("enum")
+        beside = {k: spec[k] for k in BOUNDS if spec.get(k) is not None}
         return cls(
             name=spec["name"],
             type=str(spec.get("type", "string")).lower(),
@@ -50,8 +56,9 @@ class ColumnRule:
             format=spec.get("format"),
             pattern=spec.get("pattern"),
             primary_key=bool(spec.get("primary_key", False)),
-            constraints=dict(spec.get("constraints") or {}),
+            constraints=beside | dict(spec.get("constraints") or {}),
             description=spec.get("description", ""),
+            day_first=bool(spec.get("day_first", False)),
         )
 
     @property

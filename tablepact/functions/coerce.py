@@ -46,10 +46,13 @@ def to_integer(c: Column, source: T.DataType = T.StringType(), target: str = "in
 
 
 def to_iso_date(c: Column, source: T.DataType = T.StringType(),
-                formats: tuple[str, ...] = (ISO_DATE,)) -> Column:
+                formats: tuple[str, ...] | None = None, day_first: bool = False) -> Column:
+    """Dates in any documented shape, or in the given formats only."""
     if is_date_like(source):
         return c.cast("date")
     text = c if isinstance(source, T.StringType) else c.cast("string")
+    if formats is None:
+        return P.parse_date(text, day_first)
     parsed = [
         F.when(text.rlike(P.ISO_DATE_PATTERN), text.try_cast("date"))
         if fmt == ISO_DATE else F.try_to_date(text, fmt)

@@ -92,8 +92,13 @@ def is_float_text(c: Column) -> Column:
     return c.rlike(FLOAT_TEXT_PATTERN)
 
 
-def is_date_text(c: Column) -> Column:
-    """True when the text is a valid date in one of the documented shapes.
+def parse_date(c: Column, day_first: bool = False) -> Column:
+    """The date a text of one of the documented shapes stands for, else null.
+
+    The only date parser: inference, row check, typed read and cleaning share it.
+    Where a shape does not tell day from month, the month comes first unless
+    ``day_first``; the other order is taken where the first gives no date.  Of a
+    date-time the day is taken as written.
 
     One CASE, so a value is parsed only by the formats of the first shape it has;
     the common ISO form and text of no shape at all need one or two tests.
@@ -103,13 +108,19 @@ def is_date_text(c: Column) -> Column:
     for shape, fmt in DATE_SHAPES:
         by_shape.setdefault(shape, []).append(fmt)
     any_shape = _whole("|".join([DATETIME_SHAPE, *by_shape]))
-    out = (F.when(text.rlike(ISO_DATE_PATTERN), text.try_cast("date").isNotNull())
-           .when(~text.rlike(any_shape), F.lit(False))
-           .when(text.rlike(_whole(DATETIME_SHAPE)), F.try_to_timestamp(text).isNotNull()))
+    written_day = F.when(F.try_to_timestamp(text).isNotNull(), F.substring(text, 1, 10).try_cast("date"))
+    out = (F.when(text.rlike(ISO_DATE_PATTERN), text.try_cast("date"))
+           .when(~text.rlike(any_shape), F.lit(None).cast("date"))
+           .when(text.rlike(_whole(DATETIME_SHAPE)), written_day))
     for shape, formats in by_shape.items():
-        parsed = F.coalesce(*[F.try_to_date(text, fmt) for fmt in formats])
-        out = out.when(text.rlike(_whole(shape)), parsed.isNotNull())
-    return out.otherwise(F.lit(False))
+        ordered = sorted(formats, key=lambda f: f.startswith("M")) if day_first else formats
+        out = out.when(text.rlike(_whole(shape)), F.coalesce(*[F.try_to_date(text, f) for f in ordered]))
+    return out
+
+
+def is_date_text(c: Column) -> Column:
+    """True when the text parses to a date; null text is no date."""
+    return parse_date(c).isNotNull()
 
 
 def is_bracketed(c: Column) -> Column:

@@ -48,8 +48,20 @@ CONTRACT_TYPE_OF = {
     "date": "date",
     "timestamp": "date",
     "timestamp_ntz": "date",
+    "boolean": "boolean",
 }
 
+# Contract type -> the family its columns are compared by.
+FAMILY = {
+    "integer": "integer", "int": "integer", "bigint": "integer", "float": "float", "double": "float",
+    "string": "string", "text": "string", "date": "date", "datetime": "date", "boolean": "boolean",
+    "bool": "boolean", "json": "json",
+}
+
+
+def family(contract_type: str) -> str:
+    return FAMILY.get(contract_type.lower(), contract_type.lower())
+
 
 def spark_type(contract_type: str) -> T.DataType:
     """Unknown contract types are text."""

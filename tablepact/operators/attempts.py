@@ -35,6 +35,7 @@ def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
     of its pipeline, ``attempt_num`` (the one of its type), ``total_attempts`` and
     ``total_pipelines`` over the whole log, and ``last_error``, the latest
     non-empty error of the pipeline before it.  Successes do not reset it.
+    An attempt of another type makes the query fail.
     The ranges of the log are written to the checkpoint folder when this is called.
     """
     order = list(order_by)
@@ -42,6 +43,8 @@ def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
     error = F.when(has_error, F.col("error"))
     regeneration = F.col("type") == "regeneration"
     execution = F.col("type") == "execution"
+    known = F.coalesce(F.col("type").isin(*ATTEMPT_TYPES), F.lit(False))
+    log = log.filter(F.assert_true(known, "Unknown attempt type").isNull())
     ranged = with_ranges(log, order, ranges)
 
     per_pipeline = with_earlier(

@@ -62,6 +62,13 @@ def _name_list(values: Sequence) -> str:
     return ", ".join(sql_literal(v) for v in values)
 
 
+def _bound(rule, bound) -> str:
+    """A bound as a literal of the column's kind."""
+    if rule.type in ("date", "datetime"):
+        return f"{'DATE' if rule.type == 'date' else 'TIMESTAMP'} {sql_literal(str(bound))}"
+    return str(bound) if isinstance(bound, (int, float)) else sql_literal(bound)
+
+
 def generate_checks(contract: TableContract, output_table: str | None = None) -> list[Check]:
     """All checks of a contract: row count, then per column not-null, type,
     bounds, enum, e-mail format, date validity and lengths."""
@@ -83,7 +90,7 @@ def generate_checks(contract: TableContract, output_table: str | None = None) ->
         for kind, sign, shown in (("min", "<", ">="), ("max", ">", "<=")):
             if kind in rule.constraints:
                 bound = rule.constraints[kind]
-                add(rule, kind, f"Verify {rule.name} {shown} {bound}", f"{c} {sign} {bound}", "high")
+                add(rule, kind, f"Verify {rule.name} {shown} {bound}", f"{c} {sign} {_bound(rule, bound)}", "high")
         if rule.enum:
             add(rule, "enum", f"Verify {rule.name} is in valid enum values",
                 f"{c} NOT IN ({_name_list(rule.enum)})", "high")
@@ -94,7 +101,7 @@ def generate_checks(contract: TableContract, output_table: str | None = None) ->
             add(rule, "date_valid", f"Verify {rule.name} contains valid dates",
                 f"{c} IS NOT NULL AND typeof({c}) NOT IN ({_name_list(DATE_LIKE_TYPE_NAMES)})",
                 "high")
-        if rule.type == "string":
+        if rule.type in ("string", "text"):
             for kind, sign, shown in (("min_length", "<", ">="), ("max_length", ">", "<=")):
                 if kind in rule.constraints:
                     bound = rule.constraints[kind]
@@ -145,6 +152,24 @@ def _analysis_errors(df: DataFrame, checks: Sequence[Check]) -> dict[str, str]:
     return errors
 
 
+def failing_checks(df: DataFrame, checks: Sequence[Check]) -> dict[str, str]:
+    """Error text per check that fails while it runs.
+
+    All run together; only if that fails are they run in halves, so one failing
+    check of n costs about 2 log n runs.
+    """
+    if not checks:
+        return {}
+    try:
+        df.agg(*[F.expr(f"count_if({c.condition})").alias(f"c{i}") for i, c in enumerate(checks)]).collect()
+        return {}
+    except Exception as exc:  # a failing expression reaches the driver as a Java error
+        if len(checks) == 1:
+            return {checks[0].check_id: str(exc).splitlines()[0]}
+    half = len(checks) // 2
+    return failing_checks(df, checks[:half]) | failing_checks(df, checks[half:])
+
+
 def _measures(df: DataFrame, check: Check, error: str | None):
     """(count, count of rows that make the check undecidable, error text)."""
     if error is not None:
@@ -185,10 +210,14 @@ def verdict(expected: Column, actual: Column, error: Column | None = None,
 def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per check: actual count, status and error text.
 
-    A check that cannot be analysed (for example a missing column) is reported
-    as ERROR and does not stop the others.
+    A check that cannot be analysed (for example a missing column), or a custom one
+    that fails while it runs, is reported as ERROR and does not stop the others.
+    Custom checks are therefore tried once before; generated ones cannot fail.
     """
     errors = _analysis_errors(df, checks)
+    custom = [c for c in checks if c.kind == "custom" and c.condition is not None
+              and c.check_type in ("sql", "row_count") and c.check_id not in errors]
+    errors |= failing_checks(df, custom)
     rows = []
     for check in checks:
         expected = check.expected
@@ -246,14 +275,15 @@ def critical_failures(results: DataFrame) -> DataFrame:
     return results.filter((F.col("status") == "FAIL") & (F.col("severity") == "critical"))
 
 
-def source_table_candidates(output_table: str) -> list[str]:
-    """Names under which the source of an output table is looked for, in order."""
-    base = output_table.replace("_clean", "")
-    return [f"raw_{base}", f"raw_{output_table}", "raw_users", base]
+def source_table_candidates(output_table: str, source_table: str | None = None) -> list[str]:
+    """Names under which the source of an output table is looked for, in order; a
+    named source is the only one."""
+    base = output_table.removesuffix("_clean")
+    return [source_table] if source_table else [f"raw_{base}", f"raw_{output_table}", base]
 
 
-def find_source(spark: SparkSession, output_table: str) -> DataFrame | None:
-    for name in source_table_candidates(output_table):
+def find_source(spark: SparkSession, output_table: str, source_table: str | None = None) -> DataFrame | None:
+    for name in source_table_candidates(output_table, source_table):
         if spark.catalog.tableExists(name):
             return spark.table(name)
     return None

@@ -38,14 +38,14 @@ def _source_column(df: DataFrame, rule: ColumnRule, na_tokens: bool) -> tuple[Co
 
 
 def _parse(c: Column, rule: ColumnRule, dtype: T.DataType,
-           formats: tuple[str, ...]) -> Column:
+           formats: tuple[str, ...] | None) -> Column:
     """Type coercion only; unparsable becomes null."""
     if rule.type in INTEGER_TYPES:
         return C.to_integer(c, dtype, spark_type(rule.type).simpleString())
     if rule.type in FLOAT_TYPES:
         return C.to_double(c, dtype)
     if rule.type == "date":
-        return C.to_iso_date(c, dtype, formats)
+        return C.to_iso_date(c, dtype, formats, rule.day_first)
     if rule.type == "datetime":
         return C.to_timestamp(c, dtype)
     if rule.type in ("boolean", "bool"):
@@ -83,7 +83,7 @@ def _fill_mismatch(out: Column, c: Column, rule: ColumnRule,
 
 def clean_column(c: Column, rule: ColumnRule, dtype: T.DataType = T.StringType(),
                  issues: frozenset[str] | None = None,
-                 formats: tuple[str, ...] = (C.ISO_DATE,)) -> Column:
+                 formats: tuple[str, ...] | None = None) -> Column:
     """All rules of one column, in contract rule order: type branch, enum,
     string fill, lengths, pattern, e-mail, mismatch fill."""
     low, high = rule.bound("min"), rule.bound("max")
@@ -122,7 +122,7 @@ def clean_column(c: Column, rule: ColumnRule, dtype: T.DataType = T.StringType()
 
 def basic_column(c: Column, rule: ColumnRule, dtype: T.DataType = T.StringType(),
                  issues: frozenset[str] | None = None,
-                 formats: tuple[str, ...] = (C.ISO_DATE,)) -> Column:
+                 formats: tuple[str, ...] | None = None) -> Column:
     """Coercion and null fill only: no clamp, enum, length or format rule."""
     out = _parse(c, rule, dtype, formats)
     if rule.default is None:
@@ -135,13 +135,14 @@ def basic_column(c: Column, rule: ColumnRule, dtype: T.DataType = T.StringType()
 def clean(df: DataFrame, contract: TableContract, *, rules: str = "full",
           extra: str = "keep", na_tokens: bool = True,
           issues: Mapping[str, Sequence[str]] | None = None,
-          date_formats: tuple[str, ...] = (C.ISO_DATE,)) -> DataFrame:
+          date_formats: tuple[str, ...] | None = None) -> DataFrame:
     """Apply a contract to a raw table in one ``select``.
 
     ``rules``: ``"full"`` or ``"basic"`` (coerce and fill only).
     ``extra``: keep or drop columns the contract does not name.
     ``issues``: per column the issue names a schema comparison found (see
     ``compare.issues_by_column``); without it the fills are decided per value.
+    ``date_formats``: only these, instead of every shape type inference knows.
     Columns come out in contract order, kept extra columns after them.
     """
     build = {"full": clean_column, "basic": basic_column}[rules]
@@ -210,10 +211,12 @@ def cleaning_statement(contract: TableContract, issues: Mapping[str, Sequence[st
             f"SELECT\n  {body}\nFROM {source_table}")
 
 
-def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the smallest by ``order_by``, ties broken by the other columns.
+def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
+                latest: bool = False) -> DataFrame:
+    """One row per key: the smallest by ``order_by``, ties broken by the other columns;
+    with ``latest`` the greatest.
 
-    A min over a struct combines before the shuffle, so a key that holds a large
+    A min or max over a struct combines before the shuffle, so a key that holds a large
     share of the rows sends one row per task.
     """
     lead = list(order_by)
@@ -221,7 +224,7 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()
     lead = [c for c in lead if c not in keys]
     if not lead + rest:
         return df.distinct()
-    chosen = F.min(F.struct(*[F.col(quoted(c)) for c in lead + rest])).alias("_row")
+    chosen = (F.max if latest else F.min)(F.struct(*[F.col(quoted(c)) for c in lead + rest])).alias("_row")
     grouped = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(chosen)
     return grouped.select(*[
         F.col(quoted(c)) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])

@@ -63,7 +63,7 @@ def compare_profile(profile: DataFrame, contract: TableContract, merged: bool =
         _recommendations(contract, merged).alias("recommendations"), "sample_values")
 
 
-def compare_schema(df: DataFrame, contract: TableContract, sample_size: int | None = 100,
+def compare_schema(df: DataFrame, contract: TableContract, sample_size: int | None = None,
                    order_by: Sequence[str | Column] = (), merged: bool = False) -> DataFrame:
     """Profile a raw table and compare it with the contract."""
     return compare_profile(infer_schema(df, sample_size, order_by), contract, merged)

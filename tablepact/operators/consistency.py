@@ -11,12 +11,14 @@ from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted, sql_literal
 from tablepact.plans.shapes import Label, measure_rows, multiset_difference, status_when
 
-# Acceptance thresholds of a run.
+# Acceptance thresholds of a run; time and memory are those of LIMIT_ROWS rows.
 MAX_SECONDS = 60.0
 MAX_MEMORY_MB = 100.0
 MIN_ROWS_PER_SECOND = 1000.0
-SMALL_RUN_ROWS = 100_000
+LIMIT_ROWS = 100_000
 EARLIEST_DATE = "1900-01-01"
+#: Hashes (8 bytes each) that are broadcast at most.
+BROADCAST_HASHES = 1_000_000
 
 
 def reconcile(source: DataFrame, output: DataFrame) -> DataFrame:
@@ -89,17 +91,19 @@ def bad_email(c: Column, form: str = "like") -> Column:
 def duplicate_keys(df: DataFrame, keys: Sequence[str], wide: bool = False) -> DataFrame:
     """Keys that occur more than once, with their row count.
 
-    ``wide=True`` is for long keys such as whole texts: rows are first counted by
-    a 64-bit hash, and only those whose hash repeats take part in the exact
-    grouping, so unique texts never go through the shuffle.  The result is the
-    same, because equal keys have equal hashes and the grouping is on the keys.
+    ``wide=True`` is for long keys such as whole texts: rows are first counted by a
+    64-bit hash, and only those whose hash repeats take part in the exact grouping.
+    Up to ``BROADCAST_HASHES`` repeated hashes are broadcast, so that unique texts
+    are filtered out where they are read; with more, grouping the keys at once is
+    cheaper and is done instead.  The result is the same either way.
     """
     columns = [F.col(quoted(k)) for k in keys]
     rows = df
     if wide:
         hashed = df.select(*columns, F.xxhash64(*columns).alias("_hash"))
         repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        rows = hashed.join(repeated.select("_hash"), "_hash", "left_semi")
+        if repeated.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+            rows = hashed.join(F.broadcast(repeated.select("_hash")), "_hash", "left_semi")
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)
 
 
@@ -118,18 +122,20 @@ def unlikely_age(age: Column, status: Column) -> Column:
 
 
 def throughput_status(metrics: DataFrame, rows: str = "rows", seconds: str = "seconds",
-                      memory_mb: str | None = None) -> DataFrame:
+                      memory_mb: str | None = None, max_seconds: float = MAX_SECONDS,
+                      max_memory_mb: float = MAX_MEMORY_MB, min_rate: float = MIN_ROWS_PER_SECOND,
+                      limit_rows: int = LIMIT_ROWS) -> DataFrame:
     """Rows per second and a verdict per run: PASS, WARN (slow) or FAIL (over time or memory).
 
-    The time and memory limits apply to small runs only.
+    The limits are those of ``limit_rows`` rows and grow with the rows of larger runs.
     """
     r, s = F.col(rows), F.col(seconds)
     rate = F.when(s > 0, r / s)
-    slow = rate <= MIN_ROWS_PER_SECOND
-    over = s >= MAX_SECONDS
+    slow = rate <= min_rate
+    share = F.greatest(F.lit(1.0), r / limit_rows)
+    over = s >= max_seconds * share
     if memory_mb is not None:
-        over = over | (F.col(memory_mb) >= MAX_MEMORY_MB)
-    over = over & (r < SMALL_RUN_ROWS)
+        over = over | (F.col(memory_mb) >= max_memory_mb * share)
     return metrics.withColumn("rows_per_second", rate).withColumn(
         "performance_status", F.when(over, "FAIL").when(slow, "WARN").otherwise("PASS"))
 

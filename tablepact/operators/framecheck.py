@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,7 @@ from pyspark.sql import types as T
 from tablepact.contract import TableContract
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted
-from tablepact.functions.types import contract_type_of
+from tablepact.functions.types import contract_type_of, family
 from tablepact.plans.shapes import NULL_COUNT, NULL_TEXT, Label, measure_rows, smallest_values
 
 
@@ -61,9 +59,9 @@ def _rules(df: DataFrame, contract: TableContract) -> list[dict]:
         if rule.type == "json" and is_text:
             rows.append(_row(rule.name, "type_mismatch", F.count_if(c.isNotNull() & ~P.is_valid_json(c)),
                              expected="json", actual="string"))
-        elif actual != rule.type:
+        elif actual != family(rule.type):
             rows.append(_row(rule.name, "type_mismatch", one, expected=rule.type, actual=actual))
-        if rule.type in ("integer", "float") and isinstance(dtype, T.NumericType):
+        if family(rule.type) in ("integer", "float") and isinstance(dtype, T.NumericType):
             low, high = rule.bound("min"), rule.bound("max")
             if low is not None:
                 counted("below_min", c < low, expected=low, actual=F.min(c).cast("double").cast("string"))
@@ -71,7 +69,7 @@ def _rules(df: DataFrame, contract: TableContract) -> list[dict]:
                 counted("above_max", c > high, expected=high, actual=F.max(c).cast("double").cast("string"))
         if rule.enum is not None:
             counted("invalid_enum", ~c.isin(*rule.enum), expected=list(rule.enum))
-        if rule.type == "string" and is_text:
+        if family(rule.type) == "string" and is_text:
             low, high = rule.bound("min_length"), rule.bound("max_length")
             if low is not None:
                 counted("too_short", F.length(c) < low, expected=low, severity="medium")
@@ -84,9 +82,10 @@ def _rules(df: DataFrame, contract: TableContract) -> list[dict]:
 
 
 def frame_issues(df: DataFrame, contract: TableContract, examples: int = 5) -> DataFrame:
-    """One row per issue found; everything is counted in one aggregation.
+    """One row per issue found, counted in one aggregation.
 
-    For value lists the smallest distinct bad values are added as examples.
+    For value lists the smallest distinct bad values are added as examples, by one
+    more scan for all of them.
     """
     rules = _rules(df, contract)
     number = F.coalesce(F.col("count").cast("string"), F.lit(""))
@@ -95,10 +94,10 @@ def frame_issues(df: DataFrame, contract: TableContract, examples: int = 5) -> D
     listed = [r for r in contract.columns if r.enum is not None and r.name in df.columns]
     if not listed:
         return found.withColumn("examples", F.array().cast("array<string>"))
-    bad = reduce(DataFrame.unionAll, [
-        df.filter(~F.col(quoted(r.name)).isin(*r.enum)).select(
-            F.lit(r.name).alias("column"), F.col(quoted(r.name)).cast("string").alias("value"))
-        for r in listed])
+    bad = df.select(F.inline(F.array_compact(F.array(*[
+        F.when(~F.col(quoted(r.name)).isin(*r.enum), F.struct(
+            F.lit(r.name).alias("column"), F.col(quoted(r.name)).cast("string").alias("value")))
+        for r in listed]))))
     samples = smallest_values(bad, ["column"], "value", examples, "examples").withColumn(
         "issue", F.lit("invalid_enum"))
     # At most one row per contract column on either side.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,15 +49,14 @@ def infer_types(df: DataFrame, with_json: bool = True) -> DataFrame:
         for i, n in enumerate(df.columns)])
 
 
-def infer_schema(df: DataFrame, sample_size: int | None = 100,
+def infer_schema(df: DataFrame, sample_size: int | None = None,
                  order_by: Sequence[str | Column] = (), with_json: bool = True,
                  sample_values: int = 5) -> DataFrame:
     """One row per column: type, null count and share, nullability, samples.
 
-    Types and sample values come from the first ``sample_size`` rows in
-    ``order_by`` order (any rows without an order); null counts always cover the
-    whole table.  ``sample_size=None`` infers types from every row, in the same
-    pass as the null counts.
+    Types, null counts and sample values cover the whole table; the samples are
+    the first filled values in ``order_by`` order (any without an order).  With
+    ``sample_size`` types and samples come from the first so many rows only.
     """
     names = list(enumerate(df.columns))
     blanks = [P.is_blank(_text(n)).alias(f"_b{i}") for i, n in names]
@@ -70,11 +69,14 @@ def infer_schema(df: DataFrame, sample_size: int | None = 100,
          **({"type": flags_type(F.col(f"_f{i}"))} if from_all_rows else {})}
         for i, n in names])
 
+    if from_all_rows:
+        sampled = _first_filled(df, order_by, sample_values)
+        return _profile_rows(whole, sampled)
     head = df.orderBy(*order_by) if order_by else df
     # After the limit the rows are few and in order; the id keeps that order.
-    head = head.limit(sample_size or 100).select(
+    head = head.limit(sample_size).select(
         F.monotonically_increasing_id().alias("_i"),
-        *[_text(n).alias(f"_v{i}") for i, n in names], *([] if from_all_rows else flags))
+        *[_text(n).alias(f"_v{i}") for i, n in names], *flags)
 
     def first_values(i: int) -> Column:
         value = F.col(f"_v{i}")
@@ -82,12 +84,30 @@ def infer_schema(df: DataFrame, sample_size: int | None = 100,
         return F.slice(F.transform(F.array_sort(held), lambda x: x["v"]), 1, sample_values)
 
     sampled = measure_rows(head, [
-        {"column": n, "sample_values": first_values(i),
-         **({} if from_all_rows else {"type": flags_type(F.col(f"_f{i}"))})}
+        {"column": n, "sample_values": first_values(i), "type": flags_type(F.col(f"_f{i}"))}
         for i, n in names])
+    return _profile_rows(whole, sampled)
 
+
+def _first_filled(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
+    """The first filled values of every column, in one scan.
+
+    Each task keeps its own first ``n`` rows per column, so only those are shuffled.
+    """
+    order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by] or [F.monotonically_increasing_id()]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in df.columns])
+    rows = df.select(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.explode(cells).alias("_c")).select(
+        *[f"_o{i}" for i in range(len(order))], "_c.column", "_c.value").where("value is not null")
+    first = Window.partitionBy("column").orderBy(*[f"_o{i}" for i in range(len(order))])
+    return (rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= n)
+            .groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "value"))),
+                                               lambda x: x["value"]).alias("sample_values")))
+
+
+def _profile_rows(whole: DataFrame, sampled: DataFrame) -> DataFrame:
     # Both sides have one row per column of the table.
-    joined = whole.join(F.broadcast(sampled), "column")
+    joined = whole.join(F.broadcast(sampled), "column", "left").withColumn(
+        "sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
     share = F.when(F.col("row_count") > 0, F.col("null_count") / F.col("row_count")).otherwise(0.0)
     return joined.select(
         "position", "column", "type", "row_count", "null_count",

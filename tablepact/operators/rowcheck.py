@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tablepact.contract import ColumnRule, TableContract
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted
+from tablepact.functions.types import family
 from tablepact.plans.shapes import count_with_samples
 
 NUMERIC_TYPES = ("integer", "float")
@@ -34,7 +35,7 @@ def _text_column(df: DataFrame, rule: ColumnRule) -> Column:
 def _prepare(df: DataFrame, contract: TableContract) -> DataFrame:
     """Add the parsed value of every numeric column, so that it is parsed once
     however many rules use it."""
-    numeric = [r for r in contract.columns if r.type in NUMERIC_TYPES]
+    numeric = [r for r in contract.columns if family(r.type) in NUMERIC_TYPES]
     return df.select("*", *[_number(_text_column(df, r)).alias(_number_name(r)) for r in numeric])
 
 
@@ -53,18 +54,19 @@ def _column_errors(c: Column, rule: ColumnRule) -> Column:
     rules = []
     mismatch = f"Type mismatch: expected {rule.type}, got str"
     number = F.col(quoted(_number_name(rule)))
-    if rule.type == "integer":
+    kind = family(rule.type)
+    if kind == "integer":
         rules.append(error(~P.is_int_parsable(c), mismatch, "high"))
-    elif rule.type == "float":
+    elif kind == "float":
         rules.append(error(number.isNull(), mismatch, "high"))
     elif rule.type == "date":
         rules.append(error(~P.is_date_text(c), mismatch, "high"))
-    elif rule.type == "string" and rule.format == "email":
+    elif kind == "string" and rule.format == "email":
         rules.append(error(~P.is_email_basic(c), "Invalid email format", "medium"))
     if rule.enum is not None:
         rules.append(error(~c.isin(*rule.enum),
                            f"Value not in allowed enum: {list(rule.enum)}", "medium"))
-    if rule.type in NUMERIC_TYPES:
+    if kind in NUMERIC_TYPES:
         low, high = rule.bound("min"), rule.bound("max")
         if low is not None:
             rules.append(error(number < low, f"Value below minimum: {low}", "medium"))

@@ -30,7 +30,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current is not None:
         return current
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="tablepact-checkpoint-")
     context.setCheckpointDir(folder)
@@ -47,7 +47,8 @@ def with_ranges(df: DataFrame, order_by: Sequence[str], ranges: int | None = Non
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as the input has partitions at least, so that they do not grow with it.
+    count = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     ranged = df.repartitionByRange(count, *order_by).withColumn(name, F.spark_partition_id())
     return ranged.checkpoint()
 

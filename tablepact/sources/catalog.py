@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 RESULT_ROWS = 100
 # Statements that read metadata only and cannot stand inside a sub-select.
 METADATA_STATEMENTS = ("show", "describe", "desc", "explain")
+REFLECTION = re.compile(r"\b(java_method|(try_)?reflect)\(", re.IGNORECASE)
 
 
 def count_tables(tables: Mapping[str, DataFrame | None]) -> DataFrame:
@@ -32,8 +34,19 @@ def count_tables(tables: Mapping[str, DataFrame | None]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def _count_or_error(spark: SparkSession, name: str, df: DataFrame | None) -> DataFrame:
+    try:
+        return spark.createDataFrame(count_tables({name: df}).collect(), "table string, row_count bigint, status string")
+    except Exception:  # a damaged file, for example
+        return count_tables({name: None})
+
+
 def table_status(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
-    """Tables of the current database with their row counts."""
+    """Tables of the current database with their row counts.
+
+    The counts are taken now, all together; if that fails, table by table, and the
+    ones that fail are reported as errors.
+    """
     if names is None:
         names = [t.name for t in spark.catalog.listTables()]
     found: dict[str, DataFrame | None] = {}
@@ -47,7 +60,11 @@ def table_status(spark: SparkSession, names: Sequence[str] | None = None) -> Dat
     if not found:
         return spark.range(0).select(
             F.lit("").alias("table"), F.col("id").alias("row_count"), F.lit("ok").alias("status"))
-    return count_tables(found)
+    try:
+        rows = count_tables(found).collect()  # one row per table
+        return spark.createDataFrame(rows, "table string, row_count bigint, status string")
+    except Exception:  # some table fails while it is counted: one by one
+        return reduce(DataFrame.unionAll, [_count_or_error(spark, n, df) for n, df in found.items()])
 
 
 @dataclass(frozen=True)
@@ -59,6 +76,21 @@ class QueryResult:
     frame: DataFrame | None
     rows: DataFrame | None
     error: str | None = None
+    limit: int = RESULT_ROWS
+
+    @property
+    def truncated(self) -> bool | None:
+        """Whether the result has more rows than ``rows`` holds."""
+        return None if self.frame is None else self.frame.limit(self.limit + 1).count() > self.limit
+
+    def execute(self) -> tuple[list, str | None]:
+        """The limited rows, or no rows and the error met while running."""
+        if self.rows is None:
+            return [], self.error
+        try:
+            return self.rows.collect(), None
+        except Exception as exc:  # run-time errors reach the driver as Java errors
+            return [], str(exc).splitlines()[0]
 
     def row_count(self) -> int | None:
         return None if self.frame is None else self.frame.count()
@@ -68,8 +100,9 @@ def run_query(spark: SparkSession, query: str, limit: int = RESULT_ROWS) -> Quer
     """Run one read-only query.
 
     The text is placed inside a sub-select, where the grammar allows queries
-    only: commands and inserts are refused before anything runs.  Errors are
-    returned, not raised.
+    only: commands and inserts are refused before anything runs, and so are
+    functions that call into the JVM, wherever a view hides them.  Errors of the
+    analysis are returned; ``execute`` returns those of the run.
     """
     text = query.strip().rstrip(";")
     first_word = text.split(None, 1)[0].lower() if text else ""
@@ -78,7 +111,9 @@ def run_query(spark: SparkSession, query: str, limit: int = RESULT_ROWS) -> Quer
             frame = spark.sql(text)
         else:
             frame = spark.sql(f"SELECT * FROM (\n{text}\n)")
-        return QueryResult(query, frame.columns, frame, frame.limit(limit))
+        if REFLECTION.search(frame._jdf.queryExecution().analyzed().toString()):
+            return QueryResult(query, [], None, None, "Functions that call into the JVM are refused")
+        return QueryResult(query, frame.columns, frame, frame.limit(limit), None, limit)
     except PySparkException as exc:
         message = exc.getMessage() or str(exc)
         return QueryResult(query, [], None, None, message)

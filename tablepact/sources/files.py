@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,26 +15,69 @@ from tablepact.functions.coerce import na_to_null
 from tablepact.functions.text import human_size, quoted
 from tablepact.operators.clean import basic_column
 
+#: Blocks of files (about 100 bytes each) whose line counts are broadcast at most.
+BROADCAST_BLOCKS = 100_000
+
 
 def all_text(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    """First line of one file, decompressed if need be; nothing else is read."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    conf = spark._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        source = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The different headers below a path, with the files that have each; empty
+    files have none.  Reads one line of every file."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in spark.read.text(path).inputFiles():
+        line = _first_line(spark, file)
+        if line:
+            found.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]))), []).append(file)
+    return found
+
+
 def header_names(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a delimited file; only its first line is read."""
-    return spark.read.option("header", True).option("escape", '"').csv(path).columns
+    """Column names of a delimited source, in the order of its first file."""
+    return list(next(iter(headers(spark, path)), ()))
 
 
 def stage_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
               multi_line: bool = False) -> DataFrame:
     """All columns as text; never fails on bad values.  Empty fields are null.
 
-    Pass ``multi_line=True`` only for files with line breaks inside quotes: such
+    Fields are bound by the names in each file's own header, so files may order
+    them differently; a column that is missing from a header, unknown or repeated
+    there is an error.  Pass ``multi_line=True`` only for files with line breaks inside quotes: such
     files cannot be split, so each becomes one task.
     """
-    names = list(columns) if columns else header_names(spark, path)
-    return (spark.read.schema(all_text(names)).option("header", True)
-            .option("escape", '"').option("multiLine", multi_line).csv(path))
+    found = headers(spark, path)
+    names = list(columns) if columns else list(next(iter(found), ()))
+    for header, files in found.items():
+        if sorted(header) != sorted(names):
+            raise ValueError(f"Columns {sorted(names)} expected, {list(header)} found in {files[0]}")
+        if len(set(header)) < len(header):
+            raise ValueError(f"Repeated column in {list(header)} of {files[0]}")
+
+    def read(header: Sequence[str], paths) -> DataFrame:
+        return (spark.read.schema(all_text(header)).option("header", True)
+                .option("escape", '"').option("multiLine", multi_line).csv(paths))
+
+    if list(found) in ([], [tuple(names)]):
+        return read(names, path)
+    return reduce(DataFrame.unionByName, [read(header, files) for header, files in found.items()]).select(
+        *[F.col(quoted(n)) for n in names])
 
 
 def read_rows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,8 +118,9 @@ def with_line_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
     """1-based row numbers over a file source, without sorting the rows.
 
     Each block is counted, the counts are summed over the blocks before it, and
-    a row's number is that sum plus its place in the block.  Only one row per
-    block is shuffled.
+    a row's number is that sum plus its place in the block.  One row per block is
+    shuffled; with up to ``BROADCAST_BLOCKS`` of them the sums are broadcast and no
+    line moves, with more the lines are joined to them by a shuffle.
     """
     placed = _split_position(df)
     blocks = placed.groupBy("_file", "_block").agg(
@@ -83,6 +129,8 @@ def with_line_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
         Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("_file", "_block", "_first",
                             F.coalesce(before, F.lit(0)).alias("_before"))
+    if blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     numbered = placed.join(offsets, ["_file", "_block"])
     return numbered.select(
         (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(name),
@@ -92,10 +140,15 @@ def with_line_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
 def read_log(spark: SparkSession, path: str, tail_n: int = 100) -> DataFrame:
     """The last ``tail_n`` lines in file order.
 
-    Each task keeps its own last lines, so the driver-side merge sees at most
-    ``tail_n`` lines per task.
+    Files are read from the last one backwards, twice as many each time, until they
+    hold enough lines.  Each task keeps its own last lines, so the merge sees at
+    most ``tail_n`` lines per task.
     """
-    lines = _split_position(spark.read.text(path))
+    files = sorted(spark.read.text(path).inputFiles())
+    taken = 1
+    while taken < len(files) and spark.read.text(files[-taken:]).limit(tail_n).count() < tail_n:
+        taken *= 2
+    lines = _split_position(spark.read.text(files[-taken:] or path))
     order = ["_file", "_block", "_id"]
     tail = lines.orderBy(*[F.desc(c) for c in order]).limit(tail_n)
     return tail.orderBy(*order).select(F.col("value").alias("line"))

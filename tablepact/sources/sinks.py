@@ -19,7 +19,7 @@ from tablepact.operators.checks import (
 )
 from tablepact.sources.files import path_exists
 
-# Layout of the attempt log and length of a stored error.
+# Layout of the attempt log.
 ATTEMPT_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("pipeline", T.StringType()),
@@ -28,7 +28,6 @@ ATTEMPT_SCHEMA = T.StructType([
     T.StructField("error", T.StringType()),
     T.StructField("total_attempts", T.LongType()),
 ])
-MAX_ERROR_LENGTH = 1000
 
 
 def observed_write(df: DataFrame, path: str, metrics: Mapping[str, Column], *,
@@ -111,16 +110,17 @@ def cached_checks(spark: SparkSession, contract: TableContract, folder: str,
     return checks
 
 
-def attempt_rows(df: DataFrame) -> DataFrame:
-    """Attempts in log layout; long errors are cut."""
+def attempt_rows(df: DataFrame, max_error_length: int | None = None) -> DataFrame:
+    """Attempts in log layout; errors are kept whole unless a length is given."""
+    error = F.col("error") if max_error_length is None else F.substring("error", 1, max_error_length)
     return df.select(
         F.col("timestamp").cast("string").alias("timestamp"), "pipeline", "type", "success",
-        F.substring("error", 1, MAX_ERROR_LENGTH).alias("error"),
+        error.alias("error"),
         F.col("total_attempts").cast("bigint").alias("total_attempts"))
 
 
-def append_attempts(df: DataFrame, path: str) -> None:
-    attempt_rows(df).write.mode("append").json(path)
+def append_attempts(df: DataFrame, path: str, max_error_length: int | None = None) -> None:
+    attempt_rows(df, max_error_length).write.mode("append").json(path)
 
 
 def read_attempts(spark: SparkSession, path: str) -> DataFrame:

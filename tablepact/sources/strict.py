@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablepact.contract import TableContract
 from tablepact.functions import predicates as P
@@ -15,9 +16,35 @@ from tablepact.functions.types import spark_type
 from tablepact.operators.consistency import duplicate_keys
 
 
+# Text forms a strict load takes for a type: the engine's own cast also takes
+# suffixes (5d), bare years and the like.
+_FORMS = {
+    T.IntegerType: r"\A\s*[+-]?[0-9]+\s*\z", T.LongType: r"\A\s*[+-]?[0-9]+\s*\z",
+    T.DoubleType: P.NUMBER_TEXT_PATTERN,
+    T.DateType: r"\A\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\s*\z",
+    T.TimestampType: r"\A\s*[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?"
+                     r"(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?\s*\z",
+}
+
+
+def _typed(c: Column, rule) -> Column:
+    """The value as the column's type; null where it is missing or does not fit."""
+    target = spark_type(rule.type)
+    text = c.cast("string")
+    fits = ~P.is_blank(text)
+    if type(target) in _FORMS:
+        fits = fits & text.rlike(_FORMS[type(target)])
+    return F.when(fits, F.trim(text).try_cast(target) if type(target) in _FORMS else c.try_cast(target))
+
+
 def _converts(c: Column, rule) -> Column:
     """The text is missing or fits the column's type."""
-    return P.is_blank(c.cast("string")) | c.try_cast(spark_type(rule.type)).isNotNull()
+    return P.is_blank(c.cast("string")) | _typed(c, rule).isNotNull()
+
+
+def _required(rule) -> bool:
+    """A key column must not be missing, whatever else is said of it."""
+    return rule.primary_key or not rule.nullable_in_checks
 
 
 def typed_projection(raw: DataFrame, contract: TableContract, created_at: Column | None = None) -> DataFrame:
@@ -34,12 +61,10 @@ def typed_projection(raw: DataFrame, contract: TableContract, created_at: Column
         name = f"{contract.name}.{rule.name}"
         checked = checked.filter(F.assert_true(
             _converts(c, rule), f"Conversion failed: {name} to {rule.type}").isNull())
-        if not rule.nullable_in_checks:
+        if _required(rule):
             checked = checked.filter(F.assert_true(
                 ~P.is_blank(c.cast("string")), f"NOT NULL constraint failed: {name}").isNull())
-    typed = [
-        F.when(~P.is_blank(F.col(quoted(r.name)).cast("string")), F.col(quoted(r.name)))
-        .try_cast(spark_type(r.type)).alias(r.name) for r in contract.columns]
+    typed = [_typed(F.col(quoted(r.name)), r).alias(r.name) for r in contract.columns]
     stamp = F.current_timestamp() if created_at is None else created_at
     return checked.select(*typed, stamp.alias("created_at"))
 
@@ -47,13 +72,14 @@ def typed_projection(raw: DataFrame, contract: TableContract, created_at: Column
 def strict_load(raw: DataFrame, contract: TableContract, created_at: Column | None = None) -> DataFrame:
     """Typed rows, or a failing query: casts, NOT NULL and key uniqueness all hold.
 
-    Key uniqueness is one aggregation on the key (combined before the shuffle);
+    Key uniqueness is one aggregation on the typed key (combined before the shuffle);
     its single number guards the rows, which are not shuffled themselves.
     """
     typed = typed_projection(raw, contract, created_at)
     if not contract.key:
         return typed
-    repeated = duplicate_keys(raw, contract.key).agg(F.count(F.lit(1))).scalar()
+    keys = raw.select(*[_typed(F.col(quoted(k)), contract.column(k)).alias(k) for k in contract.key])
+    repeated = duplicate_keys(keys, contract.key).agg(F.count(F.lit(1))).scalar()
     message = f"PRIMARY KEY constraint failed: {contract.name} ({', '.join(contract.key)})"
     return typed.filter(F.assert_true(repeated == 0, message).isNull())
 
@@ -81,7 +107,7 @@ def breaks_load(raw: DataFrame, contract: TableContract) -> Column:
     for rule in contract.columns:
         c = F.col(quoted(rule.name))
         bad = bad | ~_converts(c, rule)
-        if not rule.nullable_in_checks:
+        if _required(rule):
             bad = bad | P.is_blank(c.cast("string"))
     return bad
 

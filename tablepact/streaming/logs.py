@@ -17,15 +17,19 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None)
     return reader.text(folder).withColumnRenamed("value", "line")
 
 
-def level_windows(lines: DataFrame, width: str = "10 minutes", delay: str = "1 hour",
+def level_windows(lines: DataFrame, width: str = "10 minutes", delay: str | None = None,
                   column: str = "line") -> DataFrame:
-    """Errors and warnings per window and level; state older than ``delay`` is dropped.
+    """Errors and warnings per window and level.
 
-    Lines without a stamp are removed before the watermark, so they cannot move it.
+    Without ``delay`` every line counts, however late, and all windows are kept:
+    the form for history.  With it, the state of older windows is let go and
+    lines that come later are left out; ``late_lines`` tells how many.  Lines
+    without a stamp are removed before the watermark, so they cannot move it.
     """
     parsed = parse_lines(lines, column).filter(F.col("level").isNotNull())
-    return (parsed.withWatermark("event_time", delay)
-            .groupBy(F.window("event_time", width), "level")
+    if delay is not None:
+        parsed = parsed.withWatermark("event_time", delay)
+    return (parsed.groupBy(F.window("event_time", width), "level")
             .agg(F.count(F.lit(1)).alias("line_count"))
             .select(F.col("window.start").alias("window_start"),
                     F.col("window.end").alias("window_end"), "level", "line_count"))
@@ -49,6 +53,12 @@ def write_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQu
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def late_lines(query: StreamingQuery) -> int:
+    """Groups of lines left out as too late, over the batches the query remembers."""
+    return sum(int(state.numRowsDroppedByWatermark)
+               for progress in query.recentProgress for state in progress.stateOperators)
+
+
 def latest_windows(spark: SparkSession, path: str) -> DataFrame:
     """The last written count of every window and level."""
     written = spark.read.parquet(path)

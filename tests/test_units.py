@@ -157,7 +157,8 @@ def test_checks_stay_independent(spark):
     assert found["e"].details == "Unknown check type: other" and found["b"].error
     summary = K.summary(spark.createDataFrame([("PASS",), ("ERROR",)], "status string")).first()
     assert summary.overall_status == "WARN"
-    assert K.source_table_candidates("orders_clean") == ["raw_orders", "raw_orders_clean", "raw_users", "orders"]
+    assert K.source_table_candidates("orders_clean") == ["raw_orders", "raw_orders_clean", "orders"]
+    assert K.source_table_candidates("orders_clean", "landing") == ["landing"]
 
 
 def test_basic_checks_are_a_subset():
@@ -190,7 +191,9 @@ def test_throughput(spark):
     df = spark.createDataFrame([(1, 13, 5.23, 45.2), (2, 99_999, 60.0, 1.0), (3, 5000, 1.0, 100.0), (4, 200_000, 90.0, 500.0)],
                                "id int, rows long, seconds double, mb double")
     got = H.throughput_status(df, memory_mb="mb").orderBy("id").collect()
-    assert [r.performance_status for r in got] == ["WARN", "FAIL", "FAIL", "PASS"]
+    assert [r.performance_status for r in got] == ["WARN", "FAIL", "FAIL", "FAIL"]
+    roomy = H.throughput_status(df, memory_mb="mb", max_memory_mb=300.0).orderBy("id").collect()
+    assert roomy[3].performance_status == "PASS"
 
 
 def test_severity_rollup(spark):
