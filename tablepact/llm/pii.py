@@ -30,6 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_DOTTED = re.compile(r"[0-9]\.[0-9]")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -54,6 +55,8 @@ def find_ips(text: str) -> list[Span]:
     def fits(part: str) -> bool:
         digits = part.lstrip("0")
         return len(digits) <= 3 and int(digits or "0") <= 255
+    if not _DOTTED.search(text):
+        return []
     return [m.span() for m in _IP.finditer(text) if all(map(fits, m[0].split(".")))]
 
 
@@ -149,7 +152,8 @@ def _same_shape() -> dict[str, str]:
 
 
 _SHAPES = _same_shape()
-_SHAPED = re.compile("[" + "".join(map(re.escape, sorted(_SHAPES))) + "]")
+#: No character below the first and outside these is rewritten.
+_MAYBE_SHAPED = re.compile("[\u00a0\u00ad\u0250-\U0001fbff]")
 
 #: Spelled digits in the four languages of the corpus (fixed values).
 _SPELLED = {
@@ -171,6 +175,7 @@ _SPELLED_RUN = re.compile(
 _RUN_PART = re.compile(rf"plus|{_DIGIT_WORD}|[0-9]+|dot|\.", re.IGNORECASE)
 
 _OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
+_MARKED = re.compile(r"[\[({<][ ]?(?i:at|dot|punkt|point|punto|@|\.)")
 _MARKED_AT = re.compile(rf"(?<=\w){_OPEN}(?:at|@){_CLOSE}(?=\w)", re.IGNORECASE)
 _MARKED_DOT = re.compile(rf"(?<=\w){_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}(?=\w)", re.IGNORECASE)
 #: Last parts of a domain that may follow a spelled dot (fixed values).
@@ -187,8 +192,25 @@ _NUMBER_DOTS = re.compile(r"(?<![\w.])[0-9]{1,3}+(?:(?:\.|[ ]dot[ ])[0-9]{1,3}+)
 _SOME_DOT = re.compile(r" dot ", re.IGNORECASE)
 
 
+def _odd_shapes(text: str) -> set[str]:
+    """The characters of a text that are rewritten."""
+    return _SHAPES.keys() & set(text) if not text.isascii() and _MAYBE_SHAPED.search(text) else set()
+
+
 def _shapes(m: Mapped) -> list[tuple[int, int, str]]:
-    return [(x.start(), x.end(), _SHAPES[x[0]]) for x in _SHAPED.finditer(m.text)]
+    odd = _odd_shapes(m.text)
+    return [(i, i + 1, _SHAPES[c]) for i, c in enumerate(m.text) if c in odd] if odd else []
+
+
+_BREAKS = str.maketrans(",.-", "   ")
+_COUNTED = frozenset([*_SPELLED, "dot", "plus", *"0123456789"])
+
+
+def _may_spell(text: str) -> bool:
+    """Whether two spelled digits follow one another, which any run must hold."""
+    words = text.lower().translate(_BREAKS).split() if not text.isascii() else (
+        text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split())
+    return b"\1\1" in bytes(map(_COUNTED.__contains__, words))
 
 
 def _marks(pattern: re.Pattern, new: str) -> Callable[[Mapped], list[tuple[int, int, str]]]:
@@ -198,6 +220,8 @@ def _marks(pattern: re.Pattern, new: str) -> Callable[[Mapped], list[tuple[int,
 def _spelled(m: Mapped) -> list[tuple[int, int, str]]:
     """Runs of spelled digits: each word becomes its digit, what lies between goes."""
     edits = []
+    if not _may_spell(m.text):
+        return edits
     for run in _SPELLED_RUN.finditer(m.text):
         parts = list(_RUN_PART.finditer(m.text, run.start(), run.end()))
         if sum(p[0].lower() in _SPELLED for p in parts) < _LEAST_SPELLED:
@@ -230,13 +254,13 @@ def _word_dots(m: Mapped) -> list[tuple[int, int, str]]:
 
 
 _CHAIN = (_shapes, _marks(_MARKED_AT, "@"), _marks(_MARKED_DOT, "."), _spelled, _word_dots)
-#: What a text must hold for any transducer to rewrite it.
-_TRIGGERS = (_SHAPED, _MARKED_AT, _MARKED_DOT, _SPELLED_RUN, _SOME_DOT)
+#: What a text must hold for any transducer to rewrite it; quicker than the transducers.
+_TRIGGERS: tuple[Callable[[str], object], ...] = (_odd_shapes, _MARKED.search, _may_spell, _SOME_DOT.search)
 
 
 def normalised(text: str) -> Mapped | None:
     """The text after all transducers; None if none of them rewrites anything."""
-    if not any(t.search(text) for t in _TRIGGERS):
+    if not any(trigger(text) for trigger in _TRIGGERS):
         return None
     mapped, changed = Mapped.of(text), False
     for step in _CHAIN:
