@@ -21,7 +21,6 @@ segmentation by their sum is not the one its merges give, but is decoded alike.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from tablepact.llm.common import columns, slices, table, written
 #: Characters of a chunk, and chunks of a block.
 CHUNK = 1 << 15
 BLOCK = 64
-#: Words kept by one worker before the cache starts anew; longer ones are not kept.
+#: Words of one of the two generations one worker keeps; longer ones are not kept.
 CACHE_WORDS = 400_000
 LONG_WORD = 64
 #: What an unknown character costs more than the worst piece.
@@ -77,7 +76,9 @@ class Pieces:
             raise ValueError("a piece holds a blank mark after another character")
         if model.encode("a  b ", out_type=str) and model.decode(model.encode("a  b ")) != "a  b ":
             raise ValueError("the model normalises its text")
+        # What was met since the cache was full last, and what was met before that.
         self.words: dict[str, tuple[float, bytes, int]] = {}
+        self.before: dict[str, tuple[float, bytes, int]] = {}
 
     def pieces_at(self, text: str, i: int, end: int) -> list[tuple[int, float]]:
         """Ends and scores of the pieces that start at ``i``; one unknown character
@@ -134,17 +135,19 @@ class Pieces:
         else:
             keys = words[1:]  # one mark before each word
             text = None
-        cache = self.words
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.before = {}, self.words
+        cache, before = self.words, self.before
         found = [*map(cache.get, keys)] if text is None else [None] * len(keys)
         if None in found:
             fresh: dict[str, tuple[float, bytes, int]] = {}
             for i, value in enumerate(found):
                 if value is None:
                     key = keys[i]
-                    made = fresh.get(key)
-                    if made is None:
+                    made = fresh.get(key) or (before.get(key) if text is None else None)
+                    if made is not None:
+                        fresh[key] = made
+                    else:
                         made = fresh[key] = self.word(key if text is not None else MARK + key)
                     found[i] = made
             if text is None:
