@@ -202,15 +202,20 @@ def _shapes(m: Mapped) -> list[tuple[int, int, str]]:
     return [(i, i + 1, _SHAPES[c]) for i, c in enumerate(m.text) if c in odd] if odd else []
 
 
-_BREAKS = str.maketrans(",.-", "   ")
-_COUNTED = frozenset([*_SPELLED, "dot", "plus", *"0123456789"])
+_WORDS = re.compile(r"\w+")
+_COUNTED = _SPELLED.keys() | {"dot", "plus"}
 
 
 def _may_spell(text: str) -> bool:
-    """Whether two spelled digits follow one another, which any run must hold."""
-    words = text.lower().translate(_BREAKS).split() if not text.isascii() else (
-        text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split())
-    return b"\1\1" in bytes(map(_COUNTED.__contains__, words))
+    """Whether a spelled digit stands beside another one, a number, ``dot`` or ``plus``,
+    whatever marks lie between, as in any run."""
+    words = _WORDS.findall(text.casefold())
+    if _SPELLED.keys().isdisjoint(words):
+        return False
+
+    def counts(i: int) -> bool:
+        return 0 <= i < len(words) and (words[i] in _COUNTED or words[i].isdigit())
+    return any(word in _SPELLED and (counts(i + 1) or counts(i - 1)) for i, word in enumerate(words))
 
 
 def _marks(pattern: re.Pattern, new: str) -> Callable[[Mapped], list[tuple[int, int, str]]]:
@@ -224,11 +229,11 @@ def _spelled(m: Mapped) -> list[tuple[int, int, str]]:
         return edits
     for run in _SPELLED_RUN.finditer(m.text):
         parts = list(_RUN_PART.finditer(m.text, run.start(), run.end()))
-        if sum(p[0].lower() in _SPELLED for p in parts) < _LEAST_SPELLED:
+        if sum(p[0].casefold() in _SPELLED for p in parts) < _LEAST_SPELLED:
             continue
         at = run.start()
         for p in parts:
-            word = p[0].lower()
+            word = p[0].casefold()
             new = _SPELLED.get(word, "+" if word == "plus" else "." if word in ("dot", ".") else word)
             if at < p.start():
                 edits.append((at, p.start(), ""))
