@@ -167,11 +167,15 @@ _SPELLED = {
     "ocho": "8", "nueve": "9",
 }
 _DIGIT_WORD = "(?:" + "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w))) + ")"
-#: Fewer spelled digits in a row are words of ordinary prose.
-_LEAST_SPELLED = 3
+_BREAK = r"(?:[ ,-]{1,2}|[ ]?\.[ ]?|[ ]dot[ ])"
 _SPELLED_RUN = re.compile(
-    rf"(?<!\w)(?:plus[ ,-]{{1,2}})?{_DIGIT_WORD}(?:(?:[ ,-]{{1,2}}|[ ]?\.[ ]?|[ ]dot[ ])"
-    rf"(?:{_DIGIT_WORD}|[0-9]+))+(?!\w)", re.IGNORECASE)
+    rf"(?<!\w)(?:plus[ ,-]{{1,2}}(?:[0-9]+{_BREAK})*)?{_DIGIT_WORD}(?:{_BREAK}(?:{_DIGIT_WORD}|[0-9]+))*(?!\w)",
+    re.IGNORECASE)
+#: What makes a lone spelled digit part of a number: digits before it, or after it.
+_NUMBER_BEFORE = re.compile(r"(?:[0-9](?:[ ,().-]{1,3}|[ ]dot[ ])|\+[ (]{0,2})\Z", re.IGNORECASE)
+_NUMBER_AFTER = re.compile(r"[ ,().-]{1,3}\+?[0-9]|[ ]dot[ ][0-9]", re.IGNORECASE)
+#: A digit and the one blank or hyphen before a run that goes on with it.
+_DIGIT_BEFORE = re.compile(r"(?<![0-9])[0-9][ -]\Z")
 _RUN_PART = re.compile(rf"plus|{_DIGIT_WORD}|[0-9]+|dot|\.", re.IGNORECASE)
 
 _OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
@@ -222,24 +226,33 @@ def _marks(pattern: re.Pattern, new: str) -> Callable[[Mapped], list[tuple[int,
     return lambda m: [(x.start(), x.end(), new) for x in pattern.finditer(m.text)]
 
 
-def _spelled(m: Mapped) -> list[tuple[int, int, str]]:
-    """Runs of spelled digits: each word becomes its digit, what lies between goes."""
+def _spelled(m: Mapped, reading: str = "joined") -> list[tuple[int, int, str]]:
+    """Runs of spelled digits, of any length: each word becomes its digit.
+
+    What lies between the parts of a run goes; ``apart`` it stays, but for dots,
+    and with ``led`` a single digit before the run is joined to it as well.
+    """
     edits = []
     if not _may_spell(m.text):
         return edits
     for run in _SPELLED_RUN.finditer(m.text):
         parts = list(_RUN_PART.finditer(m.text, run.start(), run.end()))
-        if sum(p[0].casefold() in _SPELLED for p in parts) < _LEAST_SPELLED:
+        before = m.text[max(0, run.start() - 6):run.start()]
+        if len(parts) == 1 and not (_NUMBER_BEFORE.search(before) or _NUMBER_AFTER.match(m.text, run.end())):
             continue
-        at = run.start()
+        at, last, spelled = run.start(), "", False
+        if reading == "led" and _DIGIT_BEFORE.search(before):
+            edits.append((at - 1, at, ""))
         for p in parts:
             word = p[0].casefold()
             new = _SPELLED.get(word, "+" if word == "plus" else "." if word in ("dot", ".") else word)
-            if at < p.start():
+            spelled = spelled or word in _SPELLED  # numbers between a plus and the first spelled digit stay as they are
+            marked = new == "." or last in (".", "+")
+            if at < p.start() and (marked or reading != "apart" and spelled):
                 edits.append((at, p.start(), ""))
             if new != p[0]:
                 edits.append((p.start(), p.end(), new))
-            at = p.end()
+            at, last = p.end(), new
     return edits
 
 
@@ -258,41 +271,57 @@ def _word_dots(m: Mapped) -> list[tuple[int, int, str]]:
     return [edits[k] for k in sorted(edits)]
 
 
-_CHAIN = (_shapes, _marks(_MARKED_AT, "@"), _marks(_MARKED_DOT, "."), _spelled, _word_dots)
+_MARKS = (_shapes, _marks(_MARKED_AT, "@"), _marks(_MARKED_DOT, "."))
+#: How runs of spelled digits are read besides ``joined``: prose or other numbers may stand beside them.
+_OTHER_READINGS = ("led", "apart")
 #: What a text must hold for any transducer to rewrite it; quicker than the transducers.
 _TRIGGERS: tuple[Callable[[str], object], ...] = (_odd_shapes, _MARKED.search, _may_spell, _SOME_DOT.search)
 
 
-def normalised(text: str) -> Mapped | None:
-    """The text after all transducers; None if none of them rewrites anything."""
+def readings(text: str) -> list[Mapped]:
+    """The text after all transducers, once for each way to read its spelled digits,
+    the last one leaving them as words; empty if nothing is rewritten."""
     if not any(trigger(text) for trigger in _TRIGGERS):
-        return None
-    mapped, changed = Mapped.of(text), False
-    for step in _CHAIN:
-        edits = step(mapped)
-        if edits:
-            mapped, changed = mapped.rewrite(edits), True
-    return mapped if changed else None
+        return []
+    mapped = Mapped.of(text)
+    for step in _MARKS:
+        mapped = _after(mapped, step(mapped))
+    joined, read = _spelled(mapped), [mapped]
+    if joined:
+        edits = [joined]
+        for reading in _OTHER_READINGS:
+            other = _spelled(mapped, reading)
+            if other not in edits:
+                edits.append(other)
+        read = [mapped.rewrite(e) for e in edits] + read
+    read = [_after(m, _word_dots(m)) for m in read]
+    return [m for m in read if m.text != text]
+
+
+def _after(m: Mapped, edits: list[tuple[int, int, str]]) -> Mapped:
+    return m.rewrite(edits) if edits else m
 
 
 def find_all(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """Plain spans, and all spans: with those found in the rewritten text only.
+    """Plain spans, and all spans: with those found in rewritten texts only.
 
-    A disguised span is left out if plain spans of its kind cover it.
+    A disguised span is left out if a plain span of its kind, or one of an
+    earlier reading, covers it.
     """
     plain = find_plain(text)
-    mapped = normalised(text)
-    if mapped is None:
+    read = readings(text)
+    if not read:
         return plain, plain
     full = {}
     for kind, spans in plain.items():
-        added = set()
-        for span in _FINDERS[kind](mapped.text):
-            low, high = mapped.source(span)
-            disguised = text[low:high] != mapped.text[span[0]:span[1]]
-            if disguised and not any(a <= low and high <= b for a, b in spans):
-                added.add((low, high))
-        full[kind] = sorted({*spans, *added})
+        known = list(spans)
+        for mapped in read:
+            for span in _FINDERS[kind](mapped.text):
+                low, high = mapped.source(span)
+                disguised = text[low:high] != mapped.text[span[0]:span[1]]
+                if disguised and not any(a <= low and high <= b for a, b in known):
+                    known.append((low, high))
+        full[kind] = sorted({*known})
     return plain, full
 
 
