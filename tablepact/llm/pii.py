@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -96,10 +96,11 @@ class Mapped:
     text: str
     start: list[int]
     end: list[int]
+    origin: str
 
     @classmethod
     def of(cls, text: str) -> "Mapped":
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)))
+        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)), text)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> "Mapped":
         """Replace ascending, disjoint ranges of this text.
@@ -114,7 +115,11 @@ class Mapped:
             end += self.end[at:low] + [self.end[high - 1]] * len(new)
             at = high
         text.append(self.text[at:])
-        return Mapped("".join(text), start + self.start[at:], end + self.end[at:])
+        return Mapped("".join(text), start + self.start[at:], end + self.end[at:], self.origin)
+
+    def put_in(self, i: int) -> bool:
+        """Whether a transducer put this character in."""
+        return self.origin[self.start[i]:self.end[i]] != self.text[i]
 
     def source(self, span: Span) -> Span:
         return self.start[span[0]], self.end[span[1] - 1]
@@ -182,18 +187,33 @@ _OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
 _MARKED = re.compile(r"[\[({<][ ]?(?i:at|dot|punkt|point|punto|@|\.)")
 _MARKED_AT = re.compile(rf"(?<=\w){_OPEN}(?:at|@){_CLOSE}(?=\w)", re.IGNORECASE)
 _MARKED_DOT = re.compile(rf"(?<=\w){_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}(?=\w)", re.IGNORECASE)
-#: Last parts of a domain that may follow a spelled dot (fixed values).
+#: Last parts of a domain after a spelled dot where prose is likely (fixed values).
 _ENDINGS = (
     "com org net edu gov mil int info biz name pro io co me tv ai app dev example test uk de fr es eu us ca au ch nl it "
     "pl se fi dk cz pt gr ro hu ie be lu ru ua tr jp cn kr tw hk sg nz za br mx ar cl").split()
-#: ``name at host dot tld``: the domain must have a spelled dot and a known ending, so that prose stays.
+_LOCAL_PART = r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[ ]dot[ ])[A-Za-z0-9_%+-]+)*+(?P<at>[ ]at[ ]|@)"
+#: ``name at host dot tld`` with a spelled dot and a listed ending, and with any dots and ending.
+_LISTED_AT = re.compile(
+    _LOCAL_PART + r"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]+)*?[ ]dot[ ](?:" + "|".join(_ENDINGS)
+    + r"))(?![\w-]|[ ]dot[ ])", re.IGNORECASE)
 _WORD_AT = re.compile(
-    r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[ ]dot[ ])[A-Za-z0-9_%+-]+)*+(?P<at>[ ]at[ ]|@)"
-    r"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]+)*?[ ]dot[ ](?:" + "|".join(_ENDINGS) + r"))(?![\w-]|[ ]dot[ ])",
-    re.IGNORECASE)
+    _LOCAL_PART + r"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ ]dot[ ])[A-Za-z0-9-]+)*+)(?![\w-])", re.IGNORECASE)
+_LABELS = re.compile(r"\.|[ ]dot[ ]", re.IGNORECASE)
+_ENDING = re.compile(r"(?:[a-z]{2,}|xn--[a-z0-9-]+)", re.IGNORECASE)
+#: Words before a spelled at, and first words of a host, that make it prose (fixed values).
+_PROSE_BEFORE = frozenset((
+    "look looks looked looking stare stares stared staring point points pointed pointing aim aims aimed aiming glance "
+    "glanced gaze arrive arrives arrived stop stops stopped start starts started end ends ended begin begins sit sits sat "
+    "stand stands stood stay stays stayed live lives lived work works worked be is are was were been being am it us me "
+    "him her them you we they he she i and or but not only even found located hosted available meet met see "
+    "here there up down out back on in").split())
+_PROSE_AFTER = frozenset((
+    "the a an this that these those each every any some all no his her its our their your my which what least most first "
+    "last once").split())
 _SPELLED_DOT = re.compile(r"[ ]dot[ ]", re.IGNORECASE)
 _NUMBER_DOTS = re.compile(r"(?<![\w.])[0-9]{1,3}+(?:(?:\.|[ ]dot[ ])[0-9]{1,3}+){3}(?![\w])", re.IGNORECASE)
 _SOME_DOT = re.compile(r" dot ", re.IGNORECASE)
+_SOME_AT = re.compile(r" at |@", re.IGNORECASE)
 
 
 def _odd_shapes(text: str) -> set[str]:
@@ -256,16 +276,40 @@ def _spelled(m: Mapped, reading: str = "joined") -> list[tuple[int, int, str]]:
     return edits
 
 
+def _addresses(m: Mapped) -> Iterator[re.Match]:
+    """Addresses whose host has a spelled dot or one that a transducer put in.
+
+    If the at is a disguise as well, any ending will do, unless the words around
+    it make prose likely; else the ending after a spelled dot must be listed.
+    """
+    at = 0
+    while x := _WORD_AT.search(m.text, at):
+        host = _LABELS.split(x["host"])
+        dots = [d.start() for d in _LABELS.finditer(m.text, x.start("host"), x.end())]
+        hidden_dot = any(m.text[d] == " " or m.put_in(d) for d in dots)
+        bare_at = x["at"] != "@"
+        prose = bare_at and (host[0].casefold() in _PROSE_AFTER
+                             or _LABELS.split(m.text[x.start():x.start("at")])[-1].casefold() in _PROSE_BEFORE)
+        if not (hidden_dot and (bare_at or m.put_in(x.start("at"))) and not prose and _ENDING.fullmatch(host[-1])):
+            x = _LISTED_AT.match(m.text, x.start()) or x
+            if x.re is _WORD_AT:  # the host may be the name before another at
+                at = x.start("host")
+                continue
+        yield x
+        at = x.end()
+
+
 def _word_dots(m: Mapped) -> list[tuple[int, int, str]]:
-    if not _SOME_DOT.search(m.text):
+    some = _SOME_DOT.search(m.text)
+    if not some and (m.text == m.origin or not _SOME_AT.search(m.text)):
         return []
     edits = {}
-    for x in _WORD_AT.finditer(m.text):
+    for x in _addresses(m):
         if x["at"] != "@":
             edits[x.start("at")] = (x.start("at"), x.end("at"), "@")
         for dot in _SPELLED_DOT.finditer(m.text, x.start(), x.end()):
             edits[dot.start()] = (dot.start(), dot.end(), ".")
-    for x in _NUMBER_DOTS.finditer(m.text):
+    for x in _NUMBER_DOTS.finditer(m.text) if some else ():
         for dot in _SPELLED_DOT.finditer(m.text, x.start(), x.end()):
             edits[dot.start()] = (dot.start(), dot.end(), ".")
     return [edits[k] for k in sorted(edits)]

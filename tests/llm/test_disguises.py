@@ -65,3 +65,31 @@ def test_neighbours_of_a_disguise_do_not_hide_it(text, kind, part):
                                   "plus 20 000 000 people", "version 1.one", "from 1990 to 2020 one of six"])
 def test_prose_with_numbers_is_left_alone(text):
     assert pii.redact(text) == text
+
+
+@pytest.mark.parametrize("text, part", [
+    ("ask jane at example [dot] com now", "jane at example [dot] com"),
+    ("ask jane at mail [dot] example.com now", "jane at mail [dot] example.com"),
+    ("ask jane [at] example dot xyz now", "jane [at] example dot xyz"),
+    ("ask jane at example dot xyz now", "jane at example dot xyz"),
+    ("ask jane at example dot online now", "jane at example dot online"),
+    ("ask jane at example dot in now", "jane at example dot in"),
+    ("ask jane at mail dot example (dot) museum now", "jane at mail dot example (dot) museum"),
+    ("ask jane dot doe [at] example [dot] com now", "jane dot doe [at] example [dot] com"),
+    ("look at jane.doe at example dot xyz now", "jane.doe at example dot xyz"),
+    ("ask me at home dot com now", "me at home dot com"),
+])
+def test_at_and_dot_disguised_in_different_ways(text, part):
+    assert found(text, "email", part) and part not in pii.redact(text)
+
+
+@pytest.mark.parametrize("text", [
+    "look at the dot at the end", "look at a dot in the picture", "it is at example.com", "we met at noon.then we left",
+    "point at black dot number two", "see us at example.com or [dot] it", "the price at version 1 dot 2"])
+def test_prose_with_at_and_dot_is_left_alone(text):
+    assert pii.redact(text) == text
+
+
+def test_long_chains_of_dots_and_ats():
+    for text in ("a at a." * 20_000, "a dot " * 2_000, "a [at] b " * 20_000, "plus 1 " * 20_000, "one. 1 " * 20_000):
+        pii.find_all(text)
