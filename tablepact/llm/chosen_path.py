@@ -26,9 +26,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.llm.common import columns, partitions, slices, table, written, written_to
@@ -476,19 +477,11 @@ def similar(grams: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray
     return common >= threshold * union - 1e-9
 
 
-def classes(docs: DataFrame, number: int | None = None) -> DataFrame:
-    """``doc_id``, ``class_id``, ``n_links`` and ``n_copies`` of every document.
-
-    Documents are in one class if a chain of links or copies connects them;
-    ``class_id`` is the least id of the class.  ``n_links`` counts the different
-    texts linked, ``n_copies`` the documents of the same words, itself included.
-    A text without words, null or empty, has no links and is a class of its own.
-    Repeated rows are copies; a null id never names a class unless it is all
-    there is; an empty table gives no rows; other columns are ignored.
-    """
+def classed(docs: DataFrame, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and the different texts with words: ``digest``, its
+    least ``doc_id`` (null if it has none), ``n_copies``, ``least`` (the class) and ``n_links``."""
     signed = written(signatures(docs), "signatures")
-    wordy = signed.where("n_grams > 0")
-    texts = written(wordy.groupBy("digest").agg(
+    texts = written(signed.where("n_grams > 0").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch")), "texts")
     groups = written(components(candidates(texts, number)), "groups")
     sizes = groups.groupBy("least").agg(F.count("*").alias("n"))
@@ -498,34 +491,64 @@ def classes(docs: DataFrame, number: int | None = None) -> DataFrame:
     linked = links.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("n_links"))
     final = components(links.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
     named = texts.select("digest", "doc_id", "n_copies").join(final, "digest", "left").join(linked, "digest", "left")
-    named = named.withColumn("least", F.coalesce("least", "digest"))
+    return signed, named.withColumn("least", F.coalesce("least", "digest"))
+
+
+def classes(docs: DataFrame, number: int | None = None) -> DataFrame:
+    """``doc_id``, ``class_id``, ``n_links`` and ``n_copies`` of every document.
+
+    Documents are in one class if a chain of links or copies connects them;
+    ``class_id`` is the least id of the class.  ``n_links`` counts the different
+    texts linked, ``n_copies`` the documents of the same words, itself included.
+    A text without words, null or empty, has no links and is a class of its own.
+    Repeated rows are copies; a null id never names a class unless it is all
+    there is; an empty table gives no rows; other columns are ignored.
+    """
+    signed, named = classed(docs, number)
     ids = named.groupBy("least").agg(F.min("doc_id").alias("class_id"))
     by_text = named.join(ids, "least").select("digest", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return (wordy.select("doc_id", "digest").join(by_text, "digest").select("doc_id", "class_id", "n_links", "n_copies")
+    return (signed.where("n_grams > 0").select("doc_id", "digest").join(by_text, "digest")
+            .select("doc_id", "class_id", "n_links", "n_copies")
             .unionByName(signed.where("n_grams = 0").select(
                 "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
                 F.lit(1).cast("long").alias("n_copies"))))
 
 
+def document_key(digest: Column, doc_id: Column) -> Column:
+    """Digest and id in one; a null id equals only itself."""
+    return F.concat(digest, F.coalesce(doc_id.cast("long").cast("string"), F.lit("")).cast("binary"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each class the one with the least id.
 
-    Of several rows with that id and text one stays.  Rows without an id cannot
-    be told apart by it: of those, one per text stays.  Texts without words stay.
-    Other columns stay as they are.
+    A document is an id and the words of its text, so an id that stands for
+    several texts is several documents.  A null id comes after all others.  Of
+    several rows of the kept document one stays.  Texts without words stay, one
+    row for each id and text.  Other columns stay as they are.
     """
-    found = written(classes(docs), "classes")
-    dropped = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63))
-    keyed = docs.withColumn("_gone", place)
-    kept = sized_join(keyed, dropped, "_gone", "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(
-        F.coalesce("doc_id", F.lit(-1 << 63)).alias("_gone"))
+    @F.pandas_udf("binary")
+    def digests(texts: pd.Series) -> pd.Series:
+        return pd.Series([_digest((t or b"").split()) for t in texts], dtype=object)
+
+    signed, named = classed(docs)
+    named = written(named.select("digest", "doc_id", "least"), "named")
+    first = named.groupBy("least").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    stays = named.join(first, "least").select(
+        "digest", document_key(F.col("first.digest"), F.col("first.doc_id")).alias("_stays"))
+    keys = signed.select("digest", "n_grams", document_key(F.col("digest"), F.col("doc_id")).alias("_key"))
+    gone = written(keys.where("n_grams > 0").join(stays, "digest").where("_key <> _stays").select("_key").distinct(), "gone")
+    again = written(keys.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")
+                    .join(gone, "_key", "left_anti"), "again")
+    keyed = docs.withColumn("_key", document_key(digests(F.col("text").cast("binary")), F.col("doc_id")))
+    kept = sized_join(keyed, gone, "_key", "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    once = sized_join(kept, again, "_gone", "left_anti")
-    repeated = sized_join(kept, again, "_gone", "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["_gone", "text"])).select(*docs.columns)
+    once = sized_join(kept, again, "_key", "left_anti")
+    wordless = F.substring("_key", 1, 16) == F.lit(_digest([]))
+    repeated = sized_join(kept, again, "_key", "left_semi").withColumn("_bare", F.when(wordless, F.col("text")))
+    return once.unionByName(repeated.dropDuplicates(["_key", "_bare"]).drop("_bare")).select(*docs.columns)
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
