@@ -23,11 +23,11 @@ class LoadOutcome:
 
 
 def ingest_strict(spark: SparkSession, path: str, contract: TableContract, target: str) -> LoadOutcome:
-    """Validate the file, stage it as text and load it all or not at all.
+    """Validate the file (or the files of a folder), stage it as text and load it all or not at all.
 
     A refused load comes back with the error and the rows that break it.
     """
-    files.validate_source(spark, path)
+    files.validate_sources(spark, path)
     staged = files.stage_csv(spark, path)
     try:
         return LoadOutcome(True, strict.strict_load_to(staged, contract, target), None, None)

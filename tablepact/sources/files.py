@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,6 +13,7 @@ from tablepact.contract import TableContract
 from tablepact.functions.coerce import na_to_null
 from tablepact.functions.text import human_size, quoted
 from tablepact.operators.clean import basic_column
+from tablepact.sources import delimited
 
 #: Blocks of files (about 100 bytes each) whose line counts are broadcast at most.
 BROADCAST_BLOCKS = 100_000
@@ -23,60 +23,43 @@ def all_text(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _first_line(spark: SparkSession, file: str) -> str | None:
-    """First line of one file, decompressed if need be; nothing else is read."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    conf = spark._jsc.hadoopConfiguration()
-    stream = path.getFileSystem(conf).open(path)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
-        source = stream if codec is None else codec.createInputStream(stream)
-        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine()
-    finally:
-        stream.close()
-
-
-def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The different headers below a path, with the files that have each; empty
-    files have none.  Reads one line of every file."""
-    found: dict[tuple[str, ...], list[str]] = {}
-    for file in spark.read.text(path).inputFiles():
-        line = _first_line(spark, file)
-        if line:
-            found.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]))), []).append(file)
-    return found
-
-
 def header_names(spark: SparkSession, path: str) -> list[str]:
     """Column names of a delimited source, in the order of its first file."""
-    return list(next(iter(headers(spark, path)), ()))
+    return list(next(iter(delimited.survey(spark, path).headers), ()))
 
 
 def stage_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
-              multi_line: bool = False) -> DataFrame:
+              multi_line: bool | None = None) -> DataFrame:
     """All columns as text; never fails on bad values.  Empty fields are null.
 
     Fields are bound by the names in each file's own header, so files may order
     them differently; a column that is missing from a header, unknown or repeated
-    there is an error.  Pass ``multi_line=True`` only for files with line breaks inside quotes: such
-    files cannot be split, so each becomes one task.
+    there is an error.
+
+    One pass over the lines gathers the headers and looks for fields that hold
+    line breaks.  Where there are some (or with ``multi_line=True``), files are read
+    by ``delimited.rows_of``, still block by block; ``multi_line=False`` takes every
+    line for a row.
     """
-    found = headers(spark, path)
-    names = list(columns) if columns else list(next(iter(found), ()))
-    for header, files in found.items():
+    found = delimited.survey(spark, path)
+    names = list(columns) if columns else list(next(iter(found.headers), ()))
+    for header in found.headers:
         if sorted(header) != sorted(names):
-            raise ValueError(f"Columns {sorted(names)} expected, {list(header)} found in {files[0]}")
+            raise ValueError(f"Columns {sorted(names)} expected, {list(header)} found"
+                             + "".join(f" in {f}" for f in found.files.get(header, [])[:1]))
         if len(set(header)) < len(header):
-            raise ValueError(f"Repeated column in {list(header)} of {files[0]}")
+            raise ValueError(f"Repeated column in {list(header)}")
+    if found.headers and (found.broken if multi_line is None else multi_line):
+        return delimited.fields_of(found.rows or delimited.rows_of(spark, path), found.headers, names)
 
     def read(header: Sequence[str], paths) -> DataFrame:
-        return (spark.read.schema(all_text(header)).option("header", True)
-                .option("escape", '"').option("multiLine", multi_line).csv(paths))
+        return spark.read.schema(all_text(header)).option("header", True).option("escape", '"').csv(paths)
 
-    if list(found) in ([], [tuple(names)]):
+    if found.headers in ([], [tuple(names)]):
         return read(names, path)
-    return reduce(DataFrame.unionByName, [read(header, files) for header, files in found.items()]).select(
+    if not found.files:  # one header in another order
+        return read(found.headers[0], path).select(*[F.col(quoted(n)) for n in names])
+    return reduce(DataFrame.unionByName, [read(header, files) for header, files in found.files.items()]).select(
         *[F.col(quoted(n)) for n in names])
 
 
@@ -181,6 +164,17 @@ def validate_source(spark: SparkSession, path: str) -> dict:
     return {"path": path, "size_bytes": status.getLen(), "is_valid": True}
 
 
+def validate_sources(spark: SparkSession, path: str) -> dict:
+    """As ``validate_source``, for a folder as well: some file in it must not be empty (empty ones give no rows)."""
+    status = _status(spark, path)
+    if status is None or not status.isDirectory():
+        return validate_source(spark, path)
+    size = file_metadata(spark, path).agg(F.sum("size_bytes")).first()[0]
+    if not size:
+        raise ValueError(f"Source files are empty: {path}")
+    return {"path": path, "size_bytes": size, "is_valid": True}
+
+
 def file_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Path, size, readable size and modification time of every matching file.
 
