@@ -153,6 +153,53 @@ def checks_with_date_bounds(spark, sf_dir):
     return K.run_checks(df, [*K.generate_checks(BOUNDED, "o"), failing]).select("check_id", "status", "actual")
 
 
+TEXT_CHECKS = TableContract.from_dict("orders", {"columns": [
+    {"name": "day", "type": "date", "min": "1995-01-01", "max": "1997-12-31"},
+    {"name": "late_day", "type": "date", "min": "1995-01-01"},
+    {"name": "code", "type": "string", "enum": [0, 1, 2, 3, 4]},
+    {"name": "odd_code", "type": "string", "enum": [0, 1, 2, 3, 4]}]})
+TEXT_ORDER_COLUMNS = """cast(o_orderkey as string) AS order_id, cast(cast(o_orderdate as date) as string) AS day,
+case when o_orderkey % 53 = 0 then 'bad-date' else cast(cast(o_orderdate as date) as string) end AS late_day,
+cast(o_orderkey % 7 as string) AS code, case when o_orderkey % 31 = 0 then 'n/a' else cast(o_orderkey % 7 as string) end AS odd_code"""
+
+
+def _text_orders(spark, sf_dir):
+    faults.table(spark, sf_dir, "orders").createOrReplaceTempView("_text_orders")
+    return spark.sql(f"SELECT {TEXT_ORDER_COLUMNS} FROM _text_orders")
+
+
+@query("checks_over_text", "G4 G5 G6 G12 G13", f"""
+WITH t AS (SELECT {TEXT_ORDER_COLUMNS}, o_orderkey AS k FROM orders),
+counted AS (
+  SELECT 'o_row_count' AS check_id, count(*) AS n, 0 AS undecided, true AS wanted FROM t
+  UNION ALL SELECT 'o_day_type_check', count(*), 0, false FROM t
+  UNION ALL SELECT 'o_day_min', count(*) FILTER (WHERE CAST(day AS DATE) < DATE '1995-01-01'), 0, false FROM t
+  UNION ALL SELECT 'o_day_max', count(*) FILTER (WHERE CAST(day AS DATE) > DATE '1997-12-31'), 0, false FROM t
+  UNION ALL SELECT 'o_day_date_valid', count(*), 0, false FROM t
+  UNION ALL SELECT 'o_late_day_type_check', count(*), 0, false FROM t
+  UNION ALL SELECT 'o_late_day_min', 0, count(*) FILTER (WHERE try_cast(late_day AS DATE) IS NULL), false FROM t
+  UNION ALL SELECT 'o_late_day_date_valid', count(*), 0, false FROM t
+  UNION ALL SELECT 'o_code_type_check', 0, 0, false
+  UNION ALL SELECT 'o_code_enum', count(*) FILTER (WHERE CAST(code AS INT) > 4), 0, false FROM t
+  UNION ALL SELECT 'o_odd_code_type_check', 0, 0, false
+  UNION ALL SELECT 'o_odd_code_enum', 0, count(*) FILTER (WHERE odd_code = 'n/a'), false FROM t
+  UNION ALL SELECT 'guarded', count(*) FILTER (WHERE try_cast(late_day AS DATE) < DATE '1995-01-01'), 0, false FROM t
+  UNION ALL SELECT 'overflow', 0, count(*) FILTER (WHERE 1000000 * CAST(k AS BIGINT) > 2147483647), false FROM t
+  UNION ALL SELECT 'division', 0, count(*) FILTER (WHERE code = '0'), false FROM t
+)
+SELECT check_id, CASE WHEN undecided = 0 THEN n END AS actual,
+  CASE WHEN undecided > 0 THEN 'ERROR' WHEN (n > 0) = wanted THEN 'PASS' ELSE 'FAIL' END AS status,
+  CASE WHEN undecided > 0 THEN concat(undecided, ' rows cannot be decided') END AS error
+FROM counted""")
+def checks_over_text(spark, sf_dir):
+    """Date bounds, number lists and hand-written conditions over text: each undecidable one is its own error."""
+    df = _text_orders(spark, sf_dir)
+    custom = {"guarded": "late_day <> 'bad-date' AND late_day < DATE '1995-01-01'",
+              "overflow": "1000000 * cast(order_id AS int) < 0", "division": "10 / cast(code AS int) > 99"}
+    checks = K.generate_checks(TEXT_CHECKS, "o") + [K.Check(i, "", condition=c) for i, c in custom.items()]
+    return K.run_checks(df, checks).select("check_id", "actual", "status", "error")
+
+
 @query("adhoc_runtime_error", "S9", """
 SELECT count(*) AS rows, true AS failed, true AS truncated, true AS reflection_refused FROM customer""")
 def adhoc_runtime_error(spark, sf_dir):

@@ -24,6 +24,7 @@ from tablepact.functions.types import (
     DATE_LIKE_TYPE_NAMES,
     accepted_type_names,
 )
+from tablepact.operators.tolerant import Unforeseen, tolerant
 from tablepact.plans.shapes import NULL_COUNT, NULL_TEXT, measure_rows
 
 CHECK_SCHEMA = T.StructType([
@@ -152,11 +153,15 @@ def _analysis_errors(df: DataFrame, checks: Sequence[Check]) -> dict[str, str]:
     return errors
 
 
+#: Error classes Spark names in its messages; a lost executor or a full disk has none.
+_ERROR_CLASS = re.compile(r"\[[A-Z0-9_.]+\]")
+
+
 def failing_checks(df: DataFrame, checks: Sequence[Check]) -> dict[str, str]:
     """Error text per check that fails while it runs.
 
     All run together; only if that fails are they run in halves, so one failing
-    check of n costs about 2 log n runs.
+    check of n costs about 2 log n runs.  What is no failure of an expression is raised.
     """
     if not checks:
         return {}
@@ -164,36 +169,69 @@ def failing_checks(df: DataFrame, checks: Sequence[Check]) -> dict[str, str]:
         df.agg(*[F.expr(f"count_if({c.condition})").alias(f"c{i}") for i, c in enumerate(checks)]).collect()
         return {}
     except Exception as exc:  # a failing expression reaches the driver as a Java error
+        if not _ERROR_CLASS.search(str(exc)):
+            raise
         if len(checks) == 1:
             return {checks[0].check_id: str(exc).splitlines()[0]}
     half = len(checks) // 2
     return failing_checks(df, checks[:half]) | failing_checks(df, checks[half:])
 
 
-def _measures(df: DataFrame, check: Check, error: str | None):
-    """(count, count of rows that make the check undecidable, error text)."""
-    if error is not None:
-        return NULL_COUNT, NULL_COUNT, error
-    if check.condition is None:
-        return F.count(F.lit(1)), NULL_COUNT, None
+@dataclass(frozen=True)
+class Measure:
+    """Aggregates of a check: violating rows, rows it cannot decide (if there may be some); or why it cannot run."""
+
+    count: Column | None
+    undecided: Column | None = None
+    error: str | None = None
+    reason: str = "%d rows cannot be decided"
+
+
+def measures(df: DataFrame, checks: Sequence[Check]) -> list[Measure]:
+    """The aggregates of each check, none of which fails on a value.
+
+    Conditions are taken in their ``try_`` forms.  Only those that may fail in
+    other ways, such as functions of the user, are tried once beforehand.
+    """
+    known = [c for c in checks if c.check_type in ("sql", "row_count")]
+    errors = _analysis_errors(df, known)
+    out: list[Measure | None] = []
+    for check in checks:
+        out.append(Measure(None, reason=f"Unknown check type: {check.check_type}") if check not in known
+                   else Measure(None, error=errors[check.check_id]) if check.check_id in errors
+                   else Measure(F.count(F.lit(1))) if check.condition is None else _number_bound(df, check))
+    open_ones = [i for i, m in enumerate(out) if m is None]
+    tried = []
+    for i, found in zip(open_ones, tolerant(df, *[checks[i].condition for i in open_ones]), strict=True):
+        if isinstance(found, Unforeseen):
+            tried.append(i)
+        else:
+            out[i] = Measure(found.violations, found.undecided)
+    failing = failing_checks(df, [checks[i] for i in tried])
+    for i in tried:
+        error = failing.get(checks[i].check_id)
+        out[i] = Measure(None if error else F.expr(f"count_if({checks[i].condition})"), error=error)
+    return out
+
+
+def _number_bound(df: DataFrame, check: Check) -> Measure | None:
+    """A bound on a text column compares the numbers the type inference knows."""
     bounded = re.fullmatch(r".+ ([<>]) (-?[0-9.]+(?:[eE][+-]?[0-9]+)?)", check.condition)
-    if check.kind in ("min", "max") and bounded and isinstance(df.schema[check.column].dataType, T.StringType):
-        # Bounds on a text column: compare what parses, report the rest as an error
-        # of this check alone instead of failing the whole aggregation.
-        c = F.col(quoted(check.column))
-        number = F.when(P.is_number_text(c), F.trim(c).try_cast("double"))
-        sign, bound = bounded.groups()
-        outside = number < float(bound) if sign == "<" else number > float(bound)
-        return F.count_if(outside), F.count_if(c.isNotNull() & number.isNull()), None
-    return F.expr(f"count_if({check.condition})"), NULL_COUNT, None
+    if check.kind not in ("min", "max") or not bounded or not isinstance(df.schema[check.column].dataType, T.StringType):
+        return None
+    c = F.col(quoted(check.column))
+    number = F.when(P.is_number_text(c), F.trim(c).try_cast("double"))
+    sign, bound = bounded.groups()
+    outside = number < float(bound) if sign == "<" else number > float(bound)
+    return Measure(F.count_if(outside), F.count_if(c.isNotNull() & number.isNull()), reason="%d values are not numeric")
 
 
 def verdict(expected: Column, actual: Column, error: Column | None = None,
             check_type: Column | None = None) -> Column:
     """PASS, FAIL or ERROR from an expectation such as ``> 0``, ``< 5``, ``= 3``,
-    ``0`` or nothing.  Unknown check types pass."""
+    ``0``, ``< 0.5`` or nothing.  Unknown check types pass."""
     sign = F.regexp_extract(expected, r"\A\s*([<>=]?)", 1)
-    number = F.regexp_extract(expected, r"\A\s*[<>=]?\s*(-?[0-9]+)\s*\z", 1).try_cast("bigint")
+    number = F.regexp_extract(expected, r"\A\s*[<>=]?\s*(-?[0-9]+(?:\.[0-9]+)?)\s*\z", 1).try_cast("decimal(38,9)")
     ok = (F.when(expected.isNull(), F.lit(True))
           .when(actual.isNull(), F.lit(False))
           .when(sign == ">", actual > number)
@@ -210,37 +248,28 @@ def verdict(expected: Column, actual: Column, error: Column | None = None,
 def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per check: actual count, status and error text.
 
-    A check that cannot be analysed (for example a missing column), or a custom one
-    that fails while it runs, is reported as ERROR and does not stop the others.
-    Custom checks are therefore tried once before; generated ones cannot fail.
+    A check that cannot be analysed (for example a missing column), or that cannot
+    decide some row (a text that is no number or date, an overflow), is reported as
+    ERROR and does not stop the others.  One aggregation runs them all, once.
     """
-    errors = _analysis_errors(df, checks)
-    custom = [c for c in checks if c.kind == "custom" and c.condition is not None
-              and c.check_type in ("sql", "row_count") and c.check_id not in errors]
-    errors |= failing_checks(df, custom)
     rows = []
-    for check in checks:
+    for check, measure in zip(checks, measures(df, checks), strict=True):
         expected = check.expected
         if check.check_type == "row_count":
             expected = "> 0"
-        if check.check_type not in ("sql", "row_count"):
-            count, undecided, error = NULL_COUNT, NULL_COUNT, None
-            details = f"Unknown check type: {check.check_type}"
-        else:
-            count, undecided, error = _measures(df, check, errors.get(check.check_id))
-            details = ""
+        details = "" if check.check_type in ("sql", "row_count") else measure.reason
         rows.append({
             "check_id": check.check_id, "description": check.description,
             "check_type": check.check_type, "severity": check.severity,
             "column": check.column or NULL_TEXT,
             "expected": expected if expected is not None else NULL_TEXT,
             "details": details,
-            "_count": count, "_undecided": undecided,
-            "_error": error or NULL_TEXT,
+            "_count": NULL_COUNT if measure.count is None else measure.count,
+            "_undecided": NULL_COUNT if measure.undecided is None else measure.undecided,
+            "_reason": measure.reason, "_error": measure.error or NULL_TEXT,
         })
     error = (F.when(F.col("_error").isNotNull(), F.col("_error"))
-             .when(F.col("_undecided") > 0,
-                   F.format_string("%d values are not numeric", F.col("_undecided"))))
+             .when(F.col("_undecided") > 0, F.replace("_reason", F.lit("%d"), F.col("_undecided").cast("string"))))
     actual = F.when(error.isNull(), F.col("_count"))
     return measure_rows(df, rows).select(
         "check_id", "description", "check_type", "severity", "column", "expected",

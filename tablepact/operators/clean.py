@@ -104,7 +104,10 @@ def clean_column(c: Column, rule: ColumnRule, dtype: T.DataType = T.StringType()
         out = _parse(c, rule, dtype, formats)
 
     if rule.enum is not None:
-        out = C.enforce_enum(out, rule.enum, rule.default)
+        # A list of numbers over text holds their text; compared as numbers, any other text would fail.
+        as_text = str if rule.type in ("string", "text") else lambda v: v
+        default = rule.default if rule.default is None else as_text(rule.default)
+        out = C.enforce_enum(out, [as_text(v) for v in rule.enum], default)
     if rule.type in STRING_TYPES:
         lengths = "min_length" in rule.constraints or "max_length" in rule.constraints
         if lengths:

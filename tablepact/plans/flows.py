@@ -45,22 +45,28 @@ def clean_and_check(raw: DataFrame, contract: TableContract, output_table: str |
 def clean_check_and_write(raw: DataFrame, contract: TableContract, path: str) -> tuple[DataFrame, int]:
     """Clean, count violations while writing, and return (check results, rows).
 
-    The raw table is read once and the written one not at all.
+    The raw table is read once and the written one not at all.  A check that cannot
+    run, or cannot decide some row, is an ERROR, as in ``checks.run_checks``.
     """
     cleaned = clean(raw, contract)
     checks = K.generate_checks(contract, contract.output_table)
-    metrics = {f"c{i}": F.count(F.lit(1)) if c.condition is None else F.count_if(F.expr(c.condition))
-               for i, c in enumerate(checks)}
+    found = K.measures(cleaned, checks)
+    metrics = {"rows": F.count(F.lit(1))}
+    for i, own in enumerate(found):
+        metrics |= {f"{kind}{i}": c for kind, c in (("c", own.count), ("u", own.undecided)) if c is not None}
     seen = sinks.observed_write(cleaned, path, metrics)
+    rows = []
+    for i, (check, own) in enumerate(zip(checks, found, strict=True)):
+        undecided = seen.get(f"u{i}")
+        error = own.error or (own.reason.replace("%d", str(undecided)) if undecided else None)
+        rows.append((check.check_id, None if error else seen.get(f"c{i}"), error))
     spark = raw.sparkSession
     counted = K.checks_frame(spark, checks).join(
-        F.broadcast(spark.createDataFrame(
-            [(c.check_id, seen[f"c{i}"]) for i, c in enumerate(checks)],
-            "check_id string, actual bigint")), "check_id")
+        F.broadcast(spark.createDataFrame(rows, "check_id string, actual bigint, error string")), "check_id")
     results = counted.select(
         "check_id", "description", "check_type", "severity", "column", "expected", "actual",
-        K.verdict(F.col("expected"), F.col("actual")).alias("status"))
-    return results, seen["c0"]
+        K.verdict(F.col("expected"), F.col("actual"), F.col("error")).alias("status"))
+    return results, seen["rows"]
 
 
 def measured_write(df: DataFrame, path: str, query_count: int = 1) -> DataFrame:
