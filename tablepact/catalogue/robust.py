@@ -213,6 +213,35 @@ def adhoc_runtime_error(spark, sf_dir):
                          F.lit(cut.truncated).alias("truncated"), F.lit(unsafe.error is not None).alias("reflection_refused"))
 
 
+REFUSED_QUERIES = {
+    "late_column": "SELECT " + ", ".join(f"n_nationkey + {i} AS c{i}" for i in range(60))
+                   + ", java_method('java.lang.Math', 'abs', -7) AS c60 FROM guarded_nation",
+    "in_view": "SELECT * FROM guarded_view",
+    "sub_query": "SELECT n_name FROM guarded_nation WHERE n_nationkey < (SELECT max(reflect('java.lang.Math', 'abs', -7)) FROM guarded_nation)",
+    "in_cte": "WITH t AS (SELECT try_reflect('java.lang.Math', 'abs', -1) AS x) SELECT * FROM t",
+    "user_function": "SELECT guarded_function(n_name) FROM guarded_nation",
+    "file": "SELECT * FROM parquet.`{sf_dir}/nation.parquet`",
+    "command": "DROP VIEW guarded_nation",
+    "insert": "INSERT INTO guarded_nation SELECT * FROM guarded_nation",
+}
+
+
+@query("adhoc_guarded", "S9", "SELECT n_name, n_regionkey, 'see reflect(x)' AS note, " + ", ".join(
+    f"{q} AS refused_{n}" for n, q in ((n, "true") for n in REFUSED_QUERIES)) + """
+FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name <> 'java_method(1)')""")
+def adhoc_guarded(spark, sf_dir):
+    """A harmless query with suspicious text runs; what reaches beyond tables and built-in functions is refused."""
+    for name in ("nation", "region"):
+        faults.table(spark, sf_dir, name).createOrReplaceTempView(f"guarded_{name}")
+    spark.sql("SELECT java_method('java.lang.Math', 'abs', -7) AS x").createOrReplaceTempView("guarded_view")
+    spark.udf.register("guarded_function", lambda x: x, "string")
+    refused = {n: catalog.run_query(spark, q.format(sf_dir=sf_dir) if n == "file" else q).error is not None
+               for n, q in REFUSED_QUERIES.items()}
+    found = catalog.run_query(spark, """SELECT n_name, n_regionkey, 'see reflect(x)' AS note FROM guarded_nation
+        WHERE n_regionkey IN (SELECT r_regionkey FROM guarded_region WHERE r_name <> 'java_method(1)')""")
+    return found.frame.select("*", *[F.lit(v).alias(f"refused_{n}") for n, v in refused.items()])
+
+
 LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
                 "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 

@@ -39,7 +39,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # What was met since the cache was full last, and what was met before that.
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -47,6 +46,8 @@ class WordTokenizer:
         import json
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # Their texts stand for one id each, wherever they are found: a text that holds one is encoded whole.
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         before = spec.get("pre_tokenizer") or {}
         self.cuts = (spec.get("normalizer") is None and before.get("type") == "ByteLevel"
                      and before.get("use_regex", True) and not before.get("add_prefix_space", True))
@@ -60,7 +61,7 @@ class WordTokenizer:
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """A first piece and further ones, each of which follows a blank."""
-        if not self.cuts:
+        if not self.cuts or any(t in text for t in self.added):
             return text, []
         if _BESIDE_SPACE.search(text):
             first, *rest = _SAFE_CUT.split(text)

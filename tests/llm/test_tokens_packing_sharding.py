@@ -18,7 +18,8 @@ from llm_samples import ODD_ROWS, odd_documents, sf_dir, whole_table
 
 @pytest.fixture(scope="module")
 def plain_ids():
-    tokenizer = worker_tokenizer(default_tokenizer()).tokenizer
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(default_tokenizer())
 
     def encode(text):
         return tokenizer.encode(text or "", add_special_tokens=False).ids
@@ -37,6 +38,13 @@ def test_pieces_give_the_ids_of_the_whole_text(texts):
                                    for t in texts]
 
 
+def test_added_tokens_are_read_as_the_library_reads_them(plain_ids):
+    words = worker_tokenizer(default_tokenizer())
+    texts = ["a <|endoftext|> b. c", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "no <|endoftext| here", "two words"]
+    assert words.encode(texts) == [np.asarray(plain_ids(t), "<u4").tobytes() for t in texts]
+    assert 50256 in plain_ids(texts[0])
+
+
 def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr("tablepact.llm.tokens.CACHE_PIECES", 3)
     words = WordTokenizer(default_tokenizer())
