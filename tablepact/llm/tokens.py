@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -21,6 +22,8 @@ LONG_PIECE = 64
 
 _BESIDE_SPACE = re.compile(r" (?:(?<=\s )|(?=\s))")
 _WHITE = re.compile(r"\s")
+#: Marks behind a word of Latin letters are a token sequence of their own.
+_ENDING = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,!?;:]+)")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _WORKER: dict[str, "WordTokenizer"] = {}
 
@@ -54,6 +57,9 @@ class WordTokenizer:
 
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if self.cuts and len(line) == 1 else None
+        self.line_ids = np.asarray(line, "<u4").tobytes()
+        self.heads: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes()
@@ -103,31 +109,81 @@ class WordTokenizer:
     def follow(self, words: list[str]) -> dict[str, bytes]:
         """Packed ids of pieces that follow a blank.
 
-        Several are encoded as one text with a line end after each: before the
-        blank of the next piece that is a word, and so a token, of its own.
-        Pieces with white space are encoded one by one.
+        A piece is taken apart further where the tokenizer always parts: at single
+        line ends, and between a word of letters and the marks behind it.  So fewer
+        different words are encoded.
         """
-        plain = [w for w in words if w and not _WHITE.search(w)] if self.line is not None else []
-        odd = [*set(words).difference(plain)]
+        if self.line is None:
+            return dict(zip(words, self.whole([" " + w for w in words]), strict=True))
+        parted, odd, known, heads = [], [], {}, {}
+        for word in words:
+            parts = [*map(_parted, word.split("\n"))] if "\n" in word else [_parted(word)]
+            if None in parts:
+                odd.append(word)
+                continue
+            parted.append((word, parts))
+            known[parts[0][0]] = None
+            for bare, _ in parts[1:]:
+                heads[bare] = None
+        known = self.among(self.cache, self.before, known, " ")
+        heads = self.among(self.heads, {}, heads, "")
         found = dict(zip(odd, self.whole([" " + w for w in odd]), strict=True))
-        for group in _groups(plain):
+        for word, parts in parted:
+            bare, marks = parts[0]
+            ids = known[bare] + self.marks_of(marks) if marks else known[bare]
+            for bare, marks in parts[1:]:
+                ids += self.line_ids + heads[bare] + self.marks_of(marks)
+            found[word] = ids
+        self.cache.update((w, v) for w, v in known.items() if len(w) <= LONG_PIECE)
+        if len(self.heads) > CACHE_PIECES // 4:
+            self.heads = {}
+        self.heads.update((w, v) for w, v in heads.items() if len(w) <= LONG_PIECE)
+        return found
+
+    def marks_of(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {}
+            self.marks[marks] = self.whole([marks])[0] if marks else b""
+        return self.marks[marks]
+
+    def among(self, cache: dict[str, bytes], before: dict[str, bytes], words: Iterable[str], lead: str) -> dict[str, bytes]:
+        """Packed ids of words without white space that follow ``lead``, from the caches or the tokenizer."""
+        out, new = {}, []
+        for word in words:
+            ids = cache.get(word) or before.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                out[word] = ids
+        for group in _groups(new):
+            # Several words as one text, each but the first behind a line end, which is a token of its own there.
             ids = np.asarray(self.tokenizer.encode_batch_fast(
-                [" " + "\n ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+                [lead + f"\n{lead}".join(group)], add_special_tokens=False)[0].ids, "<u4")
             ends = [*(np.flatnonzero(ids == self.line) * 4).tolist(), 4 * len(ids)]
             if len(ends) != len(group):  # the line end's token is part of a word after all
-                found.update(zip(group, self.whole([" " + w for w in group]), strict=True))
+                out.update(zip(group, self.whole([lead + w for w in group]), strict=True))
                 continue
             raw, at = ids.tobytes(), 0
             for word, end in zip(group, ends, strict=True):
-                found[word] = raw[at:end]
+                out[word] = raw[at:end]
                 at = end + 4
-        return found
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of every text, in order."""
         return [b"".join(ids) for _, ids in self.encode_pieces(texts)]
 
 
+def _parted(word: str) -> tuple[str, str] | None:
+    """A word and the marks behind it; none if it is empty or holds white space."""
+    if word.isalpha():
+        return word, ""
+    if ended := _ENDING.fullmatch(word):
+        return ended.groups()
+    return None if not word or _WHITE.search(word) else (word, "")
+
+
 def _groups(pieces: list[str], size: int = 2048):
     for start in range(0, len(pieces), size):
         yield pieces[start:start + size]
