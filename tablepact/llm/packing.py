@@ -24,21 +24,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tablepact.llm.common import ordered_text, slices, table
-from tablepact.llm.tokens import default_tokenizer, worker_tokenizer
+from tablepact.llm.tokens import WordTokenizer, default_tokenizer, worker_tokenizer
 
 LENGTH = 2048
 #: What a cut costs, in ids of padding: at a sentence end, and elsewhere in a document.
 SENTENCE_CUT = 2
 HARD_CUT = 8
 #: Ids between possible cuts where no sentence ends.
-GRAIN = 32
+GRAIN = 64
 #: Ids of a stretch of the stream whose cuts are chosen together.
 STRETCH_IDS = 1 << 19
 
-#: A piece that ends so ends a sentence.
+#: An id whose text ends so ends a sentence.
 _MARKS = (".", "!", "?")
 
 
+def sentence_marks(tokens: WordTokenizer) -> np.ndarray:
+    """Whether each id ends a sentence."""
+    vocabulary = tokens.tokenizer.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+    out[[i for text, i in vocabulary.items() if text.endswith(_MARKS)]] = True
+    return out
+
+
 def best_cuts(ends: list[int], costs: list[int], length: int = LENGTH) -> list[int]:
     """Positions of the chosen cuts, the last of ``ends`` included.
 
@@ -50,9 +58,7 @@ def best_cuts(ends: list[int], costs: list[int], length: int = LENGTH) -> list[i
     best = [0] * len(places)
     come = [0] * len(places)
     queue: deque[int] = deque()
-    index = {p: i for i, p in enumerate(places)}
-    powers = [1 << k for k in range(length.bit_length() - 1, -1, -1) if 1 << k <= length]
-    get = index.get
+    first, starts = _power_starts(np.asarray(places, np.int64), length)
     for j in range(1, len(places)):
         i, here = j - 1, places[j]
         key = best[i] + places[i]
@@ -63,11 +69,9 @@ def best_cuts(ends: list[int], costs: list[int], length: int = LENGTH) -> list[i
             queue.popleft()
         start = queue[0]
         low = best[start] + length - (here - places[start])
-        for p in powers:
-            i = get(here - p)
-            if i is not None and best[i] <= low:
-                if best[i] < low or places[i] < places[start]:
-                    low, start = best[i], i
+        for i in starts[first[j]:first[j + 1]]:
+            if best[i] < low or best[i] == low and i < start:
+                low, start = best[i], i
         best[j], come[j] = low + costs[j - 1], start
     cuts, j = [], len(places) - 1
     while j:
@@ -76,6 +80,19 @@ def best_cuts(ends: list[int], costs: list[int], length: int = LENGTH) -> list[i
     return cuts[::-1]
 
 
+def _power_starts(places: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """The starts of windows of a power of two: those of place ``j`` are from ``first[j]`` to ``first[j + 1]``."""
+    ends, starts = [], []
+    for k in range(length.bit_length()):
+        at = np.searchsorted(places, places - (1 << k))
+        hit = np.flatnonzero(places[at] == places - (1 << k))
+        ends.append(hit)
+        starts.append(at[hit])
+    ends, starts = np.concatenate(ends), np.concatenate(starts)
+    first = np.r_[0, np.cumsum(np.bincount(ends, minlength=len(places)))]
+    return first.tolist(), starts[np.argsort(ends, kind="stable")].tolist()
+
+
 def possible_cuts(documents: list[list[int]], length: int = LENGTH) -> tuple[list[int], list[int]]:
     """Ends and their costs for documents given by the ascending ends of their
     sentences (the last is the document's end).
@@ -143,6 +160,7 @@ def pack(docs: DataFrame, end_id: int = 1, length: int = LENGTH, tokenizer: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_tokenizer(vocabulary)
+        marks = sentence_marks(tokens)
         next_sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, bytes]] = []
         cuts: list[list[int]] = []
@@ -167,12 +185,11 @@ def pack(docs: DataFrame, end_id: int = 1, length: int = LENGTH, tokenizer: str
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for part in slices(batches):
-            for doc_id, (words, packed) in zip(part["doc_id"], tokens.encode_pieces(part["text"]), strict=True):
-                ends = np.cumsum([*map(len, packed)]) // 4
-                marked = [i for i, w in enumerate(words) if w.endswith(_MARKS)]
-                ends = [*dict.fromkeys(ends[marked].tolist()), int(ends[-1]) + 1]
-                held.append((doc_id, b"".join(packed) + end))
-                cuts.append([e for e in ends if e])
+            for doc_id, packed in zip(part["doc_id"], tokens.encode(part["text"]), strict=True):
+                ids_here = np.frombuffer(packed, "<u4")
+                ends = [*(np.flatnonzero(marks[ids_here]) + 1).tolist(), len(ids_here) + 1]
+                held.append((doc_id, packed + end))
+                cuts.append(ends)
                 total += ends[-1]
                 if total >= STRETCH_IDS:
                     yield flush()
