@@ -3,7 +3,7 @@
 Documents are encoded in order and their ids are written in blocks of about
 ``BLOCK_IDS`` ids.  The ids of a block are cut into segments, and each segment
 gets its own grammar: in rounds, the most frequent pairs of neighbouring symbols
-become new symbols, until no pair is frequent enough.  A segment stores its
+become new symbols, until no pair is frequent enough to pay for its rule.  A segment stores its
 rules, the expansion length of every new symbol and the rest sequence; a block
 adds the ids and lengths of its documents.  To read one document, the symbols
 that cover it are found by their summed expansion lengths and only those are
@@ -30,66 +30,113 @@ from tablepact.llm.tokens import default_tokenizer, worker_tokenizer
 #: Ids after which a block ends with the document at hand, and ids of a segment.
 BLOCK_IDS = 1 << 20
 SEGMENT_IDS = 1 << 20
-#: A pair becomes a rule if it occurs this often; rules are found in so many rounds at most.
-MIN_PAIRS = 24
-ROUNDS = 6
-#: Buckets of the hashed counts that leave out rare pairs before exact counts.
+#: A pair becomes a rule if it is replaced this often: a rule takes 12 bytes, each use saves 4.
+MIN_PAIRS = 4
+#: Buckets in which pairs are counted, at most.
 _PAIR_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MAGIC = 0x52505231
-_NO_ID = np.iinfo(np.int64).min
 
 
-def _bucket(code: np.ndarray) -> np.ndarray:
-    return ((code.view(np.uint64) * _MIX) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+def _bucket(code: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    """Hashes of so many bits, other ones at each turn."""
+    mixed = (code.view(np.uint64) + np.uint64(turn)) * _MIX
+    return (((mixed >> np.uint64(32)) ^ mixed) * _MIX >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _alternate(hit: np.ndarray) -> np.ndarray:
-    """Of neighbouring hits, which overlap, the first, third, ... of each run."""
-    at = np.flatnonzero(hit)
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Of ascending positions, the first, third, ... of each run of neighbours, whose pairs overlap."""
     if at.size == 0:
         return at
-    first = np.r_[True, np.diff(at) != 1]
-    start = np.maximum.accumulate(np.where(first, np.arange(at.size), 0))
-    return at[(np.arange(at.size) - start) % 2 == 0]
-
-
-def compress(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS,
-             rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.arange(at.size)
+    start = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], order, 0))
+    return at[(order - start) % 2 == 0]
+
+
+def _one_by_one(at: np.ndarray, which: np.ndarray, counts: np.ndarray, min_pairs: int,
+                size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and pairs to replace, the most frequent pair first; and positions of pairs that cannot be replaced
+    often enough although nothing is in their way."""
+    order = np.argsort(which, kind="stable")
+    groups = np.split(at[order], np.flatnonzero(np.diff(which[order])) + 1)
+    names = which[order][np.cumsum([0, *map(len, groups[:-1])])]
+    taken = np.zeros(size + 1, bool)
+    chosen, kind, never = [at[:0]], [which[:0]], [at[:0]]
+    for i in np.argsort(-counts[names], kind="stable"):
+        places = groups[i]
+        free = places[~(taken[places] | taken[places + 1])]
+        own = _alternate(free)
+        if len(own) >= min_pairs:
+            taken[own] = taken[own + 1] = True
+            chosen.append(own)
+            kind.append(np.full(len(own), names[i]))
+        elif len(free) == len(places):
+            never.append(places)
+    found, kinds = np.concatenate(chosen), np.concatenate(kind)
+    order = np.argsort(found)
+    return found[order], kinds[order], np.concatenate(never)
+
+
+def compress(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), symbols per round and the rest sequence.
 
     Symbol ``base + i`` stands for the pair ``rules[i]``; a rule refers to ids
-    and to symbols of earlier rounds only.
+    and to symbols of earlier rounds only.  In each round every pair is replaced
+    that is no rarer than the pairs it overlaps, where that happens ``min_pairs``
+    times at least.  A pair that was too rare stays so until one of its symbols
+    changes, so later rounds look at frequent pairs and beside new symbols only.
+    They end when no pair is left that can be replaced so often.
     """
     seq = ids.astype(np.int64)
+    active = np.ones(seq.size, bool)
     rules: list[np.ndarray] = []
     per_round: list[int] = []
     total = 0
-    for _ in range(rounds):
-        if seq.size < 2:
+    while True:
+        active[-1:] = False
+        at = np.flatnonzero(active)
+        if at.size == 0:
             break
-        code = (seq[:-1] << 32) | seq[1:]
-        bucket = _bucket(code)
-        often = np.bincount(bucket, minlength=1 << _PAIR_BITS)[bucket] >= min_pairs
-        pairs, counts = np.unique(code[often], return_counts=True)
-        pairs = pairs[counts >= min_pairs]
-        if pairs.size == 0:
+        code = (seq[at] << 32) | seq[at + 1]
+        bits = min(max(int(4 * at.size).bit_length(), 8), _PAIR_BITS)
+        bucket = _bucket(code, bits, len(per_round))
+        pairs = np.zeros(1 << bits, np.int64)
+        pairs[bucket] = code
+        # One pair for each bucket; others that share it wait for a round whose buckets differ.
+        own = pairs[bucket] == code
+        counts = np.bincount(bucket, own, 1 << bits).astype(np.int32)
+        active[at[own & (counts[bucket] < min_pairs)]] = False
+        often = own & (counts[bucket] >= min_pairs)
+        waiting = not own.all()
+        at, which = at[often], bucket[often]
+        if at.size == 0:
+            per_round += [0] if waiting else []
+            if waiting:
+                continue
             break
-        # One pair for each bucket; others that share it wait for the next round.
-        table = np.full(1 << _PAIR_BITS, -1, np.int32)
-        table[_bucket(pairs)] = np.arange(pairs.size, dtype=np.int32)
-        slot = table[bucket]
-        at = _alternate((slot >= 0) & (pairs[slot] == code))
-        which = slot[at]
-        used, which = np.unique(which, return_inverse=True)
-        chosen = pairs[used]
-        seq[at] = base + total + which
+        count = np.zeros(seq.size + 1, np.int32)
+        count[at] = counts[which]
+        top = (count[at] >= count[at - 1]) & (count[at] >= count[at + 1])  # count[-1] is of no pair
+        chosen = _alternate(at[top])
+        kind = which[top][np.searchsorted(at[top], chosen)]
+        enough = np.bincount(kind, minlength=1 << bits) >= min_pairs
+        if not enough.any():  # equally frequent pairs in each other's way: one after the other
+            chosen, kind, never = _one_by_one(at, which, counts, min_pairs, seq.size)
+            active[never] = False
+            enough = np.bincount(kind, minlength=1 << bits) > 0
+            if not chosen.size:
+                continue
+        chosen, kind = chosen[enough[kind]], kind[enough[kind]]
+        number = np.cumsum(enough) - 1
+        seq[chosen] = base + total + number[kind]
+        active[chosen] = True
+        active[np.maximum(chosen - 1, 0)] = True
         keep = np.ones(seq.size, bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
-        per_round.append(chosen.size)
-        total += chosen.size
+        keep[chosen + 1] = False
+        seq, active = seq[keep], active[keep]
+        rules.append(np.stack([pairs[enough] >> 32, pairs[enough] & 0xFFFFFFFF], axis=1))
+        per_round.append(int(enough.sum()))
+        total += per_round[-1]
     made = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return made, np.asarray(per_round, np.int64), seq
 
@@ -136,7 +183,8 @@ def pack_block(doc_ids: list[int | None], packed: list[bytes], base: int | None
         parts += [np.asarray([len(rules), len(seq)], "<u8").tobytes(), rules.astype("<u4").tobytes(),
                   lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes()]
     head = np.asarray([_MAGIC, base, len(doc_ids), len(segments)], "<u8").tobytes()
-    names = np.asarray([_NO_ID if d is None else d for d in doc_ids], "<i8").tobytes()
+    names = np.asarray([d or 0 for d in doc_ids], "<i8").tobytes()
+    names += np.asarray([d is None for d in doc_ids], "u1").tobytes()
     sizes = np.asarray([len(p) // 4 for p in packed], "<u8").tobytes()
     return b"".join([head, names, sizes, *parts])
 
@@ -150,10 +198,11 @@ class Block:
             raise ValueError("not a block of token ids")
         at = 32
         names = np.frombuffer(data, "<i8", docs, at)
-        self.doc_ids = [None if n == _NO_ID else int(n) for n in names]
-        self.sizes = np.frombuffer(data, "<u8", docs, at + 8 * docs).astype(np.int64)
+        missing = np.frombuffer(data, "u1", docs, at + 8 * docs)
+        self.doc_ids = [None if m else int(n) for n, m in zip(names, missing, strict=True)]
+        self.sizes = np.frombuffer(data, "<u8", docs, at + 9 * docs).astype(np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes)]
-        at += 16 * docs
+        at += 17 * docs
         self.segments = []
         for _ in range(segments):
             n_rules, n_seq = map(int, np.frombuffer(data, "<u8", 2, at))

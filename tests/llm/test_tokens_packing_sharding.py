@@ -70,6 +70,32 @@ def test_rules_replace_frequent_pairs():
     assert [1, 2] in rules.tolist() and len(seq) < 60
 
 
+@pytest.mark.parametrize("copies", [20, 200])
+def test_repeated_passages_end_as_few_symbols(copies):
+    rng = np.random.default_rng(copies)
+    passage = rng.integers(0, 30_000, 1000, dtype=np.uint32)
+    ids = np.concatenate([np.r_[passage, rng.integers(30_000, 60_000, 2, dtype=np.uint32)] for _ in range(copies)])
+    rules, _, seq = grammar.compress(ids, 60_000)
+    assert grammar.expand(seq, rules, 60_000).tolist() == ids.tolist()
+    assert len(rules) <= 1100 and len(seq) <= 4 * copies
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(7)
+    ids = rng.zipf(1.3, 30_000).clip(0, 999).astype(np.uint32)
+    rules, _, seq = grammar.compress(ids, 1000)
+    assert grammar.expand(seq, rules, 1000).tolist() == ids.tolist()
+    left = Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+    used = np.bincount(np.r_[seq, rules.ravel()].astype(int), minlength=1000 + len(rules))[1000:]
+    assert max(n for (a, b), n in left.items() if a != b) < grammar.MIN_PAIRS
+    assert 12 * len(rules) + 4 * len(seq) < 0.7 * 4 * len(ids) and (used > 0).all()
+
+
+def test_the_least_id_is_no_null():
+    block = grammar.Block(grammar.pack_block([None, -2 ** 63, 0], [b"\1\0\0\0"] * 3))
+    assert block.doc_ids == [None, -2 ** 63, 0] and block.document(1).tolist() == [1]
+
+
 def test_block_reads_single_documents(monkeypatch):
     monkeypatch.setattr(grammar, "SEGMENT_IDS", 64)
     docs = [np.arange(i % 7, dtype="<u4").repeat(i) for i in range(40)]
