@@ -18,6 +18,7 @@ from tablepact.operators import consistency as H
 from tablepact.operators import framecheck, profile, rowcheck
 from tablepact.operators.clean import clean
 from tablepact.plans import flows
+from tablepact.plans.shapes import DIGEST_BUCKETS, multiset_difference
 from tablepact.sources import sinks
 
 USERS_SRC = faults.sql("dirty_users")
@@ -580,7 +581,10 @@ def throughput_by_order(spark, sf_dir):
     return H.throughput_status(runs)
 
 
-@query("idempotent_cleaning", "H13", "SELECT CAST(0 AS BIGINT) AS differing_rows, 'PASS' AS status")
+@query("idempotent_cleaning", "H13", f"""
+WITH a AS ({CLEAN_ORDERS_SQL}), b AS ({CLEAN_ORDERS_SQL})
+SELECT count(*) AS differing_rows, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))""")
 def idempotent_cleaning(spark, sf_dir):
     """Two runs give the same rows."""
     return H.idempotency(cleaned(spark, sf_dir, "dirty_orders"), cleaned(spark, sf_dir, "dirty_orders"))
@@ -599,6 +603,22 @@ def differing_runs(spark, sf_dir):
     return H.idempotency(first, first.withColumn("item_count", F.greatest("item_count", F.lit(20))))
 
 
+@query("differing_lines", "H13", """
+WITH a AS (SELECT l_orderkey, l_partkey, l_quantity, l_returnflag FROM lineitem),
+b AS (SELECT l_orderkey, l_partkey, CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE l_quantity END AS l_quantity, l_returnflag FROM a
+      UNION ALL SELECT * FROM a WHERE l_orderkey % 89 = 0)
+SELECT l_orderkey, l_partkey, l_quantity, l_returnflag, sum(s) FILTER (WHERE s > 0) AS left_count, sum(-s) FILTER (WHERE s < 0) AS right_count
+FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY l_orderkey, l_partkey, l_quantity, l_returnflag HAVING sum(s) <> 0""".replace(
+    "sum(s) FILTER (WHERE s > 0)", "CAST(count(*) FILTER (WHERE s > 0) AS BIGINT)").replace(
+    "sum(-s) FILTER (WHERE s < 0)", "CAST(count(*) FILTER (WHERE s < 0) AS BIGINT)"))
+def differing_lines(spark, sf_dir):
+    """The rows themselves in which two tables differ, found through digests of buckets."""
+    a = dirty(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+    nulled = F.when(F.col("l_orderkey") % 97 != 0, F.col("l_quantity"))
+    b = a.withColumn("l_quantity", nulled).unionByName(a.where(F.col("l_orderkey") % 89 == 0))
+    return multiset_difference(a, b, DIGEST_BUCKETS)
+
+
 @query("severity_rollup_unrepaired", "H14", f"""
 SELECT count(*) FILTER (WHERE critical) AS critical_failures, count(*) FILTER (WHERE high) AS high_failures,
   CASE WHEN count(*) FILTER (WHERE critical) > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE high) > 0 THEN 'WARN' ELSE 'PASS' END

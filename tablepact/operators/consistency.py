@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted, sql_literal
-from tablepact.plans.shapes import Label, measure_rows, multiset_difference, status_when
+from tablepact.plans.shapes import DIGEST_BUCKETS, Label, measure_rows, multiset_difference, repeated_only, status_when
 
 # Acceptance thresholds of a run; time and memory are those of LIMIT_ROWS rows.
 MAX_SECONDS = 60.0
@@ -17,8 +17,6 @@ MAX_MEMORY_MB = 100.0
 MIN_ROWS_PER_SECOND = 1000.0
 LIMIT_ROWS = 100_000
 EARLIEST_DATE = "1900-01-01"
-#: Hashes (8 bytes each) that are broadcast at most.
-BROADCAST_HASHES = 1_000_000
 
 
 def reconcile(source: DataFrame, output: DataFrame) -> DataFrame:
@@ -91,19 +89,13 @@ def bad_email(c: Column, form: str = "like") -> Column:
 def duplicate_keys(df: DataFrame, keys: Sequence[str], wide: bool = False) -> DataFrame:
     """Keys that occur more than once, with their row count.
 
-    ``wide=True`` is for long keys such as whole texts: rows are first counted by a
-    64-bit hash, and only those whose hash repeats take part in the exact grouping.
-    Up to ``BROADCAST_HASHES`` repeated hashes are broadcast, so that unique texts
-    are filtered out where they are read; with more, grouping the keys at once is
-    cheaper and is done instead.  The result is the same either way.
+    ``wide=True`` is for long keys such as whole texts: rows are first counted by
+    digests, and a filter of the repeated ones is applied where the rows are read
+    again, so that unique keys are not shuffled (see ``shapes.repeated_only``).
+    The result is the same either way.
     """
     columns = [F.col(quoted(k)) for k in keys]
-    rows = df
-    if wide:
-        hashed = df.select(*columns, F.xxhash64(*columns).alias("_hash"))
-        repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        if repeated.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
-            rows = hashed.join(F.broadcast(repeated.select("_hash")), "_hash", "left_semi")
+    rows = repeated_only(df.select(*columns), list(keys)) if wide else df
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)
 
 
@@ -141,8 +133,11 @@ def throughput_status(metrics: DataFrame, rows: str = "rows", seconds: str = "se
 
 
 def idempotency(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Whether two runs gave the same rows, duplicates included."""
-    difference = multiset_difference(first, second)
+    """Whether two runs gave the same rows, duplicates included.
+
+    Digests are compared first; rows are only exchanged where these differ.
+    """
+    difference = multiset_difference(first, second, DIGEST_BUCKETS)
     return difference.agg(F.count(F.lit(1)).alias("differing_rows")).withColumn(
         "status", status_when(F.col("differing_rows") > 0))
 

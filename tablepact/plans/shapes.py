@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,11 +91,53 @@ def count_with_samples(df: DataFrame, keys: Sequence[str], value: str, k: int,
     return counts.join(_smallest(frequencies, keys, value, k, out), list(keys))
 
 
-def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+def row_digest(df: DataFrame, names: Sequence[str], seed: int = 0) -> Column:
+    """64 bits of a row's values; nulls count by their place, and both zeros are one value."""
+    columns = [F.col(quoted(n)) for n in names]
+    plain = [c + F.lit(0.0).cast(df.schema[n].dataType) if df.schema[n].dataType.typeName() in ("float", "double") else c
+             for c, n in zip(columns, names, strict=True)]
+    return F.xxhash64(F.lit(seed), *plain, *[c.isNull() for c in columns])
+
+
+def bucket_sums(df: DataFrame, buckets: int) -> DataFrame:
+    """Per bucket of rows their number and the sums of two digests: equal for equal multisets, whatever the order.
+
+    A row of five numbers per bucket and task is shuffled, however many rows there are.
+    """
+    low = F.lit(0xFFFFFFFF)
+    halves = {}
+    for i, digest in enumerate([row_digest(df, df.columns), row_digest(df, df.columns, 1)]):
+        halves |= {f"low{i}": digest.bitwiseAND(low), f"high{i}": F.shiftrightunsigned(digest, 32)}
+    digested = df.select(F.pmod(row_digest(df, df.columns), F.lit(buckets)).cast("int").alias("bucket"),
+                         *[c.alias(n) for n, c in halves.items()])
+    return digested.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in halves])
+
+
+#: Buckets whose digests are compared first; at most this many numbers are broadcast.
+DIGEST_BUCKETS = 1 << 16
+
+
+def multiset_difference(left: DataFrame, right: DataFrame, buckets: int = 0) -> DataFrame:
     """Rows whose multiplicity differs, with ``left_count`` and ``right_count``.
 
-    One shuffle with map-side combine instead of two ``exceptAll`` passes.
+    One shuffle with map-side combine instead of two ``exceptAll`` passes.  With
+    ``buckets``, sums of digests are compared first, and only rows in buckets that
+    differ are shuffled: of equal tables none.  Both tables are then read a second
+    time where they differ.
     """
+    right = right.select(*[F.col(quoted(c)) for c in left.columns])
+    if buckets:
+        a, b = bucket_sums(left, buckets), bucket_sums(right, buckets)
+        sums = [c for c in a.columns if c != "bucket"]
+        both = a.alias("a").join(b.alias("b"), "bucket", "full_outer")
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in sums]
+        differing = F.broadcast(both.where(~reduce(Column.__and__, same)).select(F.col("bucket").alias("_bucket")))
+
+        def open_rows(df: DataFrame) -> DataFrame:
+            bucket = F.pmod(row_digest(df, df.columns), F.lit(buckets)).cast("int")
+            return df.withColumn("_bucket", bucket).join(differing, "_bucket", "left_semi").drop("_bucket")
+
+        left, right = open_rows(left), open_rows(right)
     columns = [F.col(quoted(c)) for c in left.columns]
     tagged = (left.select(*columns, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
               .unionAll(right.select(*columns, F.lit(0).alias("_l"), F.lit(1).alias("_r"))))
@@ -103,5 +146,34 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
             .filter(F.col("left_count") != F.col("right_count")))
 
 
+#: Words of the filter of repeated digests (64 bits each), which is broadcast whole.
+FILTER_WORDS = 1 << 19
+
+
+def repeated_only(df: DataFrame, names: Sequence[str], words: int = FILTER_WORDS) -> DataFrame:
+    """Rows whose values may occur more than once, and all rows whose values do.
+
+    Rows are counted by 128 bits of digest.  The digests that repeat set three
+    bits each in one word of a filter of fixed size, and where the rows are read
+    again, those whose bits are not set are dropped.  However many digests repeat,
+    the filter does not grow; it only lets more of the other rows through.
+    """
+    first, second = row_digest(df, names), row_digest(df, names, 1)
+    digests = df.select(first.alias("_d0"), second.alias("_d1"))
+    repeated = digests.groupBy("_d0", "_d1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+
+    def word(d0: Column) -> Column:
+        return F.pmod(d0, F.lit(words)).cast("int")
+
+    def bits(d1: Column) -> Column:
+        places = [F.shiftrightunsigned(d1, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(3)]
+        return reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in places])
+
+    filled = repeated.groupBy(word(F.col("_d0")).alias("_word")).agg(F.bit_or(bits(F.col("_d1"))).alias("_set"))
+    marked = df.withColumns({"_word": word(first), "_bits": bits(second)}).join(F.broadcast(filled), "_word")
+    return marked.where(F.col("_set").bitwiseAND(F.col("_bits")) == F.col("_bits")).select(
+        *[F.col(quoted(c)) for c in df.columns])
+
+
 def status_when(condition: Column, yes: str = "FAIL", no: str = "PASS") -> Column:
     return F.when(condition, F.lit(yes)).otherwise(F.lit(no))

@@ -106,7 +106,7 @@ def survey(spark: SparkSession, path, delimiter: str = DELIMITER) -> Survey:
     Empty files have no header.  The names of the files are gathered only where
     headers differ, and then as many as the reader itself has to be given.
     """
-    per_file = _written(_lines(spark, path).where(_filled("value")).groupBy("path").agg(
+    per_file = written(_lines(spark, path).where(_filled("value")).groupBy("path").agg(
         F.min_by("value", F.struct("block", "place")).alias("header"),
         F.bool_or(_opens(F.col("value"), delimiter)).alias("broken"))
         .withColumn("header", F.rtrim(_without_mark("header"), F.lit("\r"))), "headers")
@@ -278,9 +278,9 @@ def rows_of(spark: SparkSession, path, delimiter: str = DELIMITER) -> DataFrame:
     with its file.  Empty files give no rows.
     """
     lines = _lines(spark, path)
-    functions = _written(block_functions(lines, delimiter), "blocks")
+    functions = written(block_functions(lines, delimiter), "blocks")
     # Few blocks begin inside quotes; of the others nothing has to be known.
-    inside = _written(entries(functions).where("inside"), "entered")
+    inside = written(entries(functions).where("inside"), "entered")
     marks = inside.select("file", "block", "inside")
     if inside.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
         marks = F.broadcast(marks)
@@ -289,7 +289,7 @@ def rows_of(spark: SparkSession, path, delimiter: str = DELIMITER) -> DataFrame:
         "inside", F.coalesce("inside", F.lit(False)))
     if marks is inside:
         marked = marked.repartition("file", "block").sortWithinPartitions("file", "block", "place")
-    pieces = _written(pieces_of(marked, delimiter), "pieces")
+    pieces = written(pieces_of(marked, delimiter), "pieces")
     if pieces.join(functions, ["file", "block"], "left_anti").limit(1).count():
         raise RuntimeError("The files were split differently between two passes; set spark.sql.files.minPartitionNum")
     whole = pieces.where(F.col("kind") == WHOLE).select("file", "block", "piece", "row")
@@ -334,7 +334,7 @@ def _ddl(names: Sequence[str]) -> str:
     return ", ".join(f"{quoted(n)} STRING" for n in names)
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage, so that later passes see the same blocks: write to the shared folder and read back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tablepact-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,8 @@ from tablepact.functions.text import human_size, quoted
 from tablepact.operators.clean import basic_column
 from tablepact.sources import delimited
 
-#: Blocks of files (about 100 bytes each) whose line counts are broadcast at most.
-BROADCAST_BLOCKS = 100_000
+#: Blocks of files (about 40 bytes each) whose line counts are broadcast at most.
+BROADCAST_BLOCKS = 1_000_000
 
 
 def all_text(names: Sequence[str]) -> T.StructType:
@@ -101,40 +103,72 @@ def with_line_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
     """1-based row numbers over a file source, without sorting the rows.
 
     Each block is counted, the counts are summed over the blocks before it, and
-    a row's number is that sum plus its place in the block.  One row per block is
-    shuffled; with up to ``BROADCAST_BLOCKS`` of them the sums are broadcast and no
-    line moves, with more the lines are joined to them by a shuffle.
+    a row's number is that sum plus its place in the block.  The counts, one row
+    per block, are written once.  Up to ``BROADCAST_BLOCKS`` of them (40 bytes each)
+    are broadcast and no line moves; with more the lines are joined to them by a shuffle.
     """
     placed = _split_position(df)
     blocks = placed.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
     before = F.sum("_rows").over(
         Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocks.select("_file", "_block", "_first",
-                            F.coalesce(before, F.lit(0)).alias("_before"))
-    if blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+    # Files are told apart by two hashes of their names, which are much longer.
+    keys = [F.xxhash64("_file").alias("_name"), F.hash("_file").alias("_name2")]
+    offsets = delimited.written(blocks.select(*keys, "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before")),
+                                "line-offsets")
+    if offsets.count() <= BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
-    numbered = placed.join(offsets, ["_file", "_block"])
+    numbered = placed.select("*", *keys).join(offsets, ["_name", "_name2", "_block"])
     return numbered.select(
         (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(name),
         *[F.col(quoted(c)) for c in df.columns])
 
 
+_TAIL = "block long, place long, line string"
+
+
+def _last_of_each_block(spark: SparkSession, file: str, n: int) -> tuple[RDD, list[int]]:
+    """The last ``n`` lines of every partition of a file, and the partitions in the order of the file.
+
+    Nothing is read before a partition is asked for.
+    """
+    lines = spark.read.text(file).select(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+        F.col("value").alias("line"))
+    partitions = lines._jdf.queryExecution().toRdd().partitions()
+    starts = [min(f.start() for f in partitions[i].files()) for i in range(len(partitions))]
+
+    def keep(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            held = table.slice(max(0, table.num_rows - n))
+        yield from held.to_batches() if held is not None else ()
+
+    return lines.mapInArrow(keep, _TAIL).rdd, sorted(range(len(starts)), key=starts.__getitem__)
+
+
 def read_log(spark: SparkSession, path: str, tail_n: int = 100) -> DataFrame:
     """The last ``tail_n`` lines in file order.
 
-    Files are read from the last one backwards, twice as many each time, until they
-    hold enough lines.  Each task keeps its own last lines, so the merge sees at
-    most ``tail_n`` lines per task.
+    Files are read from the last one backwards, and a file from its last block
+    backwards, twice as many blocks each time, until there are enough lines: of a
+    file of any size a block or two.  At most ``tail_n`` lines of each block read
+    reach the driver.
     """
-    files = sorted(spark.read.text(path).inputFiles())
-    taken = 1
-    while taken < len(files) and spark.read.text(files[-taken:]).limit(tail_n).count() < tail_n:
-        taken *= 2
-    lines = _split_position(spark.read.text(files[-taken:] or path))
-    order = ["_file", "_block", "_id"]
-    tail = lines.orderBy(*[F.desc(c) for c in order]).limit(tail_n)
-    return tail.orderBy(*order).select(F.col("value").alias("line"))
+    found: list[str] = []
+    for file in sorted(spark.read.text(path).inputFiles(), reverse=True):
+        blocks, order = _last_of_each_block(spark, file, tail_n)
+        lines, step = [], 1
+        while order and len(found) + len(lines) < tail_n:
+            taken, order = order[-step:], order[:-step]
+            lines += spark.sparkContext.runJob(blocks, list, taken)
+            step *= 2
+        found = [r.line for r in sorted(lines, key=lambda r: (r.block, r.place))] + found
+        if len(found) >= tail_n:
+            break
+    rows = list(enumerate(found[max(0, len(found) - tail_n):]))
+    return spark.createDataFrame(rows, "place long, line string").orderBy("place").select("line")
 
 
 def tail(df: DataFrame, order_by: Sequence[str], n: int = 100) -> DataFrame:
