@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tablepact.llm.common import ordered_text, slices, table
-from tablepact.llm.tokens import WordTokenizer, default_tokenizer, worker_tokenizer
+from tablepact.llm.tokens import default_tokenizer, worker_tokenizer
 
 LENGTH = 2048
 #: What a cut costs, in ids of padding: at a sentence end, and elsewhere in a document.
@@ -39,9 +40,10 @@ STRETCH_IDS = 1 << 19
 _MARKS = (".", "!", "?")
 
 
-def sentence_marks(tokens: WordTokenizer) -> np.ndarray:
-    """Whether each id ends a sentence."""
-    vocabulary = tokens.tokenizer.get_vocab(with_added_tokens=True)
+@cache
+def sentence_marks(tokenizer: str) -> np.ndarray:
+    """Whether each id ends a sentence; found once per worker."""
+    vocabulary = worker_tokenizer(tokenizer).tokenizer.get_vocab(with_added_tokens=True)
     out = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
     out[[i for text, i in vocabulary.items() if text.endswith(_MARKS)]] = True
     return out
@@ -160,7 +162,7 @@ def pack(docs: DataFrame, end_id: int = 1, length: int = LENGTH, tokenizer: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_tokenizer(vocabulary)
-        marks = sentence_marks(tokens)
+        marks = sentence_marks(vocabulary)
         next_sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, bytes]] = []
         cuts: list[list[int]] = []
