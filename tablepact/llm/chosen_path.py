@@ -52,6 +52,8 @@ BLOCK = 256
 DEVIATIONS = 5.0
 #: Rows of a table that is broadcast at most (about 40 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 500_000
+#: Pairs (some 100 bytes each) whose components one task finds.
+FEW_EDGES = 250_000
 #: Words whose hashes a worker keeps, and columns of a block of the exact comparison.
 CACHE_WORDS = 1_000_000
 DENSE = 4096
@@ -262,7 +264,11 @@ def in_blocks(rows: DataFrame, key: str, size: str, name: str, limit: int) -> Da
 
 
 def similar_pairs(rows: DataFrame) -> DataFrame:
-    """A spanning forest ``a``, ``b`` of the similar embeddings of each ``path``."""
+    """Pairs ``a``, ``b`` of similar embeddings that connect all there are in each ``path``.
+
+    Texts of the same ``tag`` are connected already, so of each comparison only
+    pairs are returned that join different tags: as many as there are tags, at most.
+    """
     least = least_estimate() * COORDINATES
     keys = ["path", "_i", "_j"]
 
@@ -278,14 +284,16 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
                     same = (held[a] == held[a + apart]).sum(axis=1)
                     a = a[same >= least]
                     hits += zip(a.tolist(), (a + apart).tolist(), strict=True)
-            forest = Forest()
+            forest, tagged = Forest(), {}
+            for k, mark in enumerate(zip(group.tolist(), part["tag"], strict=True)):
+                forest.join(tagged.setdefault(mark, k), k)
             found = [(a, b) for a, b in hits if part["digest"][a] != part["digest"][b] and forest.join(a, b)]
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part["digest"][a] for a, _ in found], pa.binary()),
                      pa.array([part["digest"][b] for _, b in found], pa.binary())], names=["a", "b"])
 
-    blocked = in_blocks(rows, "path", "n", "digest", LIMIT).select(*keys, "digest", "sketch")
+    blocked = in_blocks(rows, "path", "n", "digest", LIMIT).select(*keys, "digest", "tag", "sketch")
     return (blocked.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
             .mapInArrow(run, "a binary, b binary"))
 
@@ -342,13 +350,17 @@ def follow(texts: DataFrame, start: np.ndarray) -> DataFrame:
         if level == 1:
             rows = rows.join(texts.select("digest", "tag", "sketch"), "digest")
         rows = written(rows.select("path", "n", "leader", "digest", "tag", "sketch"), f"paths{level}")
-        large = F.col("n") > LIMIT if level < DEPTH else F.lit(False)
-        pairs = similar_pairs(rows.where(~large))
-        split = rows.where(large)
+        pairs = similar_pairs(rows.where(F.col("n") <= LIMIT))
+        split = rows.where(F.col("n") > LIMIT)
         if not split.isEmpty():
             led = written(near_leader(split), f"leaders{level}")
             pairs = pairs.union(led.where("near and digest <> leader").select("leader", "digest"))
-            paths = written(next_level(led), f"children{level}")
+            if level < DEPTH:
+                paths = written(next_level(led), f"children{level}")
+            else:  # compared whatever their size, but for those the leader has connected
+                apart = (led.groupBy("path").agg(F.count("*").alias("n"), F.min("tag").alias("_low"), F.max("tag").alias("_high"))
+                         .where("_low < _high").select("path", "n"))
+                pairs = pairs.union(similar_pairs(led.join(apart, "path").select("path", "n", "digest", "tag", "sketch")))
         else:
             level = DEPTH
         found = pairs if found is None else found.union(pairs)
@@ -362,16 +374,32 @@ def follow(texts: DataFrame, start: np.ndarray) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """``node`` and ``least``, the least node of its component, from pairs ``a``, ``b``.
 
-    Alternating stars: every node sends its greater neighbours, then its smaller
+    Up to ``FEW_EDGES`` pairs are joined by one task; more by alternating stars: every node sends its greater neighbours, then its smaller
     ones, to the least neighbour it knows, until nothing changes.  Only minima
     are grouped, so a node with very many neighbours is no single task's work.
     """
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, int] = {}
+        ends = [(names.setdefault(a, len(names)), names.setdefault(b, len(names)))
+                for part in slices(batches, 4096) for a, b in zip(part["a"], part["b"], strict=True)]
+        if not ends:
+            return
+        order = {old: new for new, old in enumerate(sorted(range(len(names)), key=list(names).__getitem__))}
+        forest, known = Forest(), sorted(names)
+        for a, b in ends:
+            forest.join(order[a], order[b])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(known, pa.binary()), pa.array([known[forest.top(i)] for i in range(len(known))], pa.binary())],
+            names=["node", "least"])
+
     edges, folder = written_to(pairs.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = mark(edges)
+    if before[0] <= FEW_EDGES:
+        return edges.coalesce(1).mapInArrow(few, "node binary, least binary")
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

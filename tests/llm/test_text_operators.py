@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from oracle import connect, difference
 from tablepact.llm import chosen_path, pii, quality_classifier, quality_rules, registry, url_filter, weighted_sampling
@@ -405,7 +406,9 @@ def test_runs_reach_the_recall():
     assert chosen_path.runs(miss=1e-2) < chosen_path.runs(miss=1e-4)
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_components_of_a_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(chosen_path, "FEW_EDGES", few)
     chain = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)] + [(b"\xf0", b"\xf1")],
                                   "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["least"]) for r in chosen_path.components(chain).collect()}
@@ -453,3 +456,32 @@ def test_registry_is_complete():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 11))
     assert "pipeline" in registry.QUERIES and set(registry.SQL) <= set(registry.QUERIES)
     assert duckdb.__version__
+
+
+def test_a_large_node_gives_as_many_pairs_as_tags(spark, monkeypatch):
+    """Near copies that all meet in the deepest node are connected through its leader, not pair by pair."""
+    import numpy as np
+    monkeypatch.setattr(chosen_path, "DEPTH", 1)
+    monkeypatch.setattr(chosen_path, "LIMIT", 16)
+    rng = np.random.default_rng(2)
+
+    def name(i):
+        return hashlib.blake2b(str(i).encode(), digest_size=16).digest()
+
+    base = [rng.integers(0, 1 << 32, chosen_path.COORDINATES, dtype=np.uint32) for _ in range(3)]
+    rows = []
+    for i in range(300):
+        own = base[i % 3].copy()
+        own[rng.integers(1, len(own), 2)] = rng.integers(0, 1 << 32, 2)
+        rows.append((bytearray(name(i)), bytearray(own.tobytes())))
+    texts = spark.createDataFrame(rows, "digest binary, sketch binary").withColumn("tag", F.col("digest"))
+    pairs = chosen_path.follow(texts, chosen_path.roots(4)).collect()
+    forest, number = chosen_path.Forest(), {name(i): i for i in range(300)}
+    for r in pairs:
+        forest.join(number[bytes(r["a"])], number[bytes(r["b"])])
+    assert {forest.top(i) for i in range(300)} == {0, 1, 2}
+    calls = []
+    real = chosen_path.similar_pairs
+    monkeypatch.setattr(chosen_path, "similar_pairs", lambda rows: calls.append(real(rows)) or calls[-1])
+    chosen_path.follow(texts, chosen_path.roots(4))
+    assert sum(c.count() for c in calls) < 300 * 8
