@@ -171,6 +171,35 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         seq = out
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The same for a whole sequence: every rule is expanded once, then all symbols are looked up.
+
+    The expansions take no more room than the ids do for each round, as every rule is used several times.
+    """
+    pool = np.zeros(int(lengths.sum()), np.uint32)
+    starts = np.zeros(len(rules), np.int64)
+
+    def looked_up(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = symbols >= base
+        size, source = np.ones(symbols.size, np.int64), np.zeros(symbols.size, np.int64)
+        size[new], source[new] = lengths[symbols[new] - base], starts[symbols[new] - base]
+        begin = np.cumsum(size) - size
+        if not new.any():
+            return symbols.astype(np.uint32), begin
+        out = pool[np.arange(int(size.sum())) + np.repeat(source - begin, size)]
+        out[begin[~new]] = symbols[~new]
+        return out, begin
+
+    done = filled = 0
+    while done < len(rules):
+        end = done + int(np.argmax(np.r_[(rules[done:] >= base + done).any(axis=1), True]))
+        out, begin = looked_up(rules[done:end].ravel())
+        pool[filled:filled + out.size] = out
+        starts[done:end] = filled + begin[::2]
+        done, filled = end, filled + out.size
+    return looked_up(seq.astype(np.int64))[0].astype("<u4")
+
+
 def pack_block(doc_ids: list[int | None], packed: list[bytes], base: int | None = None) -> bytes:
     """One block: header, documents, then each segment's grammar."""
     ids = np.frombuffer(b"".join(packed), "<u4")
@@ -214,7 +243,7 @@ class Block:
             self.segments.append((rules, lengths, seq))
 
     def ids(self) -> np.ndarray:
-        parts = [expand(seq, rules, self.base) for rules, _, seq in self.segments]
+        parts = [expand_all(seq, rules, lengths.astype(np.int64), self.base) for rules, lengths, seq in self.segments]
         return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
     def read(self, start: int, end: int) -> np.ndarray:

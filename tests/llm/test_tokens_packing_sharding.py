@@ -61,6 +61,7 @@ def test_grammar_expands_to_what_it_was_made_of(ids, least):
     assert per_round.sum() == len(rules)
     assert grammar.expand(seq, rules, 6).tolist() == ids.tolist()
     lengths = grammar.lengths_of(rules, 6)
+    assert grammar.expand_all(seq, rules, lengths, 6).tolist() == ids.tolist()
     assert lengths.tolist() == [len(grammar.expand(np.asarray([6 + i]), rules, 6)) for i in range(len(rules))]
 
 
