@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablepact import faults
-from tablepact.catalogue.registry import query
+from tablepact.catalogue.registry import query, scratch
 from tablepact.operators import attempts as A
+from tablepact.streaming import attempts as live
 
 LOG = faults.sql("attempt_log")
 HISTORY = f"""
@@ -75,3 +76,34 @@ SELECT pipeline, count(*) FILTER (WHERE type = 'regeneration') AS regeneration_a
   count(*) FILTER (WHERE type = 'execution') AS execution_attempts, count(*) AS attempts FROM {LOG} GROUP BY pipeline""")
 def attempt_totals(spark, sf_dir):
     return A.pipeline_totals(faults.table(spark, sf_dir, "attempt_log"))
+
+
+def watched(spark, sf_dir, batches=3):
+    """The attempt log in parts that appear one after the other; the stream is started anew for each."""
+    path, out, state = scratch(spark, "attempt-stream"), scratch(spark, "verdicts"), scratch(spark, "attempt-state")
+    log = faults.table(spark, sf_dir, "attempt_log")
+    step = (log.agg(F.max("seq")).first()[0] or 0) // batches + 1
+    for i in range(batches):
+        log.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)).write.mode("append").parquet(path)
+        live.watch(spark.readStream.schema(log.schema).parquet(path), out, state, limits=LIMITS).awaitTermination()
+    return out
+
+
+@query("streamed_attempt_verdicts", "A1 A2 A4 A5", f"""
+SELECT seq, attempt_num, total_attempts, total_pipelines, last_error,
+  NOT (attempt_num > CASE WHEN type = 'regeneration' THEN 30 ELSE 20 END OR total_pipelines > 2 OR total_attempts > 150) AS allowed,
+  coalesce(last_error <> '' AND trim(regexp_replace(lower(coalesce(error, '')), '\\s+', ' ', 'g'))
+    = trim(regexp_replace(lower(last_error), '\\s+', ' ', 'g')), false) AS repeated,
+  least(1.0::DOUBLE * pow(2, attempt_num - 1), 5.0::DOUBLE) AS delay_seconds FROM ({HISTORY})""")
+def streamed_attempt_verdicts(spark, sf_dir):
+    """The verdicts of a stream that is stopped and started again in between."""
+    return live.verdicts(spark, watched(spark, sf_dir)).select(
+        "seq", "attempt_num", "total_attempts", "total_pipelines", "last_error", "allowed", "repeated", "delay_seconds")
+
+
+@query("streamed_attempt_totals", "A1", f"""
+SELECT pipeline, count(*) FILTER (WHERE type = 'regeneration') AS regeneration_attempts,
+  count(*) FILTER (WHERE type = 'execution') AS execution_attempts, count(*) AS attempts FROM {LOG} GROUP BY pipeline""")
+def streamed_attempt_totals(spark, sf_dir):
+    """Counters as of the end of a stream."""
+    return live.totals(spark, watched(spark, sf_dir, 2)).drop("last_error")

@@ -64,3 +64,25 @@ def streamed_log_windows(spark, sf_dir):
     windows = live.level_windows(live.stream_lines(spark, folder))
     live.write_windows(windows, out, scratch(spark, "stream-state")).awaitTermination()
     return _as_text(live.latest_windows(spark, out))
+
+
+@query("watched_log_windows", "L3", f"""
+WITH p AS (SELECT CAST(timestamp AS TIMESTAMP) AS t, level, event_id FROM (SELECT event_id, regexp_extract(line,
+    '(\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}})', 1) AS timestamp, {LEVEL} AS level FROM {LINES}) WHERE level IS NOT NULL),
+m AS (SELECT max(t) AS latest FROM p WHERE event_id % 3 <> 0),
+w AS (SELECT time_bucket(INTERVAL 10 MINUTE, t) AS s, level,
+  event_id % 3 = 0 AND time_bucket(INTERVAL 10 MINUTE, t) + INTERVAL 10 MINUTE <= latest - INTERVAL 1 HOUR AS late FROM p, m)
+SELECT CASE WHEN late THEN 'late' ELSE 'counted' END AS kind, CAST(s AS VARCHAR) AS window_start, level, count(*) AS line_count
+FROM w GROUP BY ALL""")
+def watched_log_windows(spark, sf_dir):
+    """A third of the lines comes after all others: lines of closed windows are kept as late ones."""
+    folder, out, state = scratch(spark, "log-stream"), scratch(spark, "watched"), scratch(spark, "watch-state")
+    lines = faults.table(spark, sf_dir, "log_lines")
+    for late in (False, True):
+        lines.where((F.col("event_id") % 3 == 0) == F.lit(late)).select("line").write.mode("append").text(folder)
+        live.watch_windows(live.stream_lines(spark, folder), out, state).awaitTermination()
+    counted = live.closed_windows(spark, out).unionByName(live.open_windows(spark, out)).select(
+        F.lit("counted").alias("kind"), F.col("window_start").cast("string"), "level", "line_count")
+    late = live.late_lines_of(spark, out).groupBy(F.window("event_time", "10 minutes")["start"].cast("string").alias("window_start"), "level")
+    kept = late.agg(F.count(F.lit(1)).alias("line_count")).select(F.lit("late").alias("kind"), "window_start", "level", "line_count")
+    return counted.unionByName(kept).groupBy("kind", "window_start", "level").agg(F.sum("line_count").alias("line_count"))

@@ -28,7 +28,7 @@ ATTEMPT_TYPES = ("regeneration", "execution")
 
 
 def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
-                    ranges: int | None = None) -> DataFrame:
+                    ranges: int | None = None, prior: DataFrame | None = None) -> DataFrame:
     """Running counters and the previous error of every attempt, in log order.
 
     Adds, as of each attempt: ``regeneration_attempts`` and ``execution_attempts``
@@ -36,6 +36,8 @@ def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
     ``total_pipelines`` over the whole log, and ``last_error``, the latest
     non-empty error of the pipeline before it.  Successes do not reset it.
     An attempt of another type makes the query fail.
+    ``prior`` holds what came before this log: ``pipeline``, ``regeneration_attempts``,
+    ``execution_attempts``, ``attempts`` and ``last_error``, one row for each pipeline.
     The ranges of the log are written to the checkpoint folder when this is called.
     """
     order = list(order_by)
@@ -52,7 +54,13 @@ def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
         {"_reg": F.count_if(regeneration), "_exe": F.count_if(execution),
          "_err": F.max_by(error, F.when(has_error, F.struct(*order))), "_n": F.count(F.lit(1))},
         {"_reg_before": F.sum("_reg"), "_exe_before": F.sum("_exe"),
-         "_err_before": F.last("_err", ignorenulls=True), "_n_before": F.sum("_n")}).checkpoint()
+         "_err_before": F.last("_err", ignorenulls=True), "_n_before": F.sum("_n")})
+    rows_prior, pipelines_prior = F.lit(0), F.lit(0)
+    if prior is not None:
+        per_pipeline = _after(per_pipeline, prior)
+        known = prior.agg(F.coalesce(F.sum("attempts"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("p")).first()
+        rows_prior, pipelines_prior = F.lit(known["n"]), F.lit(known["p"])
+    per_pipeline = per_pipeline.checkpoint()
     # Ranges are few, so accumulating over them fits one task.
     whole_log = with_earlier(
         per_pipeline, [], {"_rows": F.sum("_n"), "_new": F.count_if(F.col("_n_before").isNull())},
@@ -82,12 +90,28 @@ def attempt_history(log: DataFrame, order_by: Sequence[str] = ("seq",),
         *log.columns, "regeneration_attempts", "execution_attempts",
         F.when(regeneration, F.col("regeneration_attempts"))
         .otherwise(F.col("execution_attempts")).alias("attempt_num"),
-        (F.coalesce("_rows_before", zero) + F.count(F.lit(1)).over(in_range)).alias("total_attempts"),
-        (F.coalesce("_new_before", zero) + F.count_if(F.col("_is_new")).over(in_range))
+        (rows_prior + F.coalesce("_rows_before", zero) + F.count(F.lit(1)).over(in_range)).alias("total_attempts"),
+        (pipelines_prior + F.coalesce("_new_before", zero) + F.count_if(F.col("_is_new")).over(in_range))
         .alias("total_pipelines"),
         "last_error")
 
 
+def _after(per_pipeline: DataFrame, prior: DataFrame) -> DataFrame:
+    """What came before each range, with what came before the log."""
+    known = prior.select(F.col("pipeline").alias("_known"), F.col("regeneration_attempts").alias("_k_reg"),
+                         F.col("execution_attempts").alias("_k_exe"), F.col("last_error").alias("_k_err"),
+                         F.col("attempts").alias("_k_n"))
+
+    def added(name: str, more: str):
+        return F.when(F.col(name).isNotNull() | F.col(more).isNotNull(),
+                      F.coalesce(name, F.lit(0)) + F.coalesce(more, F.lit(0))).alias(name)
+
+    changed = {"_reg_before": added("_reg_before", "_k_reg"), "_exe_before": added("_exe_before", "_k_exe"),
+               "_n_before": added("_n_before", "_k_n"), "_err_before": F.coalesce("_err_before", "_k_err").alias("_err_before")}
+    joined = per_pipeline.join(known, F.col("pipeline").eqNullSafe(F.col("_known")), "left")
+    return joined.select(*[changed.get(c, F.col(c)) for c in per_pipeline.columns])
+
+
 def is_allowed(limits: Limits = Limits()) -> Column:
     """False once the counter of the attempt's type, the pipelines or the total exceed a limit."""
     own_limit = F.when(F.col("type") == "regeneration", limits.max_regenerations).otherwise(
