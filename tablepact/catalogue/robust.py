@@ -43,6 +43,41 @@ def clean_mixed_dates(spark, sf_dir):
     return clean(raw, DATES)
 
 
+DAY_FIRST = f"concat({D}, '/', {M}, '/', {Y}) AS day_first"
+MONTH_FIRST = f"concat(cast(cast({M} as int) as string), '-', {D}, '-', {Y}, ' 10:30 PM') AS month_first"
+NAMED = f"concat('Mon, ', {D}, '-', {NAME}, '-', {Y}) AS named"
+SHORT = f"concat({M}, '/', {D}, '/', substring({Y}, 3, 2)) AS short_year"
+ORDERED_DATES = TableContract.from_dict("dates", {"columns": [
+    {"name": n, "type": "date", "nullable": True} for n in ("day_first", "month_first", "named", "short_year")]})
+
+
+def _ordered_dates(spark, sf_dir):
+    return faults.table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_orderkey as string) AS order_id", DAY_FIRST, MONTH_FIRST, NAMED, SHORT)
+
+
+@query("clean_ordered_dates", "K2 K18 P4", """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_orderdate AS DATE) AS day_first, CAST(o_orderdate AS DATE) AS month_first,
+  CAST(o_orderdate AS DATE) AS named, CAST(o_orderdate AS DATE) AS short_year FROM orders""")
+def clean_ordered_dates(spark, sf_dir):
+    """Columns of different orders of day and month, each read in its own throughout; weekdays, times, short years."""
+    raw = _ordered_dates(spark, sf_dir)
+    cleaned = clean(raw, profile.with_date_orders(raw, ORDERED_DATES))
+    return cleaned.select("order_id", "day_first", "month_first", "named", "short_year")
+
+
+@query("date_orders", "P4", """
+WITH t AS (SELECT month(CAST(o_orderdate AS DATE)) AS m, day(CAST(o_orderdate AS DATE)) AS d FROM orders)
+SELECT 'day_first' AS "column", 'day_first' AS "order", count(*) FILTER (WHERE d > 12) AS day_first_values,
+  CAST(0 AS BIGINT) AS month_first_values, count(*) FILTER (WHERE d <= 12 AND d <> m) AS undecidable_values FROM t
+UNION ALL SELECT c, 'month_first', 0, count(*) FILTER (WHERE d > 12), count(*) FILTER (WHERE d <= 12 AND d <> m)
+  FROM t, (VALUES ('month_first'), ('short_year')) AS n(c) GROUP BY c
+UNION ALL SELECT 'named', 'unknown', 0, 0, 0""")
+def date_orders(spark, sf_dir):
+    """What the values of each column say about the order of day and month."""
+    return profile.date_orders(_ordered_dates(spark, sf_dir), ["day_first", "month_first", "named", "short_year"]).drop("position")
+
+
 @query("late_sample_values", "P1 P6", """
 SELECT 'note' AS "column", 'integer' AS type, count(*) AS row_count, count(*) FILTER (WHERE o_orderkey % 7 <> 3) AS null_count,
   (SELECT string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) FROM

@@ -62,7 +62,16 @@ DATE_SHAPES = (
     (r"[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}", "MMMM d[,] yyyy"),
     (r"[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}", "d MMM yyyy"),
     (r"[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}", "d MMMM yyyy"),
+    (r"[0-9]{1,2}-[A-Za-z]{3,9}-[0-9]{4}", "d-MMM-yyyy"),
+    (r"[0-9]{1,2}-[A-Za-z]{3,9}-[0-9]{4}", "d-MMMM-yyyy"),
+    (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}", "M/d/yy"),
+    (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}", "d/M/yy"),
 )
+# A weekday before a date and a time behind it, which do not change the day.
+WEEKDAY = r"(?i:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?i:day)?,? "
+TIME_OF_DAY = (r"(?:,? |T)(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,9})?)?(?: ?(?i:[AP]M))?")
+# Years of two digits from here on are of the century before.
+CENTURY_BREAK = 69
 DATETIME_SHAPE = (
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?"
     r"(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
@@ -107,15 +116,39 @@ def parse_date(c: Column, day_first: bool = False) -> Column:
     by_shape: dict[str, list[str]] = {}
     for shape, fmt in DATE_SHAPES:
         by_shape.setdefault(shape, []).append(fmt)
-    any_shape = _whole("|".join([DATETIME_SHAPE, *by_shape]))
+    dates = "|".join(by_shape)
+    any_shape = _whole("|".join([DATETIME_SHAPE, dates, f"(?:{WEEKDAY})?(?:{dates})(?:{TIME_OF_DAY})?"]))
     written_day = F.when(F.try_to_timestamp(text).isNotNull(), F.substring(text, 1, 10).try_cast("date"))
     out = (F.when(text.rlike(ISO_DATE_PATTERN), text.try_cast("date"))
            .when(~text.rlike(any_shape), F.lit(None).cast("date"))
            .when(text.rlike(_whole(DATETIME_SHAPE)), written_day))
     for shape, formats in by_shape.items():
-        ordered = sorted(formats, key=lambda f: f.startswith("M")) if day_first else formats
-        out = out.when(text.rlike(_whole(shape)), F.coalesce(*[F.try_to_date(text, f) for f in ordered]))
-    return out
+        out = out.when(text.rlike(_whole(shape)), F.coalesce(*[_to_date(text, f) for f in _in_order(formats, day_first)]))
+    # With a weekday or a time around it; rare, so the formats are tried without a test of the shape each.
+    bare = F.regexp_replace(F.regexp_replace(text, r"\A" + WEEKDAY, ""), TIME_OF_DAY + r"\z", "")
+    formats = [f for own in by_shape.values() for f in _in_order(own, day_first)]
+    return out.otherwise(F.coalesce(*[_to_date(bare, f) for f in formats]))
+
+
+def _in_order(formats: list[str], day_first: bool) -> list[str]:
+    return sorted(formats, key=lambda f: f.startswith("M")) if day_first else formats
+
+
+def _to_date(text: Column, fmt: str) -> Column:
+    out = F.try_to_date(text, fmt)
+    if fmt.endswith("yyyy") or not fmt.endswith("yy"):
+        return out
+    return F.when(F.year(out) % 100 >= CENTURY_BREAK, F.add_months(out, -1200)).otherwise(out)
+
+
+#: Two numbers of which one is the day and one the month, and a year.
+UNORDERED_DATE = r"\A\s*([0-9]{1,2})([/.-])([0-9]{1,2})\2(?:[0-9]{4}|[0-9]{2})\b"
+
+
+def date_parts(c: Column) -> tuple[Column, Column]:
+    """The two leading numbers of a date whose shape does not tell day from month; else null."""
+    unordered = c.rlike(UNORDERED_DATE)
+    return tuple(F.when(unordered, F.regexp_extract(c, UNORDERED_DATE, i).try_cast("int")) for i in (1, 3))
 
 
 def is_date_text(c: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablepact.contract import TableContract
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted
 from tablepact.plans.shapes import measure_rows
@@ -115,6 +117,42 @@ def _profile_rows(whole: DataFrame, sampled: DataFrame) -> DataFrame:
         "sample_values")
 
 
+def date_orders(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per text column, in which order its dates have day and month, from all its values.
+
+    A first number above 12 is a day, and so is a second one; one aggregation
+    counts both, and the values that could be read either way.  ``order`` is
+    ``day_first`` or ``month_first`` if all evidence agrees, ``mixed`` if it does
+    not, and ``unknown`` without any.
+    """
+    rows = []
+    for i, name in enumerate(columns):
+        first, second = P.date_parts(_text(name))
+        rows.append({
+            "position": i, "column": name, "day_first_values": F.count_if((first > 12) & (second <= 12)),
+            "month_first_values": F.count_if((second > 12) & (first <= 12)),
+            "undecidable_values": F.count_if((first <= 12) & (second <= 12) & (first != second))})
+    day, month = F.col("day_first_values") > 0, F.col("month_first_values") > 0
+    return measure_rows(df, rows).withColumn("order", F.when(day & month, "mixed").when(day, "day_first")
+                                             .when(month, "month_first").otherwise("unknown"))
+
+
+def with_date_orders(df: DataFrame, contract: TableContract) -> TableContract:
+    """The contract with the order its text dates have in the table, where the table shows one.
+
+    One row per date column comes back.  Without evidence, or with contradicting
+    evidence, the contract's own order stays.
+    """
+    dates = [c.name for c in contract.columns
+             if c.type == "date" and c.name in df.columns and isinstance(df.schema[c.name].dataType, T.StringType)]
+    if not dates:
+        return contract
+    found = {r["column"]: r["order"] for r in date_orders(df, dates).collect()}
+    known = {"day_first": True, "month_first": False}
+    return replace(contract, columns=tuple(
+        replace(c, day_first=known.get(found.get(c.name), c.day_first)) for c in contract.columns))
+
+
 def _percentage(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole * 100, 2)).otherwise(F.lit(0.0))
 

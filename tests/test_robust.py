@@ -41,6 +41,27 @@ def test_order_of_day_and_month(spark):
     assert df.select(C.to_iso_date(F.col("d"), formats=("yyyy-MM-dd",)).alias("d")).where("d is not null").count() == 0
 
 
+def test_order_of_a_whole_column(spark):
+    df = spark.createDataFrame([("02/03/2024", "02/03/2024", "1/2/24"), ("25/03/2024", "03/25/2024", "3/4/69"), (None, "13.01.2024", "x")],
+                               "a string, b string, c string")
+    contract = TableContract.from_dict("t", {"columns": [{"name": n, "type": "date"} for n in "abc"]})
+    orders = {r["column"]: (r["order"], r["undecidable_values"]) for r in profile.date_orders(df, list("abc")).collect()}
+    assert orders == {"a": ("day_first", 1), "b": ("mixed", 1), "c": ("unknown", 2)}
+    rows = clean.clean(df, profile.with_date_orders(df, contract)).select("a", "b", "c").collect()
+    assert [[str(v) for v in r] for r in rows] == [["2024-03-02", "2024-02-03", "2024-01-02"], ["2024-03-25", "2024-03-25", "1969-03-04"],
+                                                   ["None", "2024-01-13", "None"]]
+
+
+def test_dates_with_weekdays_and_times(spark):
+    day = "2024-01-15"
+    texts = ["15-Jan-2024", "15-January-2024", "2024-01-15 10:00 PM", "01/15/24", "Mon, 15 Jan 2024", "Monday 01/15/2024 3:04:05 am",
+             "Jan 15, 2024 23:59", "2024/01/15T08:00", "Mon, 15 Jan 2024 10:00 AM"]
+    wrong = ["15-Foo-2024", "2024-01-15 25:00", "Moonday, 15 Jan 2024", "10:00 PM", "01/15/24 x", "2024-13-45 10:00 PM", "Mon,"]
+    df = spark.createDataFrame([(t,) for t in texts + wrong], "d string")
+    found = [r[0] for r in df.select(P.parse_date(F.col("d"))).collect()]
+    assert [str(d) for d in found[:len(texts)]] == [day] * len(texts) and found[len(texts):] == [None] * len(wrong)
+
+
 def test_late_values_are_found(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") >= 200, F.col("id").cast("string")).alias("v"))
     got = {r.column: r for r in profile.infer_schema(df, order_by=["id"]).collect()}
