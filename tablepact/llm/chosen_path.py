@@ -9,7 +9,8 @@ text goes to one child per coordinate, together with the texts that hold the
 same token there, its minimum hash.  A child that is small enough is compared by
 brute force.  A larger one is first compared with one of its texts, the leader,
 and then splits again on sampled coordinates, where only texts that are not yet
-known to belong together are of interest.  The deepest children are compared by
+known to belong together are of interest; where these are few, they are compared
+with all texts of the child instead.  The deepest children are compared by
 brute force whatever their size, in pairs of blocks.  Runs are repeated until
 the chance to miss a pair at the threshold is below ``MISS``.
 
@@ -48,6 +49,8 @@ DEPTH = 4
 #: Texts of a bucket compared by brute force, and of a block in the exact comparison.
 LIMIT = 128
 BLOCK = 256
+#: Texts of a node that are looked at together where a few are compared with all.
+PART = 4096
 #: Standard deviations below the threshold from which an estimate is no candidate.
 DEVIATIONS = 5.0
 #: Rows of a table that is broadcast at most (about 40 bytes each); larger ones are shuffled.
@@ -319,6 +322,43 @@ def near_leader(rows: DataFrame) -> DataFrame:
         run, "path long, digest binary, tag binary, sketch binary, leader binary, near boolean")
 
 
+def few_against_many(rows: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` for nodes whose texts are connected but for a few: these are compared with all.
+
+    ``main`` is the tag of most texts of a node.  The others, ``LIMIT`` at most, go
+    to every part of the node, so that a node of any size is many tasks' work.
+    """
+    least = least_estimate() * COORDINATES
+    keys = ["path", "_part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, keys):
+            group, held = _group_numbers(part, keys), _sketches(part["sketch"])
+            edges = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
+            found = []
+            for low, high in zip(edges, edges[1:], strict=False):
+                few = [k for k in range(low, high) if part["few"][k]]
+                forest, tagged = Forest(), {}
+                for k in range(low, high):
+                    forest.join(tagged.setdefault(part["tag"][k], k), k)
+                for k in few:
+                    near = (held[low:high] == held[k]).sum(axis=1) >= least
+                    found += [(k, x) for x in (np.flatnonzero(near) + low).tolist()
+                              if part["digest"][x] != part["digest"][k] and forest.join(k, x)]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part["digest"][a] for a, _ in found], pa.binary()),
+                     pa.array([part["digest"][b] for _, b in found], pa.binary())], names=["a", "b"])
+
+    count = F.ceil(F.col("n") / PART).cast("int")
+    few = F.col("tag") != F.col("main")
+    own = F.pmod(F.xxhash64("digest", F.lit(23)), count).cast("int")
+    dealt = rows.withColumn("few", few).withColumn("_part", F.explode(
+        F.when(few, F.sequence(F.lit(0), count - 1)).otherwise(F.array(own)))).select(*keys, "few", "digest", "tag", "sketch")
+    return (dealt.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+            .mapInArrow(run, "a binary, b binary"))
+
+
 def candidates(texts: DataFrame, number: int | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` that connect all texts whose embeddings met and were alike.
 
@@ -353,14 +393,23 @@ def follow(texts: DataFrame, start: np.ndarray) -> DataFrame:
         pairs = similar_pairs(rows.where(F.col("n") <= LIMIT))
         split = rows.where(F.col("n") > LIMIT)
         if not split.isEmpty():
-            led = written(near_leader(split), f"leaders{level}")
-            pairs = pairs.union(led.where("near and digest <> leader").select("leader", "digest"))
-            if level < DEPTH:
-                paths = written(next_level(led), f"children{level}")
-            else:  # compared whatever their size, but for those the leader has connected
-                apart = (led.groupBy("path").agg(F.count("*").alias("n"), F.min("tag").alias("_low"), F.max("tag").alias("_high"))
-                         .where("_low < _high").select("path", "n"))
-                pairs = pairs.union(similar_pairs(led.join(apart, "path").select("path", "n", "digest", "tag", "sketch")))
+            tags = split.groupBy("path", "tag").agg(F.count("*").alias("_c")).groupBy("path").agg(
+                F.max_by("tag", "_c").alias("main"), F.max("_c").alias("_most"))
+            split = written(split.join(tags, "path").withColumn("_rest", F.col("n") - F.col("_most")).drop("_most"), f"tags{level}")
+            # Nodes whose texts are connected but for a few are done with at once.
+            pairs = pairs.union(few_against_many(split.where(F.col("_rest") <= LIMIT)))
+            wide = split.where(F.col("_rest") > LIMIT)
+            if wide.isEmpty():
+                level = DEPTH
+            else:
+                led = written(near_leader(wide), f"leaders{level}")
+                pairs = pairs.union(led.where("near and digest <> leader").select("leader", "digest"))
+                if level < DEPTH:
+                    paths = written(next_level(led), f"children{level}")
+                else:  # compared whatever their size, but for those the leader has connected
+                    apart = (led.groupBy("path").agg(F.count("*").alias("n"), F.min("tag").alias("_low"), F.max("tag").alias("_high"))
+                             .where("_low < _high").select("path", "n"))
+                    pairs = pairs.union(similar_pairs(led.join(apart, "path").select("path", "n", "digest", "tag", "sketch")))
         else:
             level = DEPTH
         found = pairs if found is None else found.union(pairs)

@@ -485,3 +485,25 @@ def test_a_large_node_gives_as_many_pairs_as_tags(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "similar_pairs", lambda rows: calls.append(real(rows)) or calls[-1])
     chosen_path.follow(texts, chosen_path.roots(4))
     assert sum(c.count() for c in calls) < 300 * 8
+
+
+def test_few_against_many(spark, monkeypatch):
+    """A node that is connected but for a few texts: the few are compared with all, part by part."""
+    monkeypatch.setattr(chosen_path, "PART", 16)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, (2, chosen_path.COORDINATES), dtype=np.uint32)
+    rows = []
+    for i in range(120):
+        own = base[int(i % 40 == 39)].copy()
+        own[rng.integers(0, len(own), 2)] = rng.integers(0, 1 << 32, 2)
+        tag = b"m" * 16 if i % 40 != 39 and i % 10 else b"%016d" % i
+        rows.append((7, 120, bytearray(b"%016d" % i), bytearray(tag), bytearray(own.tobytes()), bytearray(b"m" * 16)))
+    found = chosen_path.few_against_many(spark.createDataFrame(
+        rows, "path long, n long, digest binary, tag binary, sketch binary, main binary")).collect()
+    forest, tops = chosen_path.Forest(), {}
+    for i, r in enumerate(rows):
+        forest.join(tops.setdefault(bytes(r[3]), i), i)
+    for r in found:
+        forest.join(int(bytes(r["a"])), int(bytes(r["b"])))
+    groups = {forest.top(i) for i in range(120)}
+    assert groups == {forest.top(0), forest.top(39)} and len(groups) == 2 and len(found) < 120
