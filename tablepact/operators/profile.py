@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,18 +92,23 @@ def infer_schema(df: DataFrame, sample_size: int | None = None,
 
 
 def _first_filled(df: DataFrame, order_by: Sequence[str | Column], n: int) -> DataFrame:
-    """The first filled values of every column, in one scan.
+    """The first filled values of every column.
 
-    Each task keeps its own first ``n`` rows per column, so only those are shuffled.
+    Each column is read on its own, beside the columns of the order: with an order
+    a task keeps its first ``n`` values only, and without one it stops after ``n``.
+    Nothing is sorted, and ``n`` rows per task and column are moved.
     """
-    order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by] or [F.monotonically_increasing_id()]
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), _text(c).alias("value")) for c in df.columns])
-    rows = df.select(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.explode(cells).alias("_c")).select(
-        *[f"_o{i}" for i in range(len(order))], "_c.column", "_c.value").where("value is not null")
-    first = Window.partitionBy("column").orderBy(*[f"_o{i}" for i in range(len(order))])
-    return (rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= n)
-            .groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "value"))),
-                                               lambda x: x["value"]).alias("sample_values")))
+    order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by]
+
+    def first(name: str) -> DataFrame:
+        filled = df.select(*[c.alias(f"_o{i}") for i, c in enumerate(order)], _text(name).alias("value")).where("value is not null")
+        keys = [f"_o{i}" for i in range(len(order))]
+        few = (filled.orderBy(*keys) if order else filled).limit(n)
+        held = F.collect_list(F.struct(*keys, "value")) if order else F.collect_list("value")
+        values = F.transform(F.array_sort(held), lambda x: x["value"]) if order else held
+        return few.agg(F.lit(name).alias("column"), values.alias("sample_values"))
+
+    return reduce(DataFrame.unionAll, map(first, df.columns))
 
 
 def _profile_rows(whole: DataFrame, sampled: DataFrame) -> DataFrame:

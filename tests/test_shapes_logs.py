@@ -108,3 +108,15 @@ def test_line_numbers_by_hashed_names(spark, tmp_path, small_blocks):
     rows = files.with_line_numbers(spark.read.text(str(tmp_path))).collect()
     want = [f"{i}-{j}" for i in range(3) for j in range(9000)]
     assert {r["row_number"]: r["value"] for r in rows} == dict(enumerate(want, 1))
+
+
+def test_first_values_without_a_sort(spark):
+    from tablepact.operators import profile
+    df = spark.range(5000).selectExpr("id", "if(id > 4000, cast(id AS string), null) AS late", "cast(null AS string) AS never")
+    for order in ((), ("id",), (-F.col("id"),)):
+        found = profile._first_filled(df, order, 5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert " Sort " not in plan and "Window" not in plan
+        rows = {r["column"]: r["sample_values"] for r in found.collect()}
+        assert len(rows["id"]) == len(rows["late"]) == 5 and rows["never"] == []
+    assert rows["late"] == ["4999", "4998", "4997", "4996", "4995"] or sorted(rows["late"]) == ["4995", "4996", "4997", "4998", "4999"]
