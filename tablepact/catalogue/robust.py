@@ -18,7 +18,7 @@ from tablepact.operators import checks as K
 from tablepact.operators import consistency, profile
 from tablepact.operators.clean import clean, deduplicate
 from tablepact.plans import flows
-from tablepact.sources import catalog, files, sinks, strict
+from tablepact.sources import catalog, files, published, sinks, strict
 
 DAY = "cast(cast(o_orderdate as date) as string)"
 Y, M, D = f"substring({DAY}, 1, 4)", f"substring({DAY}, 6, 2)", f"substring({DAY}, 9, 2)"
@@ -327,6 +327,30 @@ def ingest_orders(spark, sf_dir):
     return spark.read.parquet(target).agg(F.count("*").alias("rows"), F.lit(outcome.loaded).alias("loaded"))
 
 
+@query("published_versions", "S10 S12", """
+SELECT CAST(o_orderkey AS INTEGER) AS order_id, o_orderpriority AS priority, CAST(2 AS BIGINT) AS version,
+  true AS failed_load_refused, true AS late_load_refused FROM orders WHERE o_orderkey % 3 = 0""")
+def published_versions(spark, sf_dir):
+    """Two good loads, one that breaks the key and one made from an old version: the second good one is read."""
+    target = scratch(spark, "published")
+    rows = faults.table(spark, sf_dir, "orders").selectExpr(*TEXT_ORDERS)
+    strict.strict_publish(rows, STRICT_ORDERS, target)
+    part = rows.where(F.col("order_id").cast("long") % 3 == 0)
+    strict.strict_publish(part, STRICT_ORDERS, target)
+    refused = []
+    for load in (lambda: strict.strict_publish(part.unionByName(part), STRICT_ORDERS, target),
+                 lambda: published.publish(part, target, expected=1)):
+        try:
+            load()
+            refused.append(False)
+        except Exception:
+            refused.append(True)
+    newest = published.versions(spark, target)[-1].number
+    return published.read_published(spark, target).select(
+        "order_id", "priority", F.lit(newest).cast("bigint").alias("version"),
+        F.lit(refused[0]).alias("failed_load_refused"), F.lit(refused[1]).alias("late_load_refused"))
+
+
 @query("measured_clean_write", "H12 S12", "SELECT count(*) AS rows, true AS has_rate FROM orders")
 def measured_clean_write(spark, sf_dir):
     """Rows and rate of a write, taken from the write itself."""

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tablepact.contract import TableContract
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted
-from tablepact.plans.shapes import measure_rows
+from tablepact.plans.shapes import measure_rows, row_digest
 
 
 def flags_type(flags: Column) -> Column:
@@ -162,23 +162,31 @@ def _percentage(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole * 100, 2)).otherwise(F.lit(0.0))
 
 
-def _value_statistics(df: DataFrame, position: int, name: str, digest: bool) -> DataFrame:
+def _value_statistics(df: DataFrame, position: int, name: str) -> DataFrame:
     """Total, distinct and null count of one column from its value frequencies.
 
-    Reads one column; repeated values combine before the shuffle.  With
-    ``digest`` 32 bytes per distinct value are shuffled instead of the value.
+    Reads one column; repeated values combine before the shuffle.
     """
-    c = F.col(quoted(name))
-    value = F.unhex(F.sha2(c.cast("binary"), 256)) if digest else c
-    frequency = df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    measures = [
+    frequency = df.groupBy(F.col(quoted(name)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return frequency.agg(
         F.lit(position).alias("position"), F.lit(name).alias("column"),
         F.lit(df.schema[name].dataType.simpleString()).alias("type"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("v").alias("distinct_count"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count")]
-    if not digest:
-        measures += [F.min("v").cast("string").alias("min_value"), F.max("v").cast("string").alias("max_value")]
-    return frequency.agg(*measures)
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.min("v").cast("string").alias("min_value"), F.max("v").cast("string").alias("max_value"))
+
+
+def _distinct_digests(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``position`` and ``distinct_count`` of every column, in one scan and one shuffle.
+
+    Each filled cell becomes its column's number and 128 bits of digest; equal ones
+    combine before the shuffle, which moves 20 bytes for each.
+    """
+    cells = F.array(*[F.when(F.col(quoted(n)).isNotNull(), F.struct(
+        F.lit(i).alias("position"), row_digest(df, [n]).alias("d0"), row_digest(df, [n], 1).alias("d1")))
+        for i, n in enumerate(names)])
+    each = df.select(F.explode(cells).alias("_c")).where("_c is not null").select("_c.position", "_c.d0", "_c.d1")
+    return each.distinct().groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
 def quality_report(df: DataFrame, columns: Sequence[str] | None = None,
@@ -187,42 +195,32 @@ def quality_report(df: DataFrame, columns: Sequence[str] | None = None,
 
     ``exact``: each column is aggregated to its value frequencies on its own, so
     a columnar scan reads every column once and no row is expanded by the number
-    of columns.  ``digest``: the same, but text is told apart by its SHA-256
-    digest, so that long text does not go through the shuffle; min and max of the
-    text columns cost one more scan of them.  ``approx``: one aggregation over
-    all columns without a shuffle of values; also the choice for row-oriented
-    sources such as CSV, where reading one column means parsing all of them.
+    of columns.  ``digest``: all columns in one aggregation, and their distinct
+    values in one more, by 128 bits of digest: two scans however many columns
+    there are, the choice for CSV and other row-oriented sources and for long
+    text, which is not shuffled.  ``approx``: one aggregation over all columns
+    without a shuffle of values.
     """
     chosen = list(columns or df.columns)
-    text = [n for n in chosen if isinstance(df.schema[n].dataType, (T.StringType, T.BinaryType))]
-    if distinct == "approx":
-        rows = []
-        for i, n in enumerate(chosen):
-            c = F.col(quoted(n))
-            rows.append({
-                "position": i, "column": n, "type": df.schema[n].dataType.simpleString(),
-                "total": F.count(F.lit(1)), "distinct_count": F.approx_count_distinct(c),
-                "null_count": F.count_if(c.isNull()),
-                "min_value": F.min(c).cast("string"), "max_value": F.max(c).cast("string")})
-        report = measure_rows(df, rows)
-    elif distinct == "exact" or (distinct == "digest" and not text):
-        report = reduce(DataFrame.unionAll, [
-            _value_statistics(df, i, n, False) for i, n in enumerate(chosen)])
-    elif distinct == "digest":
-        bounds = measure_rows(df, [
-            {"column": n, "min_value": F.min(F.col(quoted(n))).cast("string"),
-             "max_value": F.max(F.col(quoted(n))).cast("string")} for n in text])
-        # One row per text column on either side.
-        digested = reduce(DataFrame.unionAll, [
-            _value_statistics(df, i, n, True) for i, n in enumerate(chosen) if n in text])
-        report = digested.join(F.broadcast(bounds), "column").select(
-            "position", "column", "type", "total", "distinct_count", "null_count", "min_value", "max_value")
-        for i, n in enumerate(chosen):
-            if n not in text:
-                report = report.unionAll(_value_statistics(df, i, n, False))
-    else:
+    if distinct == "exact":
+        report = reduce(DataFrame.unionAll, [_value_statistics(df, i, n) for i, n in enumerate(chosen)])
+        return report.withColumn("null_percentage", _percentage(F.col("null_count"), F.col("total")))
+    if distinct not in ("approx", "digest"):
         raise ValueError(f"distinct must be 'exact', 'digest' or 'approx', not {distinct!r}")
-    return report.withColumn("null_percentage", _percentage(F.col("null_count"), F.col("total")))
+    rows = []
+    for i, n in enumerate(chosen):
+        c = F.col(quoted(n))
+        rows.append({
+            "position": i, "column": n, "type": df.schema[n].dataType.simpleString(), "total": F.count(F.lit(1)),
+            **({"distinct_count": F.approx_count_distinct(c)} if distinct == "approx" else {}),
+            "null_count": F.count_if(c.isNull()),
+            "min_value": F.min(c).cast("string"), "max_value": F.max(c).cast("string")})
+    report = measure_rows(df, rows)
+    if distinct == "digest":  # a row per column on either side
+        report = report.join(F.broadcast(_distinct_digests(df, chosen)), "position", "left").withColumn(
+            "distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    return report.select("position", "column", "type", "total", "distinct_count", "null_count", "min_value", "max_value",
+                         _percentage(F.col("null_count"), F.col("total")).alias("null_percentage"))
 
 
 def quality_issues(report: DataFrame) -> DataFrame:

@@ -101,6 +101,12 @@ def strict_load_to(raw: DataFrame, contract: TableContract, path: str) -> int:
     return rows
 
 
+def strict_publish(raw: DataFrame, contract: TableContract, target: str) -> int:
+    """As :func:`strict_load_to`, as a new version of a published table; for object stores."""
+    from tablepact.sources.published import publish
+    return publish(strict_load(raw, contract), target).rows
+
+
 def breaks_load(raw: DataFrame, contract: TableContract) -> Column:
     """True for rows a strict load would refuse (key uniqueness aside)."""
     bad = F.lit(False)
