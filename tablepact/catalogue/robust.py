@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablepact import faults
 from tablepact.catalogue.cleaning import CLEAN_ORDERS_SQL
-from tablepact.catalogue.checking import ORDER_CHECKS
+from tablepact.catalogue.checking import ORDER_CHECKS, results_sql
 from tablepact.catalogue.registry import query, scratch
 from tablepact.catalogue.sources import STRICT_ORDERS, TABLES, TEXT_ORDERS
 from tablepact.contract import TableContract
@@ -305,6 +305,31 @@ def stored_report(spark, sf_dir):
         "source_row_count", "output_row_count", "output_table")
 
 
+@query("stored_report_entries", "S13 G15", results_sql(f"({CLEAN_ORDERS_SQL})", ORDER_CHECKS))
+def stored_report_entries(spark, sf_dir):
+    """Every entry of a stored report, read back from its array."""
+    raw = faults.table(spark, sf_dir, "dirty_orders")
+    cleaned = clean(raw, ORDERS)
+    made = K.report(K.run_checks(cleaned, K.generate_checks(ORDERS, "orders_clean")), cleaned, raw, "orders", "orders_clean")
+    path = scratch(spark, "whole-report")
+    sinks.save_report(made, path)
+    return sinks.load_report(spark, path, made.schema).select(F.explode("check_results").alias("r")).select(
+        "r.check_id", "r.actual", "r.status")
+
+
+@query("numbered_in_order", "R6 S3", """
+SELECT row_number() OVER (ORDER BY c_custkey) AS row_number, CAST(c_custkey AS VARCHAR) AS id FROM customer""")
+def numbered_in_order(spark, sf_dir):
+    """Every row with its number, over the blocks of files whose names follow the order of the rows."""
+    path, numbered = scratch(spark, "ordered-csv"), scratch(spark, "numbered")
+    rows = faults.table(spark, sf_dir, "dirty_users").withColumn("_key", F.col("id").cast("long"))
+    (rows.repartitionByRange(5, "_key").sortWithinPartitions("_key").drop("_key").write.option("header", True)
+     .option("escape", '"').option("emptyValue", "").csv(path))
+    with blocks_of(spark, "64k"):
+        files.with_line_numbers(files.read_rows(spark, path)).select("row_number", "id").write.parquet(numbered)
+    return spark.read.parquet(numbered)
+
+
 @query("source_files_read", "S4 S5 X1", " UNION ALL ".join(
     f"SELECT '{t}' AS name, count(*) AS rows, true AS has_size FROM {t}" for t in TABLES))
 def source_files_read(spark, sf_dir):
