@@ -11,7 +11,7 @@ from tablepact.catalogue.cleaning import (
     CLEAN_USERS_SQL,
     LINEITEM,
 )
-from tablepact.catalogue.registry import query, scratch, union_counts
+from tablepact.catalogue.registry import ENTRIES, query, scratch, union_counts
 from tablepact.contracts import ORDERS, ROW_CHECK_USERS, TRANSACTIONS, USERS
 from tablepact.operators import checks as K
 from tablepact.operators import consistency as H
@@ -461,13 +461,28 @@ def clean_check_and_write_orders(spark, sf_dir):
     return results.select("check_id", "actual", "status")
 
 
-@query("clean_and_check_lineitem", "K18 G2 G4 G5 G6 G13", """
-WITH t AS (SELECT * FROM lineitem)
-SELECT 'lineitem_row_count' AS check_id, count(*) AS actual, 'PASS' AS status FROM t
-""" + "".join(f" UNION ALL SELECT 'lineitem_{c}', CAST(0 AS BIGINT), 'PASS'" for c in (
-    [f"{n}_{k}" for n in LINEITEM.names for k in ("not_null", "type_check")]
-    + ["l_quantity_min", "l_quantity_max", "l_extendedprice_min", "l_extendedprice_max", "l_discount_max",
-       "l_returnflag_enum", "l_linestatus_enum", "l_shipdate_date_valid"])))
+def _lineitem_violations():
+    """What each generated check counts, in SQL over the cleaned table; its types are those of the contract."""
+    for rule in LINEITEM.columns:
+        n, bounds = rule.name, rule.constraints
+        yield f"{n}_not_null", f"{n} IS NULL"
+        yield f"{n}_type_check", "false"
+        if "min" in bounds:
+            yield f"{n}_min", f"{n} < {bounds['min']}"
+        if "max" in bounds:
+            yield f"{n}_max", f"{n} > {bounds['max']}"
+        if rule.enum:
+            yield f"{n}_enum", f"{n} NOT IN ({', '.join(repr(v) for v in rule.enum)})"
+        if rule.type == "date":
+            yield f"{n}_date_valid", f"{n} IS NOT NULL AND try_cast({n} AS DATE) IS NULL"
+
+
+@query("clean_and_check_lineitem", "K18 G2 G4 G5 G6 G13", f"""
+WITH t AS ({ENTRIES["clean_lineitem"].sql}), c AS (
+SELECT 'lineitem_row_count' AS check_id, count(*) AS actual, count(*) > 0 AS fine FROM t
+""" + "".join(f" UNION ALL SELECT 'lineitem_{name}', count(*), count(*) = 0 FROM t WHERE {condition}"
+              for name, condition in _lineitem_violations()) + """)
+SELECT check_id, actual, CASE WHEN fine THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def clean_and_check_lineitem(spark, sf_dir):
     return flows.clean_and_check(dirty(spark, sf_dir, "lineitem").select(*LINEITEM.names), LINEITEM, "lineitem").select(
         "check_id", "actual", "status")
