@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, partitions, slices, table, written, written_to
+from tablepact.llm.common import columns, free, partitions, slices, table, written, written_to
 from tablepact.sources.sinks import drop_folder
 
 #: Words of an n-gram and the least similarity of a link.
@@ -618,14 +618,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = written(keys.where("n_grams > 0").join(stays, "digest").where("_key <> _stays").select("_key").distinct(), "gone")
     again = written(keys.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")
                     .join(gone, "_key", "left_anti"), "again")
-    keyed = docs.withColumn("_key", document_key(digests(F.col("text").cast("binary")), F.col("doc_id")))
-    kept = sized_join(keyed, gone, "_key", "left_anti")
+    key, bare = free(docs, "_key", "_bare")  # the documents may have columns of any names
+    gone, again = gone.withColumnRenamed("_key", key), again.withColumnRenamed("_key", key)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(key, document_key(digests(F.col("text").cast("binary")), F.col("doc_id")))
+    kept = sized_join(keyed, gone, key, "left_anti")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = sized_join(kept, again, "_key", "left_anti")
-    wordless = F.substring("_key", 1, 16) == F.lit(_digest([]))
-    repeated = sized_join(kept, again, "_key", "left_semi").withColumn("_bare", F.when(wordless, F.col("text")))
-    return once.unionByName(repeated.dropDuplicates(["_key", "_bare"]).drop("_bare")).select(*docs.columns)
+        return kept.select(*own)
+    once = sized_join(kept, again, key, "left_anti")
+    wordless = F.substring(key, 1, 16) == F.lit(_digest([]))
+    repeated = sized_join(kept, again, key, "left_semi").withColumn(bare, F.when(wordless, F.col("text")))
+    return once.unionByName(repeated.dropDuplicates([key, bare]).drop(bare)).select(*own)
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

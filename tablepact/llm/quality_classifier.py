@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, held_out, table
+from tablepact.llm.common import columns, free, held_out, table
 from tablepact.llm.quality_rules import trusted_ids, with_flag
 
 #: Buckets of hashed byte trigrams.
@@ -223,6 +223,11 @@ def minimise(unlabelled: np.ndarray, positive: np.ndarray, prior: float) -> np.n
     for _ in range(STEPS):
         gain, rest, d_gain, d_rest = parts(w)
         risk = gain + max(0.0, rest) + float(penalty @ w ** 2) / 4
+        if not risk < 1e3 * max(1.0, abs(least)):  # the step was too long: again from the best so far, half as far
+            if best is w:
+                break
+            w, step = best, step / 2
+            continue
         if risk < least - 1e-12:
             best, least = w, risk
         w = w + step * d_rest if rest < 0 else w - step * (d_gain + d_rest)
@@ -294,8 +299,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str =
 
 
 def passed(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents whose score reaches the cut, with their own columns."""
-    return scored(docs, fit(docs, labels), "_score").where(F.col("_score") >= cut).drop("_score")
+    """The documents whose score reaches the cut, with their own columns, whatever their names."""
+    score, = free(docs, "_score")
+    return scored(docs, fit(docs, labels), score).where(F.col(score) >= cut).drop(score)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, table
+from tablepact.llm.common import columns, free, table
 
 #: Buckets of the multinomials; also the most values ever sent to the driver.
 BUCKETS = 1 << 16
@@ -159,13 +159,14 @@ def judged(docs: DataFrame, ratios: list[int], threshold: float = THRESHOLD) ->
     are judged alike and all stay; columns of the documents that have a result's
     name are replaced.  Nothing is shuffled.
     """
-    staged = docs.withColumn("_words", word_array(F.col("text")))
-    for name, value in base_counts(F.col("text"), F.col("_words")).items():
+    words, = free(docs, "_words")
+    staged = docs.withColumn(words, word_array(F.col("text")))
+    for name, value in base_counts(F.col("text"), F.col(words)).items():
         staged = staged.withColumn(name, value)
-    return (staged.withColumn("score", mean_ratio(F.col("_words"), ratios))
+    return (staged.withColumn("score", mean_ratio(F.col(words), ratios))
             .withColumn("base_failed", (F.col("n_words") < 50)
                         | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_words"))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop(words))
 
 
 def passed(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, table, written
+from tablepact.llm.common import columns, free, table, written
 
 #: Characters of the longest context.
 ORDER = 4
@@ -158,16 +158,17 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, label: str | None =
     """
     host, path = host_and_path(F.col("url"))
     staged = pages.withColumn("host", host).withColumn("path", path)
-    staged = staged.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
-    say = F.col(f"`{label}`") if label else F.col("_rule.verdict")
+    fitting, = free(staged, "_rule")
+    staged = staged.withColumn(fitting, best_rule(F.col("host"), F.col("path"), rules))
+    say = F.col(f"`{label}`") if label else F.col(f"{fitting}.verdict")
     urls = written(staged.where("url is not null").groupBy("url").agg(
         F.count_if(say == "allow").alias("good"), F.count_if(say == "block").alias("bad")), "urls")
     scored = written(scores(urls, log_ratios(urls)).join(urls, "url"), "url-scores")
     cut = threshold(scored)
     verdict = F.when(F.col("score") < F.lit(cut), "block").otherwise("allow")
     return (staged.drop("score").join(scored.select("url", "score"), "url", "left")
-            .withColumn("rule", F.col("_rule.rule"))
-            .withColumn("verdict", F.coalesce(F.col("_rule.verdict"), verdict)).drop("_rule"))
+            .withColumn("rule", F.col(f"{fitting}.rule"))
+            .withColumn("verdict", F.coalesce(F.col(f"{fitting}.verdict"), verdict)).drop(fitting))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,3 +13,20 @@ def test_ids_of_several_texts_and_rows_without_id(spark):
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
     kept = {r["row"] for r in chosen_path.one_of_each(docs).collect()}
     assert kept - {5, 6, 7} == {0, 2, 9, 10, 11, 12} and len(kept & {5, 6, 7}) == 1
+
+
+def test_documents_keep_columns_of_any_name(spark):
+    """Names the operators use themselves come back as they were."""
+    from tablepact.llm import quality_classifier, quality_rules, url_filter
+    words = " ".join(f"w{i}" for i in range(80)) + "."
+    rows = [(1, words, "k", 7, "s"), (2, words, "l", 8, "t"), (2, words, "l", 8, "t"), (3, "", "m", 9, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _bare int, _Score string")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {(r["doc_id"], r["_key"], r["_bare"]) for r in chosen_path.one_of_each(docs).collect()} == {(1, "k", 7), (3, "m", 9)}
+    kept = quality_classifier.passed(docs, labels, 0.0)
+    assert kept.columns == docs.columns and {r["_Score"] for r in kept.collect()} == {"s", "t", "u"}
+    named = docs.withColumnRenamed("_bare", "_words")
+    judged = quality_rules.judged(named, quality_rules.fit(named, labels))
+    assert {r["_words"] for r in judged.collect()} == {7, 8, 9}
+    pages = spark.createDataFrame([(1, "http://a.net/x", "r"), (2, "http://b.org/fr/y", "q")], "page_id long, url string, _rule string")
+    assert {r["_rule"] for r in url_filter.judged(pages).collect()} == {"q", "r"}
