@@ -16,7 +16,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Pieces of one of the two generations one worker keeps (about 200 bytes each).
-CACHE_PIECES = 700_000
+CACHE_PIECES = 550_000
 #: Longer pieces are encoded each time.
 LONG_PIECE = 64
 
