@@ -67,14 +67,25 @@ def numbered_rows(spark, sf_dir):
 FILE_NAME = r"([a-z]+)\.parquet$"
 
 
+def table_paths(sf_dir):
+    """Where each table lies: a file, or a folder of files where it is larger."""
+    return {t: f"{sf_dir}/{t}.parquet" for t in TABLES}
+
+
+def with_row_counts(spark, sf_dir, listed):
+    """What the listing says of each table beside the rows read from it."""
+    counted = catalog.count_tables({t: faults.table(spark, sf_dir, t) for t in TABLES})
+    return listed.join(F.broadcast(counted), listed.name == counted.table)
+
+
 @query("valid_source_files", "S4", " UNION ALL ".join(
     f"SELECT '{t}' AS name, count(*) > 0 AS is_valid FROM {t}" for t in TABLES))
 def valid_source_files(spark, sf_dir):
-    for name in TABLES:
-        files.validate_source(spark, f"{sf_dir}/{name}.parquet")
-    found = files.file_metadata(spark, f"{sf_dir}/*.parquet")
-    return found.select(F.regexp_extract("path", FILE_NAME, 1).alias("name"),
-                        (F.col("size_bytes") > 0).alias("is_valid"))
+    paths = table_paths(sf_dir)
+    for path in paths.values():
+        files.validate_sources(spark, path)
+    return with_row_counts(spark, sf_dir, files.source_metadata(spark, paths)).select(
+        "name", ((F.col("size_bytes") > 0) & (F.col("row_count") > 0)).alias("is_valid"))
 
 
 @query("file_metadata", "S5 X1")

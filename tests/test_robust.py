@@ -1,11 +1,14 @@
 """Inputs that are easy to get wrong: dates, late values and lines, headers, failing checks."""
 
 import datetime
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablepact import catalogue
+from tablepact.catalogue.sources import TABLES
 from tablepact.contract import TableContract
 from tablepact.functions import coerce as C
 from tablepact.functions import predicates as P
@@ -15,6 +18,8 @@ from tablepact.operators import consistency as H
 from tablepact.sources import catalog, files, strict
 from tablepact.streaming import logs as S
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_what_counts_as_a_date_is_kept_by_cleaning(spark):
     rng = random.Random(4)
@@ -169,3 +174,20 @@ def test_wide_keys_do_not_move_unique_texts(spark):
     assert [r.row_count for r in H.duplicate_keys(df, ["k"], wide=True).collect()] == [2]
     plan = H.duplicate_keys(df, ["k"], wide=True)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def folders_of(spark, tmp_path):
+    """The smallest tables; orders as a folder of three files, customer as a folder that holds no rows."""
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF_DIR}/{t}.parquet")
+    for t in ("orders", "customer"):
+        (tmp_path / f"{t}.parquet").unlink()
+        rows = spark.read.parquet(f"{SF_DIR}/{t}.parquet")
+        (rows.repartition(3) if t == "orders" else rows.limit(0)).write.parquet(str(tmp_path / f"{t}.parquet"))
+    return str(tmp_path)
+
+
+def test_sources_that_are_folders_are_valid(spark, tmp_path):
+    path = folders_of(spark, tmp_path)
+    valid = {r["name"]: r["is_valid"] for r in catalogue.queries()["valid_source_files"](spark, path).collect()}
+    assert valid == {t: t != "customer" for t in TABLES}
