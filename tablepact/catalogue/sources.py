@@ -64,9 +64,6 @@ def numbered_rows(spark, sf_dir):
         F.min("row_number").alias("first_number"), F.max("row_number").alias("last_number"))
 
 
-FILE_NAME = r"([a-z]+)\.parquet$"
-
-
 def table_paths(sf_dir):
     """Where each table lies: a file, or a folder of files where it is larger."""
     return {t: f"{sf_dir}/{t}.parquet" for t in TABLES}
@@ -96,8 +93,8 @@ def file_metadata(spark, sf_dir):
 @query("file_flags", "S5", " UNION ALL ".join(
     f"SELECT '{t}' AS name, true AS exists, true AS is_file, false AS is_directory, true AS has_readable_size" for t in TABLES))
 def file_flags(spark, sf_dir):
-    return files.file_metadata(spark, f"{sf_dir}/*.parquet").select(
-        F.regexp_extract("path", FILE_NAME, 1).alias("name"), "exists", "is_file", "is_directory",
+    return files.source_metadata(spark, table_paths(sf_dir)).select(
+        "name", "exists", "is_file", "is_directory",
         F.col("size_human").rlike(r"^[0-9]+\.[0-9] [KMGTP]?B$").alias("has_readable_size"))
 
 

@@ -191,3 +191,10 @@ def test_sources_that_are_folders_are_valid(spark, tmp_path):
     path = folders_of(spark, tmp_path)
     valid = {r["name"]: r["is_valid"] for r in catalogue.queries()["valid_source_files"](spark, path).collect()}
     assert valid == {t: t != "customer" for t in TABLES}
+
+
+def test_flags_of_sources_that_are_folders(spark, tmp_path):
+    path = folders_of(spark, tmp_path)
+    flags = catalogue.queries()["file_flags"](spark, path).collect()
+    assert sorted(r["name"] for r in flags) == sorted(TABLES)
+    assert {tuple(r)[1:] for r in flags} == {(True, True, False, True)}
