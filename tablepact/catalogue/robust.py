@@ -11,7 +11,7 @@ from tablepact import faults
 from tablepact.catalogue.cleaning import CLEAN_ORDERS_SQL
 from tablepact.catalogue.checking import ORDER_CHECKS, results_sql
 from tablepact.catalogue.registry import query, scratch
-from tablepact.catalogue.sources import STRICT_ORDERS, TABLES, TEXT_ORDERS
+from tablepact.catalogue.sources import STRICT_ORDERS, TABLES, TEXT_ORDERS, table_paths, with_row_counts
 from tablepact.contract import TableContract
 from tablepact.contracts import ORDERS
 from tablepact.operators import checks as K
@@ -334,12 +334,10 @@ def numbered_in_order(spark, sf_dir):
     f"SELECT '{t}' AS name, count(*) AS rows, true AS has_size FROM {t}" for t in TABLES))
 def source_files_read(spark, sf_dir):
     """Listed files beside the rows read from them."""
-    listed = files.file_metadata(spark, f"{sf_dir}/*.parquet").select(
-        F.regexp_extract("path", r"([a-z]+)\.parquet", 1).alias("name"),
-        ((F.col("size_bytes") > 0) & F.col("size_human").isNotNull()).alias("has_size"))
-    counted = catalog.count_tables({t: faults.table(spark, sf_dir, t) for t in TABLES})
-    return listed.join(F.broadcast(counted), listed.name == counted.table).select(
-        "name", F.col("row_count").alias("rows"), "has_size")
+    listed = files.source_metadata(spark, table_paths(sf_dir))
+    has_size = (F.col("size_bytes") > 0) & F.col("size_human").isNotNull()
+    return with_row_counts(spark, sf_dir, listed).select(
+        "name", F.col("row_count").alias("rows"), has_size.alias("has_size"))
 
 
 @query("ingest_orders", "S10 S4", "SELECT count(*) AS rows, true AS loaded FROM orders")

@@ -198,3 +198,11 @@ def test_flags_of_sources_that_are_folders(spark, tmp_path):
     flags = catalogue.queries()["file_flags"](spark, path).collect()
     assert sorted(r["name"] for r in flags) == sorted(TABLES)
     assert {tuple(r)[1:] for r in flags} == {(True, True, False, True)}
+
+
+def test_rows_of_sources_that_are_folders(spark, tmp_path):
+    path = folders_of(spark, tmp_path)
+    read = catalogue.queries()["source_files_read"](spark, path).collect()
+    assert sorted(r["name"] for r in read) == sorted(TABLES) and all(r["has_size"] for r in read)
+    rows = {r["name"]: r["rows"] for r in read}
+    assert rows["customer"] == 0 and rows["orders"] == spark.read.parquet(f"{SF_DIR}/orders.parquet").count()
