@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablepact.functions import predicates as P
 from tablepact.functions.text import quoted, sql_literal
-from tablepact.plans.shapes import DIGEST_BUCKETS, Label, measure_rows, multiset_difference, repeated_only, status_when
+from tablepact.plans.shapes import Label, differing_digests, measure_rows, repeated_only, status_when
 
 # Acceptance thresholds of a run; time and memory are those of LIMIT_ROWS rows.
 MAX_SECONDS = 60.0
@@ -135,10 +135,9 @@ def throughput_status(metrics: DataFrame, rows: str = "rows", seconds: str = "se
 def idempotency(first: DataFrame, second: DataFrame) -> DataFrame:
     """Whether two runs gave the same rows, duplicates included.
 
-    Digests are compared first; rows are only exchanged where these differ.
+    Rows are compared by their digests, and each run is read once.
     """
-    difference = multiset_difference(first, second, DIGEST_BUCKETS)
-    return difference.agg(F.count(F.lit(1)).alias("differing_rows")).withColumn(
+    return differing_digests(first, second).agg(F.count(F.lit(1)).alias("differing_rows")).withColumn(
         "status", status_when(F.col("differing_rows") > 0))
 
 

@@ -146,6 +146,19 @@ def multiset_difference(left: DataFrame, right: DataFrame, buckets: int = 0) ->
             .filter(F.col("left_count") != F.col("right_count")))
 
 
+def differing_digests(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row for each different row whose multiplicity differs: its 128-bit digest, and how many more ``left`` has.
+
+    Each table is read once, and two digests and a count are shuffled for a row,
+    however long it is and however many rows differ.
+    """
+    columns = [F.col(quoted(c)) for c in left.columns]
+    tagged = left.select(*columns, F.lit(1).alias("_more")).unionAll(right.select(*columns, F.lit(-1).alias("_more")))
+    digests = [row_digest(tagged, left.columns, seed).alias(f"_d{seed}") for seed in range(2)]
+    return (tagged.select(*digests, "_more").groupBy("_d0", "_d1").agg(F.sum("_more").alias("_more"))
+            .where(F.col("_more") != 0))
+
+
 #: Words of the filter of repeated digests (64 bits each), which is broadcast whole.
 FILTER_WORDS = 1 << 19
 

@@ -120,3 +120,15 @@ def test_first_values_without_a_sort(spark):
         rows = {r["column"]: r["sample_values"] for r in found.collect()}
         assert len(rows["id"]) == len(rows["late"]) == 5 and rows["never"] == []
     assert rows["late"] == ["4999", "4998", "4997", "4996", "4995"] or sorted(rows["late"]) == ["4995", "4996", "4997", "4998", "4999"]
+
+
+def test_runs_are_compared_in_one_read_of_each(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 AS v").write.parquet(str(tmp_path / "run"))
+    run = spark.read.parquet(str(tmp_path / "run"))
+    other = run.withColumn("v", F.when(F.col("id") % 2 == 0, F.col("v")))
+    verdict = consistency.idempotency(run, other)
+    assert tuple(verdict.first()) == (1000, "FAIL")
+    plan = verdict._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    widened = run.withColumn("v", F.col("v").cast("int"))
+    assert tuple(consistency.idempotency(run, widened).first()) == (0, "PASS")
