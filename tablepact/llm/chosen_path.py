@@ -325,8 +325,9 @@ def near_leader(rows: DataFrame) -> DataFrame:
 def few_against_many(rows: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` for nodes whose texts are connected but for a few: these are compared with all.
 
-    ``main`` is the tag of most texts of a node.  The others, ``LIMIT`` at most, go
-    to every part of the node, so that a node of any size is many tasks' work.
+    ``main`` is the tag of most texts of a node; in rows of other tags it may be null.
+    These others, ``LIMIT`` at most, go to every part of the node, so that a node of any
+    size is many tasks' work.
     """
     least = least_estimate() * COORDINATES
     keys = ["path", "_part"]
@@ -351,7 +352,7 @@ def few_against_many(rows: DataFrame) -> DataFrame:
                      pa.array([part["digest"][b] for _, b in found], pa.binary())], names=["a", "b"])
 
     count = F.ceil(F.col("n") / PART).cast("int")
-    few = F.col("tag") != F.col("main")
+    few = ~F.col("tag").eqNullSafe(F.col("main"))
     own = F.pmod(F.xxhash64("digest", F.lit(23)), count).cast("int")
     dealt = rows.withColumn("few", few).withColumn("_part", F.explode(
         F.when(few, F.sequence(F.lit(0), count - 1)).otherwise(F.array(own)))).select(*keys, "few", "digest", "tag", "sketch")
@@ -383,19 +384,19 @@ def follow(texts: DataFrame, start: np.ndarray) -> DataFrame:
     found = None
     for level in range(1, DEPTH + 1):
         tag = F.col("mark") if level == 1 else F.col("tag")
-        nodes = (paths.groupBy("path").agg(F.count("*").alias("n"), F.min(tag).alias("_low"), F.max(tag).alias("_high"),
-                                           F.min("digest").alias("leader"))
-                 .where("n > 1 and _low < _high").select("path", "n", "leader"))
-        rows = paths.join(nodes, "path")
+        # What there is of each tag comes first: so the node's main tag is known, and no task counts a large node alone.
+        nodes = (paths.groupBy("path", tag.alias("_tag")).agg(F.count("*").alias("_c"), F.min("digest").alias("leader"))
+                 .groupBy("path").agg(F.sum("_c").alias("n"), F.count("*").alias("_tags"), F.min("leader").alias("leader"),
+                                      F.max(F.struct("_c", "_tag")).alias("_main"))
+                 .where("_tags > 1").select("path", "n", "leader", F.col("_main._tag").alias("_main"),
+                                            (F.col("n") - F.col("_main._c")).alias("_rest")))
+        rows = paths.join(nodes, "path").withColumn("_most", tag == F.col("_main"))
         if level == 1:
             rows = rows.join(texts.select("digest", "tag", "sketch"), "digest")
-        rows = written(rows.select("path", "n", "leader", "digest", "tag", "sketch"), f"paths{level}")
+        rows = written(rows.select("path", "n", "_rest", "leader", F.when(F.col("_most"), F.col("tag")).alias("main"), "digest", "tag", "sketch"), f"paths{level}")
         pairs = similar_pairs(rows.where(F.col("n") <= LIMIT))
         split = rows.where(F.col("n") > LIMIT)
         if not split.isEmpty():
-            tags = split.groupBy("path", "tag").agg(F.count("*").alias("_c")).groupBy("path").agg(
-                F.max_by("tag", "_c").alias("main"), F.max("_c").alias("_most"))
-            split = written(split.join(tags, "path").withColumn("_rest", F.col("n") - F.col("_most")).drop("_most"), f"tags{level}")
             # Nodes whose texts are connected but for a few are done with at once.
             pairs = pairs.union(few_against_many(split.where(F.col("_rest") <= LIMIT)))
             wide = split.where(F.col("_rest") > LIMIT)

@@ -507,3 +507,25 @@ def test_few_against_many(spark, monkeypatch):
         forest.join(int(bytes(r["a"])), int(bytes(r["b"])))
     groups = {forest.top(i) for i in range(120)}
     assert groups == {forest.top(0), forest.top(39)} and len(groups) == 2 and len(found) < 120
+
+
+def test_main_tags_of_nodes_take_no_join(spark, monkeypatch):
+    """A large group of near copies is joined with its nodes once for each level, and with their leaders."""
+    monkeypatch.setattr(chosen_path, "LIMIT", 8)
+    labels, real = [], chosen_path.written
+    monkeypatch.setattr(chosen_path, "written", lambda df, label: labels.append(label) or real(df, label))
+    base = np.random.default_rng(7).integers(0, 1 << 32, chosen_path.COORDINATES, np.uint32)
+    rows = []
+    for i in range(60):
+        near = base.copy()
+        near[i % chosen_path.COORDINATES] ^= np.uint32(i + 1)
+        rows.append((bytes([i]) * 16, bytes([i // 2]) * 16, near.tobytes()))
+    texts = spark.createDataFrame(rows, "digest binary, tag binary, sketch binary")
+    pairs = [(bytes(r["a"]), bytes(r["b"])) for r in chosen_path.follow(texts, chosen_path.roots(4)).collect()]
+    forest = chosen_path.Forest()
+    for i in range(0, 60, 2):
+        forest.join(i, i + 1)
+    for a, b in pairs:
+        forest.join(a[0], b[0])
+    assert len({forest.top(i) for i in range(60)}) == 1
+    assert "paths1" in labels and not [label for label in labels if label.startswith("tags")]
