@@ -30,6 +30,8 @@ from tablepact.plans.ordered import checkpoint_dir
 
 #: Blocks that begin inside quotes (16 bytes each) that are broadcast at most.
 BROADCAST_BLOCKS = 100_000
+#: Bytes that one task reads at least, where blocks are smaller and there are more of them than cores.
+TASK_BYTES = 32 << 20
 DELIMITER = ","
 
 _BOM = "﻿"
@@ -78,12 +80,18 @@ def _opens(line: Column, delimiter: str) -> Column:
     return F.when(line.contains('"'), F.aggregate(pieces, F.lit(False), after)).otherwise(F.lit(False))
 
 
-def _lines(spark: SparkSession, path) -> DataFrame:
+def tasks_for(spark: SparkSession, path) -> int:
+    """How many tasks read the files; several blocks of a small size are one task's work, one after the other."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def _lines(spark: SparkSession, path, tasks: int) -> DataFrame:
     """Lines with their file (as a hash), block and place; a row's lines are broken at ``\\n`` only."""
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.select("value", F.xxhash64(F.col("_metadata.file_path")).alias("file"),
                         F.col("_metadata.file_path").alias("path"),
-                        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+                        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).coalesce(tasks)
 
 
 @dataclass(frozen=True)
@@ -106,7 +114,7 @@ def survey(spark: SparkSession, path, delimiter: str = DELIMITER) -> Survey:
     Empty files have no header.  The names of the files are gathered only where
     headers differ, and then as many as the reader itself has to be given.
     """
-    per_file = written(_lines(spark, path).where(_filled("value")).groupBy("path").agg(
+    per_file = written(_lines(spark, path, tasks_for(spark, path)).where(_filled("value")).groupBy("path").agg(
         F.min_by("value", F.struct("block", "place")).alias("header"),
         F.bool_or(_opens(F.col("value"), delimiter)).alias("broken"))
         .withColumn("header", F.rtrim(_without_mark("header"), F.lit("\r"))), "headers")
@@ -277,7 +285,8 @@ def rows_of(spark: SparkSession, path, delimiter: str = DELIMITER) -> DataFrame:
     quotes both stay as they are.  A last row whose quotes are never closed ends
     with its file.  Empty files give no rows.
     """
-    lines = _lines(spark, path)
+    tasks = tasks_for(spark, path)
+    lines = _lines(spark, path, tasks)
     functions = written(block_functions(lines, delimiter), "blocks")
     # Few blocks begin inside quotes; of the others nothing has to be known.
     inside = written(entries(functions).where("inside"), "entered")
@@ -289,7 +298,7 @@ def rows_of(spark: SparkSession, path, delimiter: str = DELIMITER) -> DataFrame:
         "inside", F.coalesce("inside", F.lit(False)))
     if marks is inside:
         marked = marked.repartition("file", "block").sortWithinPartitions("file", "block", "place")
-    pieces = written(pieces_of(marked, delimiter), "pieces")
+    pieces = written(pieces_of(marked, delimiter), "pieces").coalesce(tasks)
     if pieces.join(functions, ["file", "block"], "left_anti").limit(1).count():
         raise RuntimeError("The files were split differently between two passes; set spark.sql.files.minPartitionNum")
     whole = pieces.where(F.col("kind") == WHOLE).select("file", "block", "piece", "row")
@@ -318,7 +327,8 @@ def fields_of(rows: DataFrame, headers: Sequence[tuple[str, ...]], names: Sequen
 
     def fields(header: Sequence[str]) -> Column:
         parsed = F.from_csv("row", _ddl(header), options)
-        return F.struct(*[parsed[n].alias(n) for n in names])
+        # Bound to a variable, so that a row is parsed once, not once for each field.
+        return F.transform(F.array(parsed), lambda row: F.struct(*[row[n].alias(n) for n in names]))[0]
 
     body = rows.where(~F.col("is_header"))
     if len(headers) == 1:

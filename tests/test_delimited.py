@@ -107,3 +107,20 @@ def test_folder_of_empty_files_is_refused(spark, tmp_path):
         files.validate_sources(spark, str(tmp_path))
     (tmp_path / "a.csv").write_text("a\n1\n")
     assert files.validate_sources(spark, str(tmp_path))["size_bytes"] == 4
+
+
+def test_small_blocks_share_tasks(spark, tmp_path, monkeypatch):
+    """Many small blocks are read by as many tasks as there are cores; rows across them stay whole."""
+    with open(tmp_path / "a.csv", "w", newline="") as out:
+        csv.writer(out).writerows([("a", "b"), *((str(i), f"x\ny,{i}" * 5) for i in range(3000))])
+    tasks, real = {}, delimited.written
+    monkeypatch.setattr(delimited, "written", lambda df, label: tasks.update({label: df.rdd.getNumPartitions()}) or real(df, label))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2k")
+    try:
+        rows = {tuple(r) for r in files.stage_csv(spark, str(tmp_path), ["b", "a"]).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert rows == {(f"x\ny,{i}" * 5, str(i)) for i in range(3000)}
+    assert tasks["blocks"] <= 8 and tasks["pieces"] <= 8
