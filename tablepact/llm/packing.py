@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tablepact.llm.common import ordered_text, slices, table
-from tablepact.llm.tokens import default_tokenizer, worker_tokenizer
+from tablepact.llm.common import ordered_text, table
+from tablepact.llm.tokens import default_tokenizer, text_parts, worker_tokenizer
 
 LENGTH = 2048
 #: What a cut costs, in ids of padding: at a sentence end, and elsewhere in a document.
@@ -186,8 +186,9 @@ def pack(docs: DataFrame, end_id: int = 1, length: int = LENGTH, tokenizer: str
             next_sequence += pieces[-1][3] + 1
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for part in slices(batches):
-            for doc_id, packed in zip(part["doc_id"], tokens.encode(part["text"]), strict=True):
+        for part in text_parts(batches):
+            for doc_id, packed in zip(part.column("doc_id").to_pylist(), tokens.encode_array(part.column("text")),
+                                      strict=True):
                 ids_here = np.frombuffer(packed, "<u4")
                 ends = [*(np.flatnonzero(marks[ids_here]) + 1).tolist(), len(ids_here) + 1]
                 held.append((doc_id, packed + end))

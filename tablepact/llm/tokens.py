@@ -1,52 +1,83 @@
 """Byte-level BPE ids of whole texts, as packed little-endian unsigned 32-bit integers.
 
-The tokenizer splits text into words before it merges bytes, and a blank between
-two characters that are no white space always starts a new word.  So a text can
-be cut before such blanks and the ids of each piece be kept: a worker encodes
-every distinct piece once, as long as it stays in a cache of bounded size.
+The tokenizer splits text into words before it merges bytes, and it always parts
+a blank or a line end between two characters that are no white space, and a mark
+or digit behind a letter, from what is before.  So the texts of a slice are cut there,
+the pieces are numbered by Arrow, and only the different ones are looked up: a
+worker encodes every distinct piece once, as long as it stays in a cache of
+bounded size.  The ids of the texts are then gathered by the pieces' numbers.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces of one of the two generations one worker keeps (about 200 bytes each).
 CACHE_PIECES = 550_000
 #: Longer pieces are encoded each time.
 LONG_PIECE = 64
-
-_BESIDE_SPACE = re.compile(r" (?:(?<=\s )|(?=\s))")
-_WHITE = re.compile(r"\s")
-#: Marks behind a word of Latin letters are a token sequence of their own.
-_ENDING = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,!?;:]+)")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of text whose pieces are numbered together.
+PART_BYTES = 1 << 21
+
+_LATIN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_MARKS = bytes(b for b in range(33, 127) if b not in _LATIN)
+#: One word of Latin letters, with the blank before it, as bytes.
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_BARE = re.compile(rb" ?[^\x00-\x20\x80-\xff]+")
 _WORKER: dict[str, "WordTokenizer"] = {}
 
 
+def _flags(size: int, *on: int) -> np.ndarray:
+    out = np.zeros(size, bool)
+    out[list(on)] = True
+    return out
+
+
+_WHITE = [*range(9, 14), *range(28, 33)]
+#: First two bytes of white space of two or three bytes (and of some other characters).
+_WIDE = [0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]
+_MAY_PART = _flags(256, 10, 32, *_MARKS)
+_WHITE_NEXT = _flags(1 << 16, *[w << 8 | b for w in _WHITE for b in range(256)], *_WIDE)
+_WHITE_LAST = _flags(1 << 16, *[b << 8 | w for w in _WHITE for b in range(256)], *_WIDE[:2])
+_WHITE_WIDE = _flags(1 << 16, *_WIDE[2:])
+_LETTER_LAST = _flags(1 << 16, *[b << 8 | w for w in _LATIN for b in range(256)],
+                      *[0xC3 << 8 | b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies, by the bytes as Latin-1 characters."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordTokenizer:
     """Encodes with the tokenizers library, piece by piece."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         # What was met since the cache was full last, and what was met before that.
-        self.cache: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         # A tokenizer that normalises, adds a blank, or joins words is not cut.
-        import json
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # Their texts stand for one id each, wherever they are found: a text that holds one is encoded whole.
@@ -54,141 +85,142 @@ class WordTokenizer:
         before = spec.get("pre_tokenizer") or {}
         self.cuts = (spec.get("normalizer") is None and before.get("type") == "ByteLevel"
                      and before.get("use_regex", True) and not before.get("add_prefix_space", True))
-
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if self.cuts and len(line) == 1 else None
-        self.line_ids = np.asarray(line, "<u4").tobytes()
-        self.heads: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        # The same model for words whose bytes are written as the vocabulary writes them, one in a line.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = CharDelimiterSplit("\n")
+        self.written = _byte_characters()
+        del self.written[ord("\n")]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [*map(len, vocabulary)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> tuple[str, list[str]]:
-        """A first piece and further ones, each of which follows a blank."""
-        if not self.cuts or any(t in text for t in self.added):
-            return text, []
-        if _BESIDE_SPACE.search(text):
-            first, *rest = _SAFE_CUT.split(text)
-            return first, rest
-        first, *rest = text.split(" ")
-        return first, rest
-
-    def encode_pieces(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
-        """Pieces of every text and the packed ids of each."""
+    def cut(self, raw: np.ndarray) -> np.ndarray:
+        """Positions in texts that follow one another at which pieces may begin."""
+        at = np.flatnonzero(_MAY_PART[raw])
+        near = np.zeros(raw.size + 5, np.uint16)
+        near[3:-2] = raw
+        here, last, next_ = near[at + 3], near[at + 1] << 8 | near[at + 2], near[at + 4] << 8 | near[at + 5]
+        blank = here <= 32
+        between = ~(_WHITE_LAST[last] | _WHITE_WIDE[near[at] << 8 | near[at + 1]] | _WHITE_NEXT[next_])
+        line = at[blank & between & (here == 10)] + 1
+        return np.concatenate([at[np.where(blank, between, _LETTER_LAST[last])], line])
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of every text of a column without nulls, in order."""
+        if not len(texts):
+            return []
+        if not self.cuts:
+            return self.whole(texts.to_pylist())
+        texts = texts.cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+        bounds = bounds - bounds[0]
+        begins = np.zeros(raw.size + 1, bool)
+        begins[self.cut(raw)] = True
+        for token in self.added:
+            for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                begins[bounds[i]:bounds[i + 1]] = False
+        begins[bounds] = True
+        places = np.flatnonzero(begins)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(places) - 1,
+                                       [None, pa.py_buffer(places), pa.py_buffer(raw)]).dictionary_encode()
+        found = self.ids_of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        which = pieces.indices.to_numpy()
+        size = sizes[which]
+        ends = np.r_[0, np.cumsum(size)]
+        places_in_pool = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], size)
+        places_in_pool += np.arange(ends[-1])
+        ids = pool[places_in_pool].tobytes()
+        edges = (4 * ends[np.searchsorted(places, bounds)]).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of every text, in order."""
+        return self.encode_array(pa.array(texts, pa.large_string()))
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of different pieces, from the cache or the tokenizer."""
         if len(self.cache) > CACHE_PIECES:
             self.cache, self.before = {}, self.cache
-        cache, before = self.cache, self.before
-        out, gaps, new = [], [], set()
-        for text in texts:
-            first, words = self.pieces(text)
-            ids = [*map(cache.get, words)]
-            if None in ids:
-                holes = []
-                for i, value in enumerate(ids):
-                    if value is None:
-                        word = words[i]
-                        value = before.get(word)
-                        if value is None:
-                            holes.append(i)
-                            new.add(word)
-                        else:
-                            ids[i] = cache[word] = value
-                if holes:
-                    gaps.append((words, ids, holes))
-            out.append((first, words, ids))
-        found = self.follow(list(new))
-        for words, ids, holes in gaps:
-            for i in holes:
-                ids[i] = found[words[i]]
-        cache.update((w, v) for w, v in found.items() if len(w) <= LONG_PIECE)
-        heads = self.whole([first for first, _, _ in out])
-        return [([first, *words], [head, *ids]) for (first, words, ids), head in zip(out, heads, strict=True)]
-
-    def follow(self, words: list[str]) -> dict[str, bytes]:
-        """Packed ids of pieces that follow a blank.
-
-        A piece is taken apart further where the tokenizer always parts: at single
-        line ends, and between a word of letters and the marks behind it.  So fewer
-        different words are encoded.
-        """
-        if self.line is None:
-            return dict(zip(words, self.whole([" " + w for w in words]), strict=True))
-        parted, odd, known, heads = [], [], {}, {}
-        for word in words:
-            parts = [*map(_parted, word.split("\n"))] if "\n" in word else [_parted(word)]
-            if None in parts:
-                odd.append(word)
-                continue
-            parted.append((word, parts))
-            known[parts[0][0]] = None
-            for bare, _ in parts[1:]:
-                heads[bare] = None
-        known = self.among(self.cache, self.before, known, " ")
-        heads = self.among(self.heads, {}, heads, "")
-        found = dict(zip(odd, self.whole([" " + w for w in odd]), strict=True))
-        for word, parts in parted:
-            bare, marks = parts[0]
-            ids = known[bare] + self.marks_of(marks) if marks else known[bare]
-            for bare, marks in parts[1:]:
-                ids += self.line_ids + heads[bare] + self.marks_of(marks)
-            found[word] = ids
-        self.cache.update((w, v) for w, v in known.items() if len(w) <= LONG_PIECE)
-        if len(self.heads) > CACHE_PIECES // 4:
-            self.heads = {}
-        self.heads.update((w, v) for w, v in heads.items() if len(w) <= LONG_PIECE)
+        found = [*map(self.cache.get, pieces)]
+        kept, new = {}, {}
+        for i in [i for i, value in enumerate(found) if value is None]:
+            value = self.before.get(pieces[i])
+            if value is None:
+                new[pieces[i]] = i
+            else:
+                found[i] = kept[pieces[i]] = value
+        self.cache.update(kept)
+        if new:
+            for piece, ids in self.fresh([*new]):
+                found[new[piece]] = ids
+                if len(piece) <= LONG_PIECE:
+                    self.cache[piece] = ids
         return found
 
-    def marks_of(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks = {}
-            self.marks[marks] = self.whole([marks])[0] if marks else b""
-        return self.marks[marks]
-
-    def among(self, cache: dict[str, bytes], before: dict[str, bytes], words: Iterable[str], lead: str) -> dict[str, bytes]:
-        """Packed ids of words without white space that follow ``lead``, from the caches or the tokenizer."""
-        out, new = {}, []
-        for word in words:
-            ids = cache.get(word) or before.get(word)
-            if ids is None:
-                new.append(word)
+    def fresh(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Pieces and their packed ids, from the tokenizer."""
+        letters, blank, bare, others = [], [], [], []
+        for piece in pieces:
+            if _LETTERS.fullmatch(piece):
+                letters.append(piece)
+            elif self.line is None or not _BARE.fullmatch(piece):
+                others.append(piece)
             else:
-                out[word] = ids
-        for group in _groups(new):
+                (blank if piece[0] == 32 else bare).append(piece)
+        for group in _groups(letters):
+            text = b"\n".join(group).decode("latin-1").translate(self.written)
+            ids = np.asarray(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([*map(len, group)])
+            read = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(read, ends)
+            if last[-1] != len(ids) - 1 or (read[last] != ends).any():  # ids that are not made of their bytes
+                others += group
+                continue
+            yield from zip(group, _split(ids, (last + 1).tolist()), strict=True)
+        for group in [*_groups(blank), *_groups(bare)]:
             # Several words as one text, each but the first behind a line end, which is a token of its own there.
             ids = np.asarray(self.tokenizer.encode_batch_fast(
-                [lead + f"\n{lead}".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*(np.flatnonzero(ids == self.line) * 4).tolist(), 4 * len(ids)]
-            if len(ends) != len(group):  # the line end's token is part of a word after all
-                out.update(zip(group, self.whole([lead + w for w in group]), strict=True))
+                [b"\n".join(group).decode()], add_special_tokens=False)[0].ids, np.int64)
+            line = ids == self.line
+            if line.sum() != len(group) - 1:  # the line end's token is part of a word after all
+                others += group
                 continue
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(group, ends, strict=True):
-                out[word] = raw[at:end]
-                at = end + 4
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of every text, in order."""
-        return [b"".join(ids) for _, ids in self.encode_pieces(texts)]
+            ends = np.r_[np.flatnonzero(line), ids.size] - np.arange(len(group))
+            yield from zip(group, _split(ids[~line], ends.tolist()), strict=True)
+        for group in _groups(others):
+            yield from zip(group, self.whole([piece.decode() for piece in group]), strict=True)
 
 
-def _parted(word: str) -> tuple[str, str] | None:
-    """A word and the marks behind it; none if it is empty or holds white space."""
-    if word.isalpha():
-        return word, ""
-    if ended := _ENDING.fullmatch(word):
-        return ended.groups()
-    return None if not word or _WHITE.search(word) else (word, "")
+def _split(ids: np.ndarray, ends: list[int]) -> list[bytes]:
+    """The packed ids up to each end."""
+    packed = ids.astype("<u4").tobytes()
+    return [packed[4 * a:4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _groups(pieces: list[str], size: int = 2048):
+def _groups(pieces: list[bytes], size: int = 1024):
     for start in range(0, len(pieces), size):
         yield pieces[start:start + size]
 
 
+def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have about ``PART_BYTES`` bytes together, or one row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes) - sizes) // PART_BYTES
+        edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]][:batch.num_rows]).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:], strict=False):
+            yield batch.slice(start, end - start)
+
+
 def worker_tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of this worker process, with its cache.
 
