@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablepact.llm.common import ordered_text, scratch, slices, table
-from tablepact.llm.tokens import default_tokenizer, worker_tokenizer
+from tablepact.llm.tokens import default_tokenizer, text_parts, worker_tokenizer
 
 #: Ids after which a block ends with the document at hand, and ids of a segment.
 BLOCK_IDS = 1 << 20
@@ -44,13 +44,15 @@ def _bucket(code: np.ndarray, bits: int, turn: int) -> np.ndarray:
     return (((mixed >> np.uint64(32)) ^ mixed) * _MIX >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _alternate(at: np.ndarray) -> np.ndarray:
-    """Of ascending positions, the first, third, ... of each run of neighbours, whose pairs overlap."""
-    if at.size == 0:
-        return at
-    order = np.arange(at.size)
-    start = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], order, 0))
-    return at[(order - start) % 2 == 0]
+def _alternating(at: np.ndarray) -> np.ndarray:
+    """Which of ascending positions are the first, third, ... of a run of neighbours, whose pairs overlap."""
+    out = np.ones(at.size, bool)
+    beside = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+    if beside.size:
+        order = np.arange(beside.size)
+        start = np.maximum.accumulate(np.where(np.r_[True, beside[1:] != beside[:-1] + 1], order, 0))
+        out[beside[(order - start) % 2 == 0]] = False
+    return out
 
 
 def _one_by_one(at: np.ndarray, which: np.ndarray, counts: np.ndarray, min_pairs: int,
@@ -65,7 +67,7 @@ def _one_by_one(at: np.ndarray, which: np.ndarray, counts: np.ndarray, min_pairs
     for i in np.argsort(-counts[names], kind="stable"):
         places = groups[i]
         free = places[~(taken[places] | taken[places + 1])]
-        own = _alternate(free)
+        own = free[_alternating(free)]
         if len(own) >= min_pairs:
             taken[own] = taken[own + 1] = True
             chosen.append(own)
@@ -104,21 +106,24 @@ def compress(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np
         pairs[bucket] = code
         # One pair for each bucket; others that share it wait for a round whose buckets differ.
         own = pairs[bucket] == code
-        counts = np.bincount(bucket, own, 1 << bits).astype(np.int32)
-        active[at[own & (counts[bucket] < min_pairs)]] = False
-        often = own & (counts[bucket] >= min_pairs)
         waiting = not own.all()
-        at, which = at[often], bucket[often]
+        if waiting:
+            at, bucket = at[own], bucket[own]
+        counts = np.bincount(bucket, minlength=1 << bits).astype(np.int32)
+        hits = counts[bucket]
+        often = hits >= min_pairs
+        active[at[~often]] = False
+        at, which, hits = at[often], bucket[often], hits[often]
         if at.size == 0:
             per_round += [0] if waiting else []
             if waiting:
                 continue
             break
         count = np.zeros(seq.size + 1, np.int32)
-        count[at] = counts[which]
-        top = (count[at] >= count[at - 1]) & (count[at] >= count[at + 1])  # count[-1] is of no pair
-        chosen = _alternate(at[top])
-        kind = which[top][np.searchsorted(at[top], chosen)]
+        count[at] = hits
+        top = np.flatnonzero((hits >= count[at - 1]) & (hits >= count[at + 1]))  # count[-1] is of no pair
+        top = top[_alternating(at[top])]
+        chosen, kind = at[top], which[top]
         enough = np.bincount(kind, minlength=1 << bits) >= min_pairs
         if not enough.any():  # equally frequent pairs in each other's way: one after the other
             chosen, kind, never = _one_by_one(at, which, counts, min_pairs, seq.size)
@@ -126,19 +131,22 @@ def compress(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np
             enough = np.bincount(kind, minlength=1 << bits) > 0
             if not chosen.size:
                 continue
-        chosen, kind = chosen[enough[kind]], kind[enough[kind]]
-        number = np.cumsum(enough) - 1
-        seq[chosen] = base + total + number[kind]
+        used = enough[kind]
+        chosen, kind = chosen[used], kind[used]
+        made = np.flatnonzero(enough)
+        number = np.empty(1 << bits, np.int32)
+        number[made] = np.arange(made.size)
+        seq[chosen] = number[kind] + np.int64(base + total)
         active[chosen] = True
         active[np.maximum(chosen - 1, 0)] = True
         keep = np.ones(seq.size, bool)
         keep[chosen + 1] = False
         seq, active = seq[keep], active[keep]
-        rules.append(np.stack([pairs[enough] >> 32, pairs[enough] & 0xFFFFFFFF], axis=1))
-        per_round.append(int(enough.sum()))
+        rules.append(np.stack([pairs[made] >> 32, pairs[made] & 0xFFFFFFFF], axis=1))
+        per_round.append(made.size)
         total += per_round[-1]
-    made = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return made, np.asarray(per_round, np.int64), seq
+    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return pairs, np.asarray(per_round, np.int64), seq
 
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
@@ -294,8 +302,9 @@ def encode_blocks(docs: DataFrame, path: str, end_id: int, tokenizer: str | None
                  pa.array([total], pa.int64()), pa.array([pack_block(held, kept)], pa.binary())],
                 names=["shard", "block", "n_docs", "n_tokens", "payload"])
 
-        for part in slices(batches):
-            for doc_id, packed in zip(part["doc_id"], words.encode(part["text"]), strict=True):
+        for part in text_parts(batches):
+            for doc_id, packed in zip(part.column("doc_id").to_pylist(), words.encode_array(part.column("text")),
+                                      strict=True):
                 held.append(doc_id)
                 kept.append(packed + end)
                 total += len(packed) // 4 + 1

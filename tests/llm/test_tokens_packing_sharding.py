@@ -108,6 +108,12 @@ def test_grammar_expands_to_what_it_was_made_of(ids, least):
     assert lengths.tolist() == [len(grammar.expand(np.asarray([6 + i]), rules, 6)) for i in range(len(rules))]
 
 
+def test_every_other_position_of_a_run():
+    at = np.asarray([0, 1, 2, 3, 7, 9, 10, 20, 21, 22])
+    assert at[grammar._alternating(at)].tolist() == [0, 2, 7, 9, 20, 22]
+    assert grammar._alternating(at[:0]).tolist() == []
+
+
 def test_rules_replace_frequent_pairs():
     ids = np.asarray([1, 2] * 500 + [3], np.uint32)
     rules, _, seq = grammar.compress(ids, 4)
