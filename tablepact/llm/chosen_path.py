@@ -27,13 +27,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, free, partitions, slices, table, written, written_to
+from tablepact.llm.common import SLICE_ROWS, columns, free, let_go, partitions, slices, table, tidy, written, written_to
 from tablepact.sources.sinks import drop_folder
 
 #: Words of an n-gram and the least similarity of a link.
@@ -136,6 +135,7 @@ _SIGNED = "doc_id long, digest binary, n_grams int, sketch binary"
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Digest of the words, number of n-grams and embedding of every text."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for part in slices(batches):
@@ -178,6 +178,7 @@ def _sketches(values: list[bytes]) -> np.ndarray:
 def first_level(texts: DataFrame, start: np.ndarray) -> DataFrame:
     """``path``, ``digest`` and a ``mark`` of the tag, for the children of the given roots."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
             held = _sketches(part["sketch"])
@@ -193,6 +194,7 @@ def first_level(texts: DataFrame, start: np.ndarray) -> DataFrame:
 
 def next_level(rows: DataFrame) -> DataFrame:
     """Children of the rows' nodes; each keeps its ``digest``, ``tag`` and ``sketch``."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
             row, path = children(np.asarray(part["path"], np.int64).view(np.uint64), _sketches(part["sketch"]))
@@ -275,6 +277,7 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
     least = least_estimate() * COORDINATES
     keys = ["path", "_i", "_j"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, keys):
             group, held = _group_numbers(part, keys), _sketches(part["sketch"])
@@ -305,6 +308,7 @@ def near_leader(rows: DataFrame) -> DataFrame:
     """Replace the tag of the rows that resemble the leader of their path by the leader."""
     least = least_estimate() * COORDINATES
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
             near = (_sketches(part["sketch"]) == _sketches(part["lead_sketch"])).sum(axis=1) >= least
@@ -332,6 +336,7 @@ def few_against_many(rows: DataFrame) -> DataFrame:
     least = least_estimate() * COORDINATES
     keys = ["path", "_part"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, keys):
             group, held = _group_numbers(part, keys), _sketches(part["sketch"])
@@ -431,6 +436,7 @@ def components(pairs: DataFrame) -> DataFrame:
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
+    @tidy
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[bytes, int] = {}
         ends = [(names.setdefault(a, len(names)), names.setdefault(b, len(names)))
@@ -482,6 +488,7 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     group.  Rows ``a``, ``b``, ``links``: either a pair of the spanning forest
     (``links`` is null) or a number of links of ``a`` (``b`` is null).
     """
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for part in slices(batches):
@@ -498,6 +505,7 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     keys = ["least", "_i", "_j"]
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, keys):
             group = _group_numbers(part, keys)
@@ -605,9 +613,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     several rows of the kept document one stays.  Texts without words stay, one
     row for each id and text.  Other columns stay as they are.
     """
-    @F.pandas_udf("binary")
-    def digests(texts: pd.Series) -> pd.Series:
-        return pd.Series([_digest((t or b"").split()) for t in texts], dtype=object)
+    @F.arrow_udf("binary")
+    def digests(texts: pa.Array) -> pa.Array:
+        found = [_digest((t or b"").split()) for start in range(0, len(texts), SLICE_ROWS)
+                 for t in texts.slice(start, SLICE_ROWS).to_pylist()]
+        let_go()
+        return pa.array(found, pa.binary())
 
     signed, named = classed(docs)
     named = written(named.select("digest", "doc_id", "least"), "named")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,8 @@ from tablepact.plans.ordered import checkpoint_dir
 
 #: Rows turned into Python objects at once.
 SLICE_ROWS = 256
+#: What a worker process keeps from task to task.
+_KEPT: list[dict] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +73,36 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
 
+def kept() -> dict:
+    """A table that lives as long as the worker process, or until an operator that does not need it begins."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def let_go() -> None:
+    """Empty the tables that operators keep in this worker, and give free memory back to the system.
+
+    Workers are shared by all operators of a session, next to an executor that
+    needs its memory; Arrow and the C library hold on to what was freed.
+    """
+    for held in _KEPT:
+        held.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same task on batches, in a worker that keeps nothing of other operators before and nothing behind it."""
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(batches)
+        let_go()
+    return tidied
+
+
 def ordered_text(docs: DataFrame, n: int | None = None) -> DataFrame:
     """``doc_id`` and ``text`` ranged and sorted by id, null ids first, ties by text.
 

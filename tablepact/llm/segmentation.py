@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, slices, table, written
+from tablepact.llm.common import columns, kept, slices, table, written
 from tablepact.llm.tokens import text_parts
 
 #: Characters of a chunk, and chunks of a block.
@@ -51,7 +51,7 @@ REACH = 24
 
 MARK = "▁"
 _CUT = re.compile(f"(?<=[^{MARK}]){MARK}")
-_WORKER: dict[str, "Pieces"] = {}
+_WORKER: dict[str, "Pieces"] = kept()
 
 
 def default_model() -> str:

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tablepact.llm.common import kept
+
 #: Pieces of one of the two generations one worker keeps (about 200 bytes each).
 CACHE_PIECES = 550_000
 #: Longer pieces are encoded each time.
@@ -32,7 +34,7 @@ _MARKS = bytes(b for b in range(33, 127) if b not in _LATIN)
 #: One word of Latin letters, with the blank before it, as bytes.
 _LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _BARE = re.compile(rb" ?[^\x00-\x20\x80-\xff]+")
-_WORKER: dict[str, "WordTokenizer"] = {}
+_WORKER: dict[str, "WordTokenizer"] = kept()
 
 
 def _flags(size: int, *on: int) -> np.ndarray:

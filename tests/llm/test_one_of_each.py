@@ -30,3 +30,24 @@ def test_documents_keep_columns_of_any_name(spark):
     assert {r["_words"] for r in judged.collect()} == {7, 8, 9}
     pages = spark.createDataFrame([(1, "http://a.net/x", "r"), (2, "http://b.org/fr/y", "q")], "page_id long, url string, _rule string")
     assert {r["_rule"] for r in url_filter.judged(pages).collect()} == {"q", "r"}
+
+
+def test_a_worker_keeps_nothing_of_other_operators(spark):
+    """The caches of the tokenizer do not stay beside a join of near-duplicates."""
+    from tablepact.llm import common, tokens
+    path = tokens.default_tokenizer()
+    before = tokens.worker_tokenizer(path)
+    assert tokens.worker_tokenizer(path) is before
+    ran = []
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            ran.extend(run(iter([])))
+    chosen_path.next_level(Table())
+    after = tokens.worker_tokenizer(path)
+    assert not ran and after is not before and after.encode(["a b"]) == before.encode(["a b"])
+    common.let_go()
+    assert tokens.worker_tokenizer(path) is not after
