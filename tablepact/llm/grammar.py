@@ -39,9 +39,10 @@ _MAGIC = 0x52505231
 
 
 def _bucket(code: np.ndarray, bits: int, turn: int) -> np.ndarray:
-    """Hashes of so many bits, other ones at each turn."""
-    mixed = (code.view(np.uint64) + np.uint64(turn)) * _MIX
-    return (((mixed >> np.uint64(32)) ^ mixed) * _MIX >> np.uint64(64 - bits)).astype(np.int64)
+    """Hashes of so many bits, by another odd factor at each turn."""
+    mixed = code.view(np.uint64) * np.uint64(pow(int(_MIX), 2 * turn + 1, 1 << 64))
+    mixed >>= np.uint64(64 - bits)
+    return mixed.view(np.int64)
 
 
 def _alternating(at: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def compress(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np
     changes, so later rounds look at frequent pairs and beside new symbols only.
     They end when no pair is left that can be replaced so often.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)  # as a block stores them
     active = np.ones(seq.size, bool)
     rules: list[np.ndarray] = []
     per_round: list[int] = []
@@ -99,17 +100,19 @@ def compress(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np
         at = np.flatnonzero(active)
         if at.size == 0:
             break
-        code = (seq[at] << 32) | seq[at + 1]
+        code = seq[at].astype(np.int64)
+        code <<= 32
+        code |= seq[at + 1]
         bits = min(max(int(4 * at.size).bit_length(), 8), _PAIR_BITS)
         bucket = _bucket(code, bits, len(per_round))
-        pairs = np.zeros(1 << bits, np.int64)
+        pairs = np.empty(1 << bits, np.int64)  # only buckets of pairs are looked at
         pairs[bucket] = code
         # One pair for each bucket; others that share it wait for a round whose buckets differ.
         own = pairs[bucket] == code
         waiting = not own.all()
         if waiting:
             at, bucket = at[own], bucket[own]
-        counts = np.bincount(bucket, minlength=1 << bits).astype(np.int32)
+        counts = np.bincount(bucket, minlength=1 << bits)
         hits = counts[bucket]
         often = hits >= min_pairs
         active[at[~often]] = False
@@ -119,34 +122,37 @@ def compress(ids: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple[np
             if waiting:
                 continue
             break
-        count = np.zeros(seq.size + 1, np.int32)
-        count[at] = hits
-        top = np.flatnonzero((hits >= count[at - 1]) & (hits >= count[at + 1]))  # count[-1] is of no pair
+        beside = at[1:] == at[:-1] + 1
+        most = np.ones(at.size, bool)
+        most[1:] = ~beside | (hits[1:] >= hits[:-1])
+        most[:-1] &= ~beside | (hits[:-1] >= hits[1:])
+        top = np.flatnonzero(most)
         top = top[_alternating(at[top])]
         chosen, kind = at[top], which[top]
-        enough = np.bincount(kind, minlength=1 << bits) >= min_pairs
+        enough = np.bincount(kind) >= min_pairs
         if not enough.any():  # equally frequent pairs in each other's way: one after the other
             chosen, kind, never = _one_by_one(at, which, counts, min_pairs, seq.size)
             active[never] = False
-            enough = np.bincount(kind, minlength=1 << bits) > 0
+            enough = np.bincount(kind) > 0
             if not chosen.size:
                 continue
         used = enough[kind]
         chosen, kind = chosen[used], kind[used]
         made = np.flatnonzero(enough)
-        number = np.empty(1 << bits, np.int32)
-        number[made] = np.arange(made.size)
-        seq[chosen] = number[kind] + np.int64(base + total)
+        number = np.empty(enough.size, np.uint32)
+        number[made] = np.arange(base + total, base + total + made.size)
+        seq[chosen] = number[kind]
         active[chosen] = True
         active[np.maximum(chosen - 1, 0)] = True
         keep = np.ones(seq.size, bool)
         keep[chosen + 1] = False
-        seq, active = seq[keep], active[keep]
+        kept = np.flatnonzero(keep)
+        seq, active = seq[kept], active[kept]
         rules.append(np.stack([pairs[made] >> 32, pairs[made] & 0xFFFFFFFF], axis=1))
         per_round.append(made.size)
         total += per_round[-1]
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return pairs, np.asarray(per_round, np.int64), seq
+    return pairs, np.asarray(per_round, np.int64), seq.astype(np.int64)
 
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
@@ -188,14 +194,20 @@ def expand_all(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
     starts = np.zeros(len(rules), np.int64)
 
     def looked_up(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = symbols >= base
-        size, source = np.ones(symbols.size, np.int64), np.zeros(symbols.size, np.int64)
-        size[new], source[new] = lengths[symbols[new] - base], starts[symbols[new] - base]
-        begin = np.cumsum(size) - size
-        if not new.any():
+        new = np.flatnonzero(symbols >= base)
+        size, source = np.ones(symbols.size, np.int32), np.zeros(symbols.size, np.int32)
+        rule = symbols[new] - base
+        size[new], source[new] = lengths[rule], starts[rule]
+        end = np.cumsum(size)
+        begin = end - size
+        if not new.size:
             return symbols.astype(np.uint32), begin
-        out = pool[np.arange(int(size.sum())) + np.repeat(source - begin, size)]
-        out[begin[~new]] = symbols[~new]
+        # Places fit 31 bits: a segment has SEGMENT_IDS ids.
+        places = np.repeat(source - begin.astype(np.int32), size)
+        places += np.arange(places.size, dtype=np.int32)
+        out = pool[places]
+        old = np.flatnonzero(symbols < base)
+        out[begin[old]] = symbols[old]
         return out, begin
 
     done = filled = 0

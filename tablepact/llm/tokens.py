@@ -10,6 +10,7 @@ bounded size.  The ids of the texts are then gathered by the pieces' numbers.
 
 from __future__ import annotations
 
+import codecs
 import gc
 import json
 import os
@@ -92,8 +93,8 @@ class WordTokenizer:
         # The same model for words whose bytes are written as the vocabulary writes them, one in a line.
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = CharDelimiterSplit("\n")
-        self.written = _byte_characters()
-        del self.written[ord("\n")]
+        written = _byte_characters() | {ord("\n"): "\n"}
+        self.written = "".join(written[b] for b in range(256))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = [*map(len, vocabulary)]
@@ -138,8 +139,10 @@ class WordTokenizer:
         which = pieces.indices.to_numpy()
         size = sizes[which]
         ends = np.r_[0, np.cumsum(size)]
-        places_in_pool = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], size)
-        places_in_pool += np.arange(ends[-1])
+        # Ids of a part are far fewer than 2^31, but those of one long text need not be.
+        kind = np.int32 if max(ends[-1], pool.size) < 1 << 31 else np.int64
+        places_in_pool = np.repeat(((np.cumsum(sizes) - sizes)[which] - ends[:-1]).astype(kind), size)
+        places_in_pool += np.arange(ends[-1], dtype=kind)
         ids = pool[places_in_pool].tobytes()
         edges = (4 * ends[np.searchsorted(places, bounds)]).tolist()
         return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
@@ -162,10 +165,12 @@ class WordTokenizer:
                 found[i] = kept[pieces[i]] = value
         self.cache.update(kept)
         if new:
-            for piece, ids in self.fresh([*new]):
-                found[new[piece]] = ids
-                if len(piece) <= LONG_PIECE:
-                    self.cache[piece] = ids
+            made = dict(self.fresh([*new]))
+            for piece, i in new.items():
+                found[i] = made[piece]
+            for piece in [p for p in made if len(p) > LONG_PIECE]:
+                del made[piece]
+            self.cache.update(made)
         return found
 
     def fresh(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -179,7 +184,7 @@ class WordTokenizer:
             else:
                 (blank if piece[0] == 32 else bare).append(piece)
         for group in _groups(letters):
-            text = b"\n".join(group).decode("latin-1").translate(self.written)
+            text = codecs.charmap_decode(b"\n".join(group), "strict", self.written)[0]
             ids = np.asarray(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             ends = np.cumsum([*map(len, group)])
             read = np.cumsum(self.sizes[ids])

@@ -392,3 +392,18 @@ def test_op4_covers_the_table(spark):
     rows = segmentation.op4_segmentation(spark, sf_dir())
     assert rows.where("not restored").count() == 0
     assert rows.select("doc_id").distinct().count() == len(whole_table("documents", "doc_id"))
+
+
+def test_places_of_a_segment_take_four_bytes():
+    """Reading a segment needs few bytes for each id, beside the ids."""
+    import tracemalloc
+    ids = np.tile(np.arange(1, 65), 1 << 12).astype(np.uint32)
+    rules, _, seq = grammar.compress(ids, 100)
+    lengths = grammar.lengths_of(rules, 100)
+    tracemalloc.start()
+    try:
+        out = grammar.expand_all(seq, rules, lengths, 100)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (out == ids).all() and peak < 18 * ids.size
