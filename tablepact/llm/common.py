@@ -83,10 +83,15 @@ def let_go() -> None:
     """Empty the tables that operators keep in this worker, and give free memory back to the system.
 
     Workers are shared by all operators of a session, next to an executor that
-    needs its memory; Arrow and the C library hold on to what was freed.
+    needs its memory.
     """
     for held in _KEPT:
         held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Give free memory back to the system: Arrow and the C library hold on to what was freed."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

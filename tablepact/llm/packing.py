@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tablepact.llm.common import ordered_text, table
+from tablepact.llm.common import give_back, ordered_text, table
 from tablepact.llm.tokens import default_tokenizer, text_parts, worker_tokenizer
 
 LENGTH = 2048
@@ -197,8 +197,12 @@ def pack(docs: DataFrame, end_id: int = 1, length: int = LENGTH, tokenizer: str
                 if total >= STRETCH_IDS:
                     yield flush()
                     held, cuts, total = [], [], 0
+                    give_back()
         if held:
             yield flush()
+        held.clear()
+        cuts.clear()
+        give_back()
 
     return ordered_text(docs, n).mapInArrow(run, _PIECES + (", ids binary" if ids else ""))
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, table
+from tablepact.llm.common import columns, let_go, table
 
 Span = tuple[int, int]
 KINDS = ("email", "ip", "card", "phone")
@@ -414,7 +414,9 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     other column and every row stays, also repeated ones."""
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redact(t) for t in texts], dtype=object)
+        redacted_texts = [None if t is None else redact(t) for t in texts]
+        let_go()
+        return pd.Series(redacted_texts, dtype=object)
     return docs.withColumn(text, clean(F.col(f"`{text}`")))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablepact.llm.common import columns, free, held_out, table
+from tablepact.llm.common import columns, free, held_out, let_go, table, tidy
 from tablepact.llm.quality_rules import trusted_ids, with_flag
 
 #: Buckets of hashed byte trigrams.
@@ -150,6 +150,7 @@ def moments(docs: DataFrame, group: str) -> np.ndarray:
     Each task adds up its texts; the rows of its matrices are then added by row
     number, so that no task meets more than one row of each.
     """
+    @tidy
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, FEATURES, FEATURES))
         for batch in batches:
@@ -253,6 +254,7 @@ def linear(text: Column, weights: np.ndarray) -> Column:
         values, raw = [], [bytes(t) if t is not None else b"" for t in texts]
         for start in range(0, len(raw), 512):
             values.append(features(raw[start:start + 512]) @ weights)
+        let_go()
         return pd.Series(np.concatenate(values) if values else [], dtype=float)
     return apply(text.cast("binary"))
 

@@ -23,9 +23,13 @@ import pyarrow.compute as pc
 
 from tablepact.llm.common import kept
 
-#: Pieces of one of the two generations one worker keeps (about 200 bytes each).
+#: Pieces of one of the two generations one worker keeps (about 50 bytes each).
 CACHE_PIECES = 550_000
-#: Longer pieces are encoded each time.
+#: Bytes of a key of that table: a piece padded with zeros, and its length.
+KEY_BYTES = 24
+#: Pieces too long for a key that are kept, in two generations as well (about 250 bytes each).
+CACHE_LONG = 40_000
+#: Still longer pieces are encoded each time.
 LONG_PIECE = 64
 #: Bytes of text whose pieces are numbered together.
 PART_BYTES = 1 << 21
@@ -68,6 +72,88 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: Which bytes of a key belong to a piece of each length.
+_OWN = np.arange(KEY_BYTES) < np.arange(KEY_BYTES)[:, None]
+
+
+def _keys(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The keys, as rows of 64-bit words, of pieces shorter than a key."""
+    if not len(starts):
+        return np.zeros((0, KEY_BYTES // 8), np.uint64)
+    padded = np.r_[raw, np.zeros(KEY_BYTES, np.uint8)]
+    keys = np.lib.stride_tricks.sliding_window_view(padded, KEY_BYTES)[starts] * _OWN[lengths]
+    keys[:, -1] = lengths
+    return keys.view(np.uint64)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all spans, one after the other."""
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
+class Pieces:
+    """The ids of at most ``most`` different pieces, found by their keys.
+
+    Whole arrays of keys are looked up and added at once: a table of places, and
+    keys and ids in the order they came, take a quarter of what a dictionary of
+    byte strings does.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.n = most, 0
+        self.bits = max(2 * most - 1, 1).bit_length()
+        self.slots = np.zeros(1 << self.bits, np.int32)  # the entry's number from 1, or 0
+        self.keys = np.empty((most, KEY_BYTES // 8), np.uint64)
+        self.starts = np.zeros(most + 1, np.int64)
+        self.ids = np.empty(1 << 10, np.uint32)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(1, keys.shape[1]):
+            mixed = (mixed ^ mixed >> np.uint64(32) ^ keys[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of every key, or -1."""
+        out = np.full(len(keys), -1)
+        left, at = np.arange(len(keys)), self._places(keys)
+        while len(left):
+            entry = self.slots[at] - 1
+            left, at, entry = left[entry >= 0], at[entry >= 0], entry[entry >= 0]
+            same = (self.keys[entry] == keys[left]).all(axis=1)
+            out[left[same]] = entry[same]
+            left, at = left[~same], at[~same] + 1 & len(self.slots) - 1
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add different keys that are not there, as far as there is room; ``ids`` follow one another."""
+        n = min(len(keys), self.most - self.n)
+        keys, sizes = keys[:n], sizes[:n]
+        begin, size = int(self.starts[self.n]), int(sizes.sum())
+        if begin + size > len(self.ids):
+            grown = np.empty(max(begin + size, len(self.ids) * 3 // 2), np.uint32)
+            grown[:begin] = self.ids[:begin]
+            self.ids = grown
+        self.ids[begin:begin + size] = ids[:size]
+        self.keys[self.n:self.n + n] = keys
+        self.starts[self.n + 1:self.n + n + 1] = begin + np.cumsum(sizes)
+        left, at = np.arange(self.n + 1, self.n + n + 1, dtype=np.int32), self._places(keys)
+        while len(left):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = left[free]  # of several that want one place the last one has it
+            out = self.slots[at] != left
+            left, at = left[out], at[out] + 1 & len(self.slots) - 1
+        self.n += n
+
+    def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the entries, one after the other, and how many each has."""
+        starts = self.starts[entries]
+        sizes = self.starts[entries + 1] - starts
+        return self.ids[_spans(starts, sizes)], sizes
+
+
 class WordTokenizer:
     """Encodes with the tokenizers library, piece by piece."""
 
@@ -78,8 +164,10 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         # What was met since the cache was full last, and what was met before that.
-        self.cache: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.cache = self.before = Pieces(0)
+        # The same for pieces too long for a key.
+        self.long: dict[bytes, bytes] = {}
+        self.long_before: dict[bytes, bytes] = {}
         # A tokenizer that normalises, adds a blank, or joins words is not cut.
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -133,9 +221,7 @@ class WordTokenizer:
         places = np.flatnonzero(begins)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(places) - 1,
                                        [None, pa.py_buffer(places), pa.py_buffer(raw)]).dictionary_encode()
-        found = self.ids_of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
-        pool = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        pool, sizes = self.ids_of(pieces.dictionary)
         which = pieces.indices.to_numpy()
         size = sizes[which]
         ends = np.r_[0, np.cumsum(size)]
@@ -151,27 +237,47 @@ class WordTokenizer:
         """Packed ids of every text, in order."""
         return self.encode_array(pa.array(texts, pa.large_string()))
 
-    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of different pieces, from the cache or the tokenizer."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache, self.before = {}, self.cache
-        found = [*map(self.cache.get, pieces)]
-        kept, new = {}, {}
-        for i in [i for i, value in enumerate(found) if value is None]:
-            value = self.before.get(pieces[i])
-            if value is None:
-                new[pieces[i]] = i
-            else:
-                found[i] = kept[pieces[i]] = value
-        self.cache.update(kept)
-        if new:
-            made = dict(self.fresh([*new]))
-            for piece, i in new.items():
-                found[i] = made[piece]
-            for piece in [p for p in made if len(p) > LONG_PIECE]:
-                del made[piece]
-            self.cache.update(made)
-        return found
+    def ids_of(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, one after the other, and how many each has; from the cache or the tokenizer."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:pieces.offset + len(pieces) + 1]
+        raw, lengths = np.frombuffer(pieces.buffers()[2] or b"", np.uint8), np.diff(offsets)
+        short = np.flatnonzero(lengths < KEY_BYTES)
+        keys = _keys(raw, offsets[short], lengths[short])
+        entries = self.cache.find(keys)
+        known = [(short[entries >= 0], *self.cache.ids_of(entries[entries >= 0]))]
+        left = np.flatnonzero(entries < 0)
+        entries = self.before.find(keys[left])
+        again, left = left[entries >= 0], left[entries < 0]
+        known.append((short[again], *self.before.ids_of(entries[entries >= 0])))
+        new = short[left]
+        known.append((new, *_joined([i for _, i in self._made(pieces.take(pa.array(new)).to_pylist())])))
+        others = np.flatnonzero(lengths >= KEY_BYTES)
+        known.append((others, *_joined(self._long_ids(pieces.take(pa.array(others)).to_pylist()))))
+        for rows, (_, ids, size) in ((again, known[1]), (left, known[2])):
+            if self.cache.n + len(rows) > self.cache.most:
+                self.cache, self.before = Pieces(CACHE_PIECES), self.cache
+            self.cache.add(keys[rows], ids, size)
+        sizes = np.zeros(len(pieces), np.int64)
+        for which, _, size in known:
+            sizes[which] = size
+        pool, starts = np.empty(sizes.sum(), np.uint32), np.cumsum(sizes) - sizes
+        for which, ids, size in known:
+            pool[_spans(starts[which], size)] = ids
+        return pool, sizes
+
+    def _long_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of different pieces that are too long for a key."""
+        if len(self.long) > CACHE_LONG:
+            self.long, self.long_before = {}, self.long
+        found = {p: self.long.get(p) or self.long_before.get(p) for p in pieces}
+        found.update(self._made([p for p, value in found.items() if value is None]))
+        self.long.update([(p, value) for p, value in found.items() if len(p) <= LONG_PIECE][:CACHE_LONG])
+        return [*found.values()]
+
+    def _made(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Different pieces and their packed ids, in order, from the tokenizer."""
+        made = dict(self.fresh(pieces))
+        return [(p, made[p]) for p in pieces]
 
     def fresh(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Pieces and their packed ids, from the tokenizer."""
@@ -207,6 +313,11 @@ class WordTokenizer:
             yield from zip(group, self.whole([piece.decode() for piece in group]), strict=True)
 
 
+def _joined(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed ids one after the other, and how many there are of each."""
+    return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+
+
 def _split(ids: np.ndarray, ends: list[int]) -> list[bytes]:
     """The packed ids up to each end."""
     packed = ids.astype("<u4").tobytes()

@@ -51,3 +51,24 @@ def test_a_worker_keeps_nothing_of_other_operators(spark):
     assert not ran and after is not before and after.encode(["a b"]) == before.encode(["a b"])
     common.let_go()
     assert tokens.worker_tokenizer(path) is not after
+
+
+def test_the_classifier_keeps_nothing_of_other_operators(spark):
+    from tablepact.llm import quality_classifier, tokens
+    before = tokens.worker_tokenizer(tokens.default_tokenizer())
+    ran = []
+
+    class Table:
+        def select(self, *_):
+            return self
+
+        groupBy = applyInPandas = select  # noqa: N815
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            ran.extend(run(iter([])))
+            return self
+
+        def collect(self):
+            return []
+    quality_classifier.moments(Table(), "group")
+    assert len(ran) == 1 and tokens.worker_tokenizer(tokens.default_tokenizer()) is not before

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -96,6 +97,30 @@ def test_cache_starts_anew(monkeypatch):
         assert words.encode([text]) == words.whole([text])
 
 
+def test_kept_pieces_take_little_memory(monkeypatch):
+    """Dictionaries of byte strings took about 200 bytes for each piece a worker keeps."""
+    monkeypatch.setattr("tablepact.llm.tokens.CACHE_PIECES", 50_000)
+    words = WordTokenizer(default_tokenizer())
+    text = " ".join("".join(p) for p in itertools.islice(itertools.product("aeioubdgst", repeat=6), 0, 800_000, 16))
+    tracemalloc.start()
+    first = words.encode([text])
+    taken = tracemalloc.get_traced_memory()[0] - sum(map(len, first))
+    tracemalloc.stop()
+    assert first == words.whole([text]) and taken < 100 * 50_000
+    monkeypatch.setattr(words, "fresh", lambda pieces: iter(zip(pieces, [b""] * len(pieces), strict=True)))
+    assert words.encode([text]) == first
+
+
+def test_pieces_of_all_lengths_from_a_small_cache(monkeypatch):
+    monkeypatch.setattr("tablepact.llm.tokens.CACHE_PIECES", 7)
+    monkeypatch.setattr("tablepact.llm.tokens.CACHE_LONG", 2)
+    words = WordTokenizer(default_tokenizer())
+    texts = ["x" * n for n in (1, 2, 22, 23, 24, 25, 63, 64, 65)] + ["a\0 a", "a a\0 \0", "Ж" * 12 + " " + "Ж" * 11, "é" * 40]
+    for some in (texts, texts[::-1], [" ".join(texts)], *([t] for t in texts)):
+        for _ in range(2):
+            assert words.encode(some) == words.whole(some)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=400), st.integers(2, 6))
 def test_grammar_expands_to_what_it_was_made_of(ids, least):
